@@ -12,7 +12,7 @@ RTL_OVERRIDE = "‮"
 def fold_ascii(text: Column) -> Column:
     """A-Z in lower case. lower() is used for its speed; the two letters outside ASCII whose lower case holds ASCII
     letters (the Kelvin sign and the dotted capital I) are first replaced by one whose lower case does not."""
-    return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("Å")), F.lit("İ"), F.lit("Å")))
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("Å")), F.lit("İ"), F.lit("Å")))
 
 
 def valid_text(content: Column) -> Column:

@@ -57,7 +57,7 @@ WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 def folded(text: Column) -> Column:
     """Text whose A-Z are lower-case. lower() turns one letter that isn't ASCII into an ASCII one, the Kelvin sign; it
     is replaced first by a letter that stays outside ASCII. Other letters may change, but words and ASCII don't."""
-    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("å")))
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("å")))
 
 
 def templates() -> list[tuple[int, str, str, int, bool]]:

@@ -172,4 +172,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
     mark = "__palisade_quality"
-    return judge(docs, mark).where(F.col(f"{mark}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A row number keeps the filter above the projection: pushed into it, the measures would be made once for each use.
+    return judge(docs, mark).withColumn(f"{mark}_row", F.monotonically_increasing_id()).where(F.col(f"{mark}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,10 @@ come first; ties in doc_id are ordered by their frames; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,53 +36,87 @@ from palisade.session import map_batches, shared_path, slices
 MAGIC = b"PLTOK001"
 DICT_DOCS, DICT_TOKENS, DICT_BYTES = 1000, 1024, 64 << 10
 #: Bytes of a shard's frames and rows of a range of documents that one task orders.
-SHARD_BYTES, ROWS_PER_TASK = 4 << 20, 50_000
-LEVEL, CACHED_WORDS = 3, 400_000
+SHARD_BYTES, ROWS_PER_TASK = 1 << 20, 16_000
+LEVEL, CACHED_PARTS = 3, 300_000
+
+
+# The split pattern that the fast path knows, the same for lower-case texts of code points below 256,
+# and the characters that Python takes for white space but the tokenizer doesn't.
+SPLIT_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LATIN_PARTS = re.compile("[a-zªµºß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼-¾]|[^ \t\n\x0b\x0c\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+ASCII_PARTS = re.compile("[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+ONLY_PYTHON_SPACE = b"\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
-    """The tokenizer with a cache of the ids of white-space-free pieces.
+    """The tokenizer, with a cache of the ids of the parts that its split pattern makes.
 
-    It holds for tokenizers whose pre-tokenizer drops white space, so that a text's ids are those of its pieces end
-    to end; `by_word` says so, and other tokenizers encode whole texts."""
+    Parts are encoded one by one, so a text's ids are those of its parts end to end. Texts of code points below 256
+    are split here (there, lower case and NFC are plain), others at white space only; texts that may hold a special
+    token, and all texts of a tokenizer with other rules, are encoded whole."""
 
-    def __init__(self, path: str, by_word: bool = True) -> None:
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        first = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.splits = steps == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": SPLIT_PATTERN}
         self.known: dict[str, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, without special tokens."""
-        texts = [t or "" for t in texts]
-        if not self.by_word:
-            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        # Only ASCII is folded here, as the tokenizer folds it too; a text that may hold a special token is left alone.
-        pieces = [(t.lower() if t.isascii() and "<|" not in t else t).split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*pieces) - known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[piece] = np.array(got.ids, self.dtype).tobytes()
-        return [np.frombuffer(b"".join([known[p] for p in words]), self.dtype) for words in pieces]
-
-
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, by_word: bool = True) -> Encoder:
+    def parts(self, text: str) -> list[str]:
+        if not self.splits or "<|" in text:
+            return [text] if text else []
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return [text] if any(chr(c) in text for c in ONLY_PYTHON_SPACE) else text.split()
+        if len(raw.translate(None, ONLY_PYTHON_SPACE)) < len(raw):
+            return [text]
+        return (ASCII_PARTS if text.isascii() else LATIN_PARTS).findall(text.lower())
+
+    def encode_new(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts not seen before. Parts without white space are encoded as one text: each part of the text is
+        one of the tokenizer's words, and the words are told apart by their numbers."""
+        code, out = "H" if self.dtype.itemsize == 2 else "I", {}
+        for at in range(0, len(parts), 2048):
+            some = parts[at : at + 2048]
+            joined = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, words = joined.ids, joined.word_ids
+            if len(words) and words[-1] == len(some) - 1 and len(set(words)) == len(some):
+                cuts = np.searchsorted(words, np.arange(len(some) + 1)).tolist()
+                whole = array(code, ids)
+                out.update((p, whole[a:b].tobytes()) for p, a, b in zip(some, cuts, cuts[1:]))
+            else:  # a part that is more than one word, or none
+                out.update((p, array(code, e.ids).tobytes()) for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+        return out
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text, without special tokens."""
+        parts, known = self.parts(text or ""), self.known
+        got = list(map(known.get, parts))
+        if None in got:
+            new = self.encode_new(list({p for p, ids in zip(parts, got) if ids is None}))
+            if len(known) < CACHED_PARTS and self.splits:  # the first parts seen are the frequent ones; a full cache stays as it is
+                known.update(new)
+            got = [new[p] if ids is None else ids for p, ids in zip(parts, got)]
+        return np.frombuffer(b"".join(got), self.dtype)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer and worker process."""
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = Encoder(path, by_word)
-    return _ENCODERS[path, by_word]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def train_dictionary(texts: list[str], tokenizer_path: str) -> bytes:
-    samples = [ids[:DICT_TOKENS].tobytes() for ids in encoder(tokenizer_path).encode_batch(texts)]
+    samples = [encoder(tokenizer_path).encode(t)[:DICT_TOKENS].tobytes() for t in texts]
     try:
         return zstandard.train_dictionary(DICT_BYTES, [s for s in samples if s], level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -93,7 +130,7 @@ def frames(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: bytes)
         enc = encoder(tokenizer_path)
         packer = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         end = np.array([end_id], enc.dtype)
-        got = [np.concatenate([x, end]) for x in enc.encode_batch(texts)]
+        got = [np.concatenate([enc.encode(t), end]) for t in texts]
         return {"doc_id": ids, "n_tokens": [len(x) for x in got], "frame": [packer.compress(x.tobytes()) for x in got]}
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, frame binary")

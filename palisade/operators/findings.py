@@ -43,7 +43,7 @@ def scores(findings: DataFrame, bundles: DataFrame) -> DataFrame:
     )
     by_bundle = by_engine.groupBy("bundle_id").agg(F.sum("n").alias("n_findings"), F.sum("base").alias("base"), F.sum((F.col("n") - 1) * REPEAT_BONUS).alias("bonus"), F.max("worst").alias("worst"))
     score = F.least(F.lit(MOST), F.least(F.lit(MOST), F.col("base")) + F.col("bonus"))
-    rows = bundles.select("bundle_id").join(by_bundle, "bundle_id", "left").withColumn("risk_score", F.coalesce(score, F.lit(0.0)))
+    rows = bundles.select("bundle_id").join(by_bundle, "bundle_id", "left").withColumn("risk_score", F.when(F.col("base").isNull(), 0.0).otherwise(score))
     level = (
         F.when(F.col("worst") == 4, "DANGEROUS").when(F.col("worst") == 3, "CAUTION").when(F.col("risk_score") >= DANGEROUS_SCORE, "DANGEROUS").when(F.col("risk_score") >= CAUTION_SCORE, "CAUTION").otherwise("SAFE")
     )

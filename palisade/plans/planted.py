@@ -60,7 +60,7 @@ PAYLOADS = [
     (33, "append", ".md", "admin before permission"),
     (34, "append", ".md", "permission on a line\nadmin on the next"),
     (35, "append", ".md", "permission, return,\radmin"),
-    (36, "append", ".md", "os.environ['TOKEN'] by sign"),
+    (36, "append", ".md", "os.environ['TO\u212aEN'] by sign"),
     (37, "append", ".PY", "os.system( in upper case"),
     (38, "replace", ".py", CALLS_A),
     (39, "replace", ".py", CALLS_B),

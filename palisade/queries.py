@@ -323,7 +323,7 @@ def _sql_parts() -> dict[str, str]:
             UNION ALL SELECT bundle_id, path, line, 'MEDIUM', 'SD-10 · Obfuscation and Evasion', 'unicode', 0.6, 2, line * 2 + 1 FROM marks WHERE rtl
             UNION ALL SELECT bundle_id, path, line, severity, category, engine, confidence, layer_ord, n FROM called)""",
         "kept": f"kept AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY bundle_id, category, path, line ORDER BY confidence DESC, {_MADE}) = 1)",
-        "scored": f"""scored AS (SELECT b.bundle_id, coalesce(n, 0) AS n_findings, coalesce(least(10.0, least(10.0, base) + bonus), 0.0) AS risk_score, worst
+        "scored": f"""scored AS (SELECT b.bundle_id, coalesce(n, 0) AS n_findings, CASE WHEN base IS NULL THEN 0.0 ELSE least(10.0, least(10.0, base) + bonus) END AS risk_score, worst
             FROM (SELECT DISTINCT bundle_id FROM files) b LEFT JOIN (SELECT bundle_id, sum(n) AS n, sum(base) AS base, sum((n - 1) * 0.5) AS bonus, max(worst) AS worst
               FROM (SELECT bundle_id, engine, count(*) AS n, sum(CAST({_WEIGHT} AS DOUBLE) * confidence) AS base, max({_ORDER}) AS worst FROM kept GROUP BY ALL) GROUP BY bundle_id) s USING (bundle_id))""",
         "hashes": "hashes AS (SELECT bundle_id, sha256(string_agg(text, '' ORDER BY string_split(path, '/'))) AS hash FROM files GROUP BY bundle_id)",
