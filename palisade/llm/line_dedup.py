@@ -16,10 +16,16 @@ keeps what the first of them keeps; an empty table gives an empty result; furthe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.session import shared_path
+
 EDITS, MIN_CHARS = 2, 20
+#: Places of lines to be verified that are broadcast (about 30 bytes each); more are joined by shuffle.
+MAX_BROADCAST_ROWS = 100_000
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -36,39 +42,56 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return F.lit(1) + base * i + F.greatest(F.lit(0), F.lit(i) - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def stored_segments(line: Column, edits: int) -> Column:
-    n = F.length(line)
+def stored_segments(line: Column, n: Column, edits: int) -> Column:
     return F.array(*[F.xxhash64(n, F.lit(i), F.substring(line, *segment(n, i, edits))) for i in range(edits + 1)])
 
 
-def probes(line: Column, edits: int) -> Column:
+def probes(line: Column, n: Column, edits: int) -> Column:
     """Hashes of the substrings that segment i of a line shorter by `less` can equal (multi-match-aware places)."""
-    n, out = F.length(line), []
+    out = []
     for less in range(edits + 1):
         for i in range(edits + 1):
             start, size = segment(n - less, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 at = start + shift
                 out.append(F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(n - less, F.lit(i), F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+    return F.array_distinct(F.array(*out))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def hashed(lines: DataFrame, marks: Callable[[Column, Column, int], Column], edits: int, name: str) -> DataFrame:
+    """(h, name): the hashes of each distinct line with its key. Equal lines meet by key, so only hashes are shuffled, not lines."""
+    # The length is a column of its own: it is used many times, and counting characters reads the whole line.
+    once = lines.select("key", marks(F.col("line"), F.col("n"), edits).alias("marks")).groupBy("key").agg(F.any_value("marks").alias("marks"))
+    return once.select(F.explode("marks").alias("h"), F.col("key").alias(name)).where("h IS NOT NULL")
 
 
-def near_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def near_lines(lines: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Keys of lines that have an earlier line within `edits` edits."""
-    distinct = lines.groupBy("key", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("place")).where(F.length("line") >= min_chars)
-    index = distinct.select(F.explode(stored_segments(F.col("line"), edits)).alias("h"), F.col("key").alias("a"))
-    probe = distinct.select(F.explode(probes(F.col("line"), edits)).alias("h"), F.col("key").alias("b"))
-    pairs = index.join(probe, "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: distinct.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
+    long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
+    met = hashed(long, stored_segments, edits, "a").join(hashed(long, probes, edits, "b"), "h").where("a <> b")
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(firsts, "key"), "line-places")
+    side = wanted.select("place.doc_id", "place.line_no", F.col("key").alias("wanted"))
+    side = F.broadcast(side) if side.count() <= MAX_BROADCAST_ROWS else side  # beyond the bound both sides are shuffled
+    texts = lines.join(side, ["doc_id", "line_no"]).where("key = wanted").groupBy("key").agg(F.any_value("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("place"))
+    texts = stored(texts, "line-texts")
+    of = lambda c: texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
+    verified = pairs.join(of("a"), "a").join(of("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
     return verified.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct()
 
 
 def judged_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, is_copy, is_near) of every line with a word."""
     lines = lines_of(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"))
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place"))
-    near = near_lines(lines, edits, min_chars).withColumn("is_near", F.lit(True))
+    firsts = stored(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("place")), "line-firsts")
+    near = near_lines(lines, firsts, edits, min_chars).withColumn("is_near", F.lit(True))
     known = firsts.join(near, "key", "left")
     return lines.select("doc_id", "line_no", "key").join(known, "key").select(
         "doc_id", "line_no", (F.col("place") < F.struct("doc_id", "line_no")).alias("is_copy"), F.coalesce("is_near", F.lit(False)).alias("is_near")
@@ -77,13 +100,13 @@ def judged_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
 def line_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_copies, n_near, removed) of each document with lines: removed lists the line numbers, in order."""
-    judged = judged_lines(docs, edits, min_chars)
-    gone = F.col("is_copy") | F.col("is_near")
-    by_doc = judged.groupBy("doc_id").agg(
-        F.countDistinct("line_no").alias("n_lines"), F.countDistinct(F.when(F.col("is_copy"), F.col("line_no"))).alias("n_copies"), F.countDistinct(F.when(F.col("is_near") & ~F.col("is_copy"), F.col("line_no"))).alias("n_near"),
-        F.array_join(F.transform(F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))), lambda x: x.cast("string")), ",").alias("removed"),
+    by_doc = judged_lines(docs, edits, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "is_copy", "is_near")).alias("lines"))
+    numbers = lambda test: F.array_distinct(F.transform(F.filter("lines", test), lambda x: x["line_no"]))
+    removed = F.transform(F.array_sort(numbers(lambda x: x["is_copy"] | x["is_near"])), lambda x: x.cast("string"))
+    return by_doc.select(
+        "doc_id", F.size(numbers(lambda x: F.lit(True))).cast("long").alias("n_lines"), F.size(numbers(lambda x: x["is_copy"])).cast("long").alias("n_copies"),
+        F.size(numbers(lambda x: x["is_near"] & ~x["is_copy"])).cast("long").alias("n_near"), F.array_join(removed, ",").alias("removed"),
     )
-    return by_doc
 
 
 def drop_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
