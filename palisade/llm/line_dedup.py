@@ -8,6 +8,8 @@ lines of lengths L - EDITS to L with the substrings of those few places (Li et a
 meet are verified by the built-in edit distance with a threshold, which fills only the diagonal band.
 
 Equal lines are one line before anything is compared, so a line that a third of the documents share costs one row.
+A segment that many lines share (copies with a word changed) gives no candidate pairs: its lines are brought
+together once, spread by salt, and the edit distance is the condition of that join, so only true pairs come out.
 
 Defined results: a null or empty text has one empty line; lines without a word are counted, never removed and never
 compared; rows with a null doc_id are left alone and compared with none; repeated rows share line numbers, and each
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.session import shared_path
@@ -26,6 +28,8 @@ from palisade.session import shared_path
 EDITS, MIN_CHARS = 2, 20
 #: Places of lines to be verified that are broadcast (about 30 bytes each); more are joined by shuffle.
 MAX_BROADCAST_ROWS = 100_000
+#: Lines with one segment in common above which a group is joined line against line with salt, and the salts.
+CROWD, SALTS = 32, 16
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -75,16 +79,29 @@ def hashed(lines: DataFrame, marks: Callable[[Column, Column, int], Column], edi
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Keys of lines that have an earlier line within `edits` edits."""
     long = lines.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    met = hashed(long, stored_segments, edits, "a").join(hashed(long, probes, edits, "b"), "h").where("a <> b")
-    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(firsts, "key"), "line-places")
+    group = Window.partitionBy("h")
+    index = hashed(long, stored_segments, edits, "a").withColumn("crowd", F.count("*").over(group)).withColumn("first", F.min("a").over(group))
+    # A crowded group gives one row for each line that probes it, not one for each pair.
+    met = hashed(long, probes, edits, "b").join(index, "h").withColumn("crowded", F.col("crowd") > CROWD).where("if(crowded, a = first, a <> b)")
+    met = stored(met.select("h", "a", "b", "crowded"), "line-meetings")
+    pairs = met.where("NOT crowded").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowds = met.where("crowded").select("h", "b").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select(F.col("b").alias("key"))).distinct()
+    wanted = stored(wanted.join(firsts, "key"), "line-places")
     side = wanted.select("place.doc_id", "place.line_no", F.col("key").alias("wanted"))
     side = F.broadcast(side) if side.count() <= MAX_BROADCAST_ROWS else side  # beyond the bound both sides are shuffled
     texts = lines.join(side, ["doc_id", "line_no"]).where("key = wanted").groupBy("key").agg(F.any_value("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("place"))
     texts = stored(texts, "line-texts")
     of = lambda c: texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
-    verified = pairs.join(of("a"), "a").join(of("b"), "b").where(F.levenshtein("line_a", "line_b", edits) >= 0)
-    return verified.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct()
+    within = F.levenshtein("line_a", "line_b", edits) >= 0
+    verified = pairs.join(of("a"), "a").join(of("b"), "b").where(within)
+    # Within a crowd, every line that has the segment itself meets every line that probes it; the join verifies as it goes.
+    owns = F.array_contains(stored_segments(F.col("line_b"), F.length("line_b"), edits), F.col("h"))
+    probing = crowds.join(of("b"), "b").withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int")).withColumn("owns", owns)
+    owners = probing.where("owns").select("h", F.col("b").alias("a"), F.col("line_b").alias("line_a"), F.col("place_b").alias("place_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    crowded = probing.join(owners, ["h", "salt"]).where(F.when(F.col("owns"), F.col("a") < F.col("b")).otherwise(True) & within)
+    later = F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("key")
+    return verified.select(later).unionByName(crowded.select(later)).distinct()
 
 
 def judged_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

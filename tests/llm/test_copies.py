@@ -132,6 +132,13 @@ def test_lines(spark, rows):
     assert all(got[i] == (0, 0, 0, "") for i in set(got) - set(want) if i is not None)
 
 
+def test_crowded_segments_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    rows = lined(10)
+    got = {r.doc_id: (r.n_lines, r.n_copies, r.n_near, r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_lines(rows) and sum(g[2] for g in got.values()) > 20
+
+
 def test_lines_of_tables(docs, sample):
     got = {r.doc_id: (r.n_lines, r.n_copies, r.n_near, r.removed) for r in line_dedup.line_report(docs).collect()}
     want = slow_lines([(i, t) for i, t, *_ in sample])
