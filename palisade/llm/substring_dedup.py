@@ -196,7 +196,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     seen = stored(survey(docs, window, gram), "repeats-survey")
     runs = seen.select("doc_id", "text_key", F.explode("runs").alias("r")).select("doc_id", "text_key", "r.*")
-    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # Written first: a join with an aggregate of the same key would keep each anchor's runs in one task, however many.
+    shared = stored(runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "repeats-anchors")
     wanted = runs.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("runs"))
     key = map_batches(docs, lambda ids, texts: {"doc_id": ids, "text_key": list(map(text_key, texts)), "text": texts}, "doc_id long, text_key long, text string")
     held = stored(key.join(wanted, ["doc_id", "text_key"]), "repeats-texts")
