@@ -32,18 +32,22 @@ SEED, BITS = 42, 64
 ROWS_PER_KEY, ROWS_PER_TASK = 64, 20_000
 
 
+def shingle_hashes(text: str | None, shingle_words: int) -> list[int]:
+    """The XXH64 of all word shingles in order; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the white space of the contract
+    if len(words) < shingle_words:
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
+    joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, digest = (ends - sizes)[: len(words) - shingle_words + 1].tolist(), xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle_words - 1 :].tolist())]
+
+
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
     """Majority bits of the XXH64 of all word shingles; 0 if there are no words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the white space of the contract
-    if not words:
+    hashes = shingle_hashes(text, shingle_words)
+    if not hashes:
         return 0
-    if len(words) < shingle_words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts, digest = (ends - sizes)[: len(words) - shingle_words + 1].tolist(), xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle_words - 1 :].tolist())]
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         block = np.array(hashes[at : at + 8192], dtype="<u8")
