@@ -41,6 +41,7 @@ CONTENT_ROOTS = frozenset(("article", "main"))
 
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(?P<loose>/?[a-zA-Z])[^>]*+(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|\Z)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+ANY_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
@@ -64,6 +65,13 @@ def marks_boiler(name: str, attrs: str) -> bool:
     return False
 
 
+def is_main(name: str, attrs: str) -> bool:
+    """Whether an element is the page's main one, by name or role (in any case and quoting)."""
+    if name == "main" or "main" not in (low := attrs.lower()) or "role" not in low:
+        return name == "main"
+    return any(k == "role" and "main" in v.strip("\"'").split() for k, v in ANY_ATTRIBUTE.findall(low))
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, value, attributes): kind is text, open, close or mark (a labelled page's comment)."""
     at, end, skip = 0, len(page), None
@@ -96,20 +104,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def pieces(page: str) -> tuple[list[tuple[str, str, int]], list[bool]]:
     """The page as (class, text, block) and, by block, whether it stands in boilerplate.
 
-    Class is `tag:NAME`, or `word:WHERE` for a run of text; WHERE names its place."""
-    rooted = re.search(r"<(?:article|main)[\s>]|role=[\"']?main", page, re.IGNORECASE) is not None
-    stack: list[tuple[str, bool, bool]] = []  # name, is boilerplate, is the article
-    boiler = roots = links = 0
+    Class is `tag:NAME`, or `word:WHERE` for a run of text; WHERE names its place. Whether the page has content roots is
+    read from its elements outside boilerplate: a main element that holds words is one, and so are articles if the
+    largest holds at least half as many running words as stand outside all roots (teaser cards do not)."""
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, is boilerplate, is the main element, is an article
+    boiler = mains = articles = links = n_articles = 0
     out: list[tuple[str, str, int]] = []
-    bad: list[bool] = [False]
+    places: list[tuple[bool, bool, bool]] = []  # by block: in boilerplate, in the main element, in an article
+    texts: list[tuple[int, bool, bool, bool, bool]] = []  # number in out, and the place of a text; in a link
+    main_words = outside = 0
+    by_article: Counter = Counter()
 
     def fresh() -> None:
-        bad.append(bool(boiler) or (rooted and not roots))
+        places.append((bool(boiler), bool(mains), bool(articles)))
 
     def pop() -> str:
-        nonlocal boiler, roots, links
-        name, was_boiler, was_root = stack.pop()
-        boiler, roots, links = boiler - was_boiler, roots - was_root, links - (name == "a")
+        nonlocal boiler, mains, articles, links
+        name, was_boiler, was_main, was_article = stack.pop()
+        boiler, mains, articles, links = boiler - was_boiler, mains - was_main, articles - was_article, links - (name == "a")
         return name
 
     fresh()
@@ -118,8 +130,14 @@ def pieces(page: str) -> tuple[list[tuple[str, str, int]], list[bool]]:
             out.append(("mark", value, -1))
             continue
         if kind == "text":
-            where = "boiler" if boiler else "outside" if rooted and not roots else "root" if roots else "plain"
-            out.append((f"word:{where}{'+link' if links else ''}", value, len(bad) - 1))
+            if not boiler and (n := count_words(value)):
+                main_words += n if mains else 0
+                if articles:
+                    by_article[n_articles] += 0 if links else n
+                elif not mains and not links:
+                    outside += n
+            texts.append((len(out), bool(boiler), bool(mains), bool(articles), bool(links)))
+            out.append(("word", value, len(places) - 1))
             continue
         if kind == "open" and value not in VOID and value in NESTING:
             if value in ("p", "li", "td", "th", "tr") or (value in BLOCKS and stack and stack[-1][0] == "p"):
@@ -128,21 +146,28 @@ def pieces(page: str) -> tuple[list[tuple[str, str, int]], list[bool]]:
                 while stack and stack[-1][0] in closes:
                     if pop() == value:
                         break
-            is_header = value == "header" and not roots
-            is_boiler, is_root = is_header or marks_boiler(value, attrs), value in CONTENT_ROOTS or "role=\"main\"" in attrs
-            stack.append((value, is_boiler, is_root))
-            boiler, roots, links = boiler + is_boiler, roots + is_root, links + (value == "a")
+            is_header = value == "header" and not mains and not articles
+            is_boiler, main, article = is_header or marks_boiler(value, attrs), is_main(value, attrs), value == "article"
+            n_articles += article and not articles
+            stack.append((value, is_boiler, main, article))
+            boiler, mains, articles, links = boiler + is_boiler, mains + main, articles + article, links + (value == "a")
         elif kind == "close" and value in NESTING and any(x[0] == value for x in stack):
             while pop() != value:
                 pass
         if value == "br":
-            out.append(("tag:br", " ", len(bad) - 1))
+            out.append(("tag:br", " ", len(places) - 1))
         elif value in BLOCKS:
             fresh()
-            out.append((f"tag:{value}", "", len(bad) - 1))
+            out.append((f"tag:{value}", "", len(places) - 1))
         else:
-            out.append(("tag:inline", "", len(bad) - 1))
-    return out, bad
+            out.append(("tag:inline", "", len(places) - 1))
+    by_main, by_article_too = main_words > 0, bool(by_article) and 2 * max(by_article.values()) >= outside
+    rooted = by_main or by_article_too
+    for at, in_boiler, in_main, in_article, in_link in texts:
+        root = (by_main and in_main) or (by_article_too and in_article)
+        where = "boiler" if in_boiler else "root" if root else "outside" if rooted else "plain"
+        out[at] = (f"word:{where}{'+link' if in_link else ''}", *out[at][1:])
+    return out, [in_boiler or (rooted and not ((by_main and in_main) or (by_article_too and in_article))) for in_boiler, in_main, in_article in places]
 
 
 def count_words(text: str) -> int:
