@@ -80,12 +80,14 @@ def payload_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PAYLOADS, "slot int, mode string, suffix string, payload string")
 
 
-def planted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files (bundle_id, path, doc_id, text, content)."""
+def planted_files(spark: SparkSession, sf_dir: str, before: range = range(0)) -> DataFrame:
+    """files (bundle_id, path, doc_id, text, content). Documents of the slots in `before` have their own texts, as they
+    stood before planting, under the same bundle and path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = docs.withColumn("slot", (F.col("doc_id") % SLOTS).cast("int")).join(F.broadcast(payload_table(spark)), "slot", "left")
     text = (
-        F.when(F.col("mode") == "append", F.concat_ws("\n", "text", "payload"))
+        F.when(F.col("slot").isin(list(before)), F.col("text"))
+        .when(F.col("mode") == "append", F.concat_ws("\n", "text", "payload"))
         .when(F.col("mode") == "prepend", F.concat("payload", "text"))
         .when(F.col("mode") == "replace", F.col("payload"))
         .otherwise(F.col("text"))
