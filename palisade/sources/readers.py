@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ def with_text(files: DataFrame) -> DataFrame:
 def read_folder(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """Files under root; the first `depth` folders below root name the bundle, the rest is the path in it.
 
-    Spark's file index leaves out names that start with a dot or an underscore, even if they are given; those files
-    are listed through Hadoop's file system and read by the same tasks that decode them (see `read_hidden`)."""
+    Spark's file index leaves out files and folders whose names start with a dot or an underscore, even if they are
+    given; what it leaves out is listed through Hadoop's file system and read by tasks (see `read_hidden`)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return placed(rows, spark, root, depth).unionByName(placed(read_hidden(spark, root), spark, root, depth))
 
@@ -38,31 +40,51 @@ def placed(rows: DataFrame, spark: SparkSession, root: str, depth: int) -> DataF
     return with_text(rows.select(F.array_join(F.slice(parts, 1, depth), "/").alias("bundle_id"), F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/").alias("path"), "content"))
 
 
+def index_drops(name: str, folder: bool = False) -> bool:
+    """Whether Spark's file index leaves out a file or folder of this name."""
+    kept = folder and name.startswith(("_common_metadata", "_metadata"))
+    return not kept and (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
 def read_hidden(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of files whose names start with a dot. Their paths are few and are listed by the driver; each
-    is opened by Spark under a glob of its folder, so any store that Spark reads will do."""
-    conf = spark._jsc.hadoopConfiguration()
+    """(path, content) of the files under root that Spark's index leaves out: their own name or that of a folder below
+    root is hidden, or they are empty. The driver lists their paths alone. (Hadoop's local file system never lists its checksums, .NAME.crc.)"""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed, found = at.getFileSystem(conf).listFiles(at, True), []
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = store.makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    listed, found = store.listFiles(at, True), []
     while listed.hasNext():
         status = listed.next()
-        if status.getPath().getName().startswith(".") and status.getLen() <= MAX_FILE_BYTES and not status.getPath().getName().endswith(".crc"):
-            found.append((status.getPath().toString(),))
+        path = status.getPath()
+        *folders, name = path.toUri().getPath()[len(prefix) :].split("/")
+        if status.getLen() == 0 or index_drops(name) or any(index_drops(f, folder=True) for f in folders):
+            found.append((path.toString(), path.toUri().getScheme(), path.toUri().getPath(), path.toUri().toString()))
+    return read_listed(spark, found)
+
+
+def read_listed(spark: SparkSession, found: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(path, scheme, plain path, address) of files to (path, content); each task opens its files with Arrow's file systems."""
     if not found:
         return spark.createDataFrame([], "path string, content binary")
-    jvm, rows = spark._jvm, []
-    for (path,) in found:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        stream = p.getFileSystem(conf).open(p)
-        try:
-            rows.append((path, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-        finally:
-            stream.close()
-    return spark.createDataFrame(rows, "path string, content binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, scheme, plain, address in zip(*[c.to_pylist() for c in batch.columns]):
+                store, name = (fs.LocalFileSystem(), plain) if scheme == "file" else fs.FileSystem.from_uri(address)
+                with store.open_input_stream(name, compression=None) as stream:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stream.read()], pa.binary())], names=["path", "content"])
+
+    rows = spark.createDataFrame(found, "path string, scheme string, plain string, address string")
+    return rows.repartition(min(len(found), 200)).mapInArrow(run, "path string, content binary")
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.format("binaryFile").load(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if index_drops(at.getName()):
+        at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)
+        rows = read_listed(spark, [(at.toString(), at.toUri().getScheme(), at.toUri().getPath(), at.toUri().toString())])
+    else:
+        rows = spark.read.format("binaryFile").load(path)
     return with_text(rows.select(F.col("path").alias("bundle_id"), F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
 
 
