@@ -9,8 +9,9 @@ bound: postings of terms that can matter (the others' largest impacts are added
 are summed for all passages of the document at once, and only passages with an item over the bound are searched.
 Passages are twice as long as the longest item and start every half of that, so each item stands whole in one.
 Verification: the item's last sentence is its answer and the rest its question; of each, the share of the runs of
-SHINGLE words found in the passage must reach OVERLAP (an item of one sentence is all question, and a part of fewer
-words than SHINGLE is one run).
+SHINGLE words found in the passage, or of the words in the best alignment with a piece of it, must reach OVERLAP (an
+item of one sentence is all question, and a part of fewer words than SHINGLE is one run). One changed word breaks up to
+SHINGLE runs but costs the alignment one word; a gap or swapped pieces cost the runs few.
 
 The index is held by each task. Items come in shards of at most SHARD_ITEMS items (of at most SHARD_TERMS words), so
 each index has a proven bound; with several shards, each document is scanned against each shard.
@@ -60,9 +61,34 @@ def runs(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
 
 
 def share(part: list[bytes], passage: list[bytes]) -> float:
-    """Share of part's runs found in the passage; 1 for an empty part."""
+    """How much of part the passage holds: the share of its runs found there, or of its words in the best alignment with a
+    piece of the passage (1 - edits / words), whichever is more; 1 for an empty part."""
     want = runs(part)
-    return sum(r in have for r in want) / len(want) if want and (have := runs(passage, min(SHINGLE, len(part)))) else float(not want)
+    if not want or not passage:
+        return float(not want)
+    have = runs(passage, min(SHINGLE, len(part)))
+    found = sum(r in have for r in want) / len(want)
+    return found if found == 1 else max(found, 1 - edits_to_piece(part, passage) / len(part))
+
+
+def edits_to_piece(part: list[bytes], passage: list[bytes]) -> int:
+    """Least number of words to change, add or drop that turns part into some piece of the passage (Myers 1999, bit-parallel)."""
+    places: dict[bytes, int] = defaultdict(int)
+    for i, w in enumerate(part):
+        places[w] |= 1 << i
+    every, last = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    plus, minus, now = every, 0, len(part)
+    best = now
+    for w in passage:
+        equal = places.get(w, 0)
+        vertical = equal | minus
+        across = ((((equal & plus) + plus) ^ plus) | equal) & every
+        up, down = (minus | ~(across | plus)) & every, plus & across
+        now += bool(up & last) - bool(down & last)
+        best = min(best, now)
+        up, down = (up << 1) & every, (down << 1) & every
+        plus, minus = (down | ~(vertical | up)) & every, up & vertical
+    return best
 
 
 class Index:
