@@ -87,62 +87,95 @@ def distance(a, b, most):
     return row[-1]
 
 
-def slow_lines(rows):
-    """doc_id: (lines with a word, copies, near copies, removed line numbers)."""
-    places, lines = {}, {}
+def slow_lines(rows, edits=2, least=20):
+    """A row (doc_id, lines with a word, copies, near copies, removed line numbers) for each row."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    keys = {r.t: r.k for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) k").collect()}
+    lines = lambda t: [(n, line) for n, line in enumerate((t or "").split("\n")) if WORDS.search(line)]
+    places = {}
     for i, t in rows:
-        if i is None:
-            continue
-        for n, line in enumerate((t or "").split("\n")):
-            if WORDS.search(line):
-                lines.setdefault(i, set()).add((n, line))
-                places[line] = min((i, n), places.get(line, (i, n)))
+        for n, line in lines(t) if i is not None else ():
+            here = (i, keys[t or ""], n)
+            places[line] = min(here, places.get(line, here))
     some = sorted(places, key=len)
     near = set()
     for x, a in enumerate(some):
         for b in some[x + 1 :]:
-            if len(b) - len(a) > 2:
+            if len(b) - len(a) > edits:
                 break
-            if len(a) >= 20 and distance(a, b, 2) <= 2:
+            if len(a) >= least and distance(a, b, edits) <= edits:
                 near.add(max(a, b, key=places.get))
-    out = {}
-    for i, own in lines.items():
-        copies = {n for n, line in own if places[line] < (i, n)}
-        close = {n for n, line in own if line in near}
-        out[i] = (len({n for n, _ in own}), len(copies), len(close - copies), ",".join(map(str, sorted(copies | close))))
-    return out
+    out = []
+    for i, t in rows:
+        own = lines(t)
+        copies = {n for n, line in own if i is not None and places[line] < (i, keys[t or ""], n)}
+        close = {n for n, line in own if i is not None and line in near}
+        out.append((i, len(own), len(copies), len(close - copies), ",".join(map(str, sorted(copies | close)))))
+    return order(out)
 
 
-def lined(seed=9):
+def lined(seed=9, most=3):
     rng = random.Random(seed)
     base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(19, 45))) + "end" for _ in range(40)]
+
     def edit(line):
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, most)):
             k = rng.randrange(len(line))
             line = rng.choice((line[:k] + line[k + 1 :], line[:k] + "z" + line[k:], line[:k] + "y" + line[k + 1 :]))
         return line
+
     return [(i, "\n".join(edit(rng.choice(base)) for _ in range(rng.randint(1, 12)))) for i in range(50)]
 
 
-@pytest.mark.parametrize("rows", [lined(), [r[:2] for r in ROWS if r[0] != 7]])
-def test_lines(spark, rows):
-    got = {r.doc_id: (r.n_lines, r.n_copies, r.n_near, r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = slow_lines(rows)
-    assert {i: got[i] for i in want} == want
-    assert all(got[i] == (0, 0, 0, "") for i in set(got) - set(want) if i is not None)
+def crowded(seed):
+    """Many lines that share two thirds of their letters: most lie beyond two edits of each other, some within, at every length."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(120):
+        word = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+        rows.append((i % 100, f"the same beginning of every line {word} and its very same end" + "\nshort one" * (i % 3)))
+    return rows
+
+
+def report(spark, rows):
+    return order([tuple(r) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
 
 
-def test_crowded_segments_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CROWD", 2)
-    rows = lined(10)
-    got = {r.doc_id: (r.n_lines, r.n_copies, r.n_near, r.removed) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == slow_lines(rows) and sum(g[2] for g in got.values()) > 20
+@pytest.mark.parametrize("rows", [lined(), lined(11, 6), [r[:2] for r in ROWS], [(1, None), (2, ""), (3, " \n\t"), (4, "\n")]])
+def test_lines(spark, rows):
+    assert report(spark, rows) == slow_lines(rows)
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_crowded_segments_lose_no_line(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rows = crowded(10)
+    got = report(spark, rows)
+    assert got == slow_lines(rows) and sum(g[3] for g in got) > 20 and sum(g[1] > 0 and g[2] + g[3] == 0 for g in got) > 20
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_bit_parallel_distance(spark, edits):
+    rng = random.Random(edits)
+    word = lambda n: "".join(rng.choice("aé\U0001f600z") for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("ab", ""), ("abc", "abc")]
+    for _ in range(400):
+        a = word(rng.randint(0, 12))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = word(rng.randint(0, 1))
+        pairs.append((a, "".join(b)))
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    got = frame.select("a", "b", line_dedup.within(frame.a, frame.b, edits).alias("near")).collect()
+    assert [(r.a, r.b, r.near) for r in got] == [(a, b, distance(a, b, edits) <= edits) for a, b in pairs]
 
 
 def test_lines_of_tables(docs, sample):
-    got = {r.doc_id: (r.n_lines, r.n_copies, r.n_near, r.removed) for r in line_dedup.line_report(docs).collect()}
     want = slow_lines([(i, t) for i, t, *_ in sample])
-    assert {i: got[i] for i in want} == want and any(w[2] or w[1] for w in want.values())
+    assert order([tuple(r) for r in line_dedup.line_report(docs).collect()]) == want and any(w[2] or w[3] for w in want)
 
 
 def test_lines_keep_columns(edge, empty):
@@ -151,3 +184,9 @@ def test_lines_keep_columns(edge, empty):
     texts = {r.doc_id: r.text for r in left.collect()}
     assert Counter(texts[9].split("\n"))["same line of words here"] == 1
     assert line_dedup.line_report(empty).count() == 0
+
+
+def test_dropped_lines_are_the_row_s_own(spark):
+    rows = [(7, "an entirely different opening, found nowhere else"), (7, "a line that stands in both of the documents here"), (3, "a line that stands in both of the documents here"), (None, "a line that stands in both of the documents here")]
+    got = {(r.doc_id, r.text) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, "an entirely different opening, found nowhere else"), (7, ""), (3, rows[2][1]), (None, rows[3][1])}
