@@ -10,8 +10,9 @@ The template table is fixed in the code (its size is checked before it is broadc
 by shuffle). Documents without a match are never shuffled.
 
 Defined results: a null or empty text has no words; texts shorter than GRAM words have no votes; a doc_id that
-stands on several rows is one document (votes are a set), and each row gets its results; a null doc_id is a
-document of its own; an empty table gives an empty result; further columns are ignored.
+stands on several rows with different texts is as many documents (rows are told apart by their texts' hashes, with and
+without a doc_id), and equal rows are one document whose results each gets; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,30 +74,34 @@ def template_grams(docs: DataFrame) -> DataFrame:
     return F.broadcast(grams) if len(rows) <= MAX_BROADCAST_ROWS else grams
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def votes(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, label, size, is_base, at, place): each match of a run of words with a template's place, once."""
+    """(doc_id, text_key, template, label, size, is_base, at, place): each match of a run of words with a template's place, once."""
     words = F.array_remove(F.split(folded(F.col("text")), WORD_GAP), "")
     runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(GRAM)]))
     grams = F.transform(F.array(words), lambda w: F.when(F.size(w) >= GRAM, runs(w)))[0]
-    rows = docs.select("doc_id", F.posexplode(grams).alias("place", "words")).withColumn("hash", F.xxhash64("words"))
+    rows = docs.select("doc_id", text_key(), F.posexplode(grams).alias("place", "words")).withColumn("hash", F.xxhash64("words"))
     return rows.join(template_grams(docs), "hash").where("words = gram").drop("hash", "words", "gram").distinct()
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """(doc_id, template, label, is_base, first, last, covered, score, is_whole) of merged diagonals."""
+    """(doc_id, text_key, template, label, is_base, first, last, covered, score, wholes) of merged diagonals."""
     # Words that a diagonal's runs cover: each run adds GRAM words, less what overlaps the run before.
-    same = Window.partitionBy("doc_id", "template", "diagonal").orderBy("at")
+    same = Window.partitionBy("doc_id", "text_key", "template", "diagonal").orderBy("at")
     lines = (
         found.withColumn("diagonal", F.col("place") - F.col("at"))
         .withColumn("new", F.least(F.lit(GRAM), F.coalesce(F.col("at") - F.lag("at").over(same), F.lit(GRAM))))
-        .groupBy("doc_id", "template", "label", "size", "is_base", "diagonal")
+        .groupBy("doc_id", "text_key", "template", "label", "size", "is_base", "diagonal")
         .agg(F.count("*").alias("n"), F.sum("new").alias("covered"), F.min("place").alias("first"), F.max("place").alias("last"))
     )
     # A diagonal opens a span unless the one before it in the document is near, by words and by its number.
-    order = Window.partitionBy("doc_id", "template").orderBy("first", "diagonal")
+    order = Window.partitionBy("doc_id", "text_key", "template").orderBy("first", "diagonal")
     near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= NEAR_DIAGONALS) & (F.col("first") - F.lag("last").over(order) <= NEAR_WORDS)
     opened = lines.withColumn("opens", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("span", F.sum("opens").over(order))
-    merged = opened.groupBy("doc_id", "template", "label", "size", "is_base", "span").agg(
+    merged = opened.groupBy("doc_id", "text_key", "template", "label", "size", "is_base", "span").agg(
         F.least(F.sum("covered"), F.first("size")).alias("covered"), F.min("first").alias("first"), F.max("last").alias("last_run"), F.sum(F.when(F.col("n") == F.col("size") - GRAM + 1, 1).otherwise(0)).alias("wholes"),
         F.min(F.when(F.col("n") == F.col("size") - GRAM + 1, F.col("first"))).alias("first_whole"), F.max(F.when(F.col("n") == F.col("size") - GRAM + 1, F.col("first"))).alias("last_whole"),
     )
@@ -108,12 +113,12 @@ def license_report(docs: DataFrame) -> DataFrame:
     base, accepted = F.col("is_base") & (F.col("wholes") > 0), F.col("score") >= MIN_COVERAGE
     listed = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("label")))), ",")
     # A base label needs the whole phrase; part of a base phrase is no evidence of its own.
-    found = spans(votes(docs)).groupBy("doc_id").agg(
+    found = spans(votes(docs)).groupBy(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).agg(
         F.sum(F.when(F.col("is_base"), F.col("wholes"))).alias("n_base"), F.min(F.when(F.col("is_base"), F.col("first_whole"))).alias("first_word"), F.max(F.when(F.col("is_base"), F.col("last_whole"))).alias("last_word"),
         listed(base).alias("base_labels"), listed(base | (accepted & ~F.col("is_base"))).alias("labels"), F.max(F.when(~F.col("is_base") | base, F.col("score"))).alias("score"),
-    ).withColumnRenamed("doc_id", "found_id")
-    rows = docs.select("doc_id", F.regexp_count(folded(F.col("text")), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).cast("long").alias("n_words"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
+    )
+    rows = docs.select("doc_id", text_key(), F.regexp_count(folded(F.col("text")), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).cast("long").alias("n_words"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -12,8 +12,8 @@ A hot leaf is not ordered in one task: its documents fall into 4,096 buckets by
 token sums are added up in order, and only documents within a bucket are sorted.
 
 Defined results: a null or empty text has no tokens and costs nothing; null domains, languages and sources are
-nodes of their own, named ''; repeated rows are documents of their own; ties in the order are broken by doc_id and
-length; nodes without a weight have DEFAULT_WEIGHT; an empty table gives an empty result; further columns are
+nodes of their own, named ''; repeated rows, and rows that share a doc_id, are documents of their own, each taken by
+itself; a row without a doc_id is ordered by its text's digest; ties in the order are broken by doc_id and length; nodes without a weight have DEFAULT_WEIGHT; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.session import shared_path
+
 DEFAULT_WEIGHT = 1
 # Target weights of the registered query (whole numbers; only their ratios count).
 DOMAIN_WEIGHTS = {"web": 50, "books": 30, "reference": 20}
@@ -71,42 +73,67 @@ def leaf_budgets(leaves: DataFrame, weights: tuple[dict, dict, dict], percent: i
     return sources.select("domain", "lang", "source", "supply", F.col("share").alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS), percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, copies) of each document: copies is how many epochs take it, 0 for none."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select("doc_id", domain_of(name("source")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens"))
-    keys = ["domain", "lang", "source"]
-    quotas = leaf_budgets(rows.groupBy(*keys).agg(F.sum("n_tokens").alias("supply")), weights, percent, max_epochs)
-    quotas = quotas.withColumn("full", F.when(F.col("supply") > 0, F.expr("quota div supply")).otherwise(0)).withColumn("rest", F.col("quota") - F.col("full") * F.col("supply"))
-    epochs = F.array(*[F.md5(F.concat_ws(":", F.lit(seed), F.lit(e), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) for e in range(max_epochs)])
-    ordered = rows.withColumn("orders", epochs)
-    # Buckets of each epoch's order; each leaf uses those of the epoch it takes in part.
-    sums = ordered.select(*keys, "n_tokens", F.posexplode("orders").alias("epoch", "order")).groupBy(*keys, "epoch", F.substring("order", 1, 3).alias("bucket")).agg(F.sum("n_tokens").alias("size"))
-    partial = sums.join(quotas, keys).where(F.col("epoch") == F.col("full"))
-    running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = partial.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0))).select(*keys, "epoch", "bucket", "before", "rest", "full")
-    picked = ordered.select("doc_id", *keys, "n_tokens", F.posexplode("orders").alias("epoch", "order")).withColumn("bucket", F.substring("order", 1, 3)).join(buckets, [*keys, "epoch", "bucket"])
-    inside = Window.partitionBy(*keys, "epoch", "bucket").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+Weights = tuple[dict[str, int], dict[str, int], dict[str, int]]
+KEYS = ["domain", "lang", "source"]
+
+
+def leaves_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, name) and `more`; name seeds a document's order: its doc_id or else its text's digest."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        "doc_id", domain_of(named("source")).alias("domain"), named("lang").alias("lang"), named("source").alias("source"),
+        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.md5(text)).alias("name"), *more,
+    )
+
+
+def take(
+    docs: DataFrame, more: tuple[Column, ...], weights: Weights = (DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS),
+    percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+) -> DataFrame:
+    """leaves_of(docs, *more) with `copies`, how many epochs take the row. Budgets and bucket sums come from a narrow
+    table that is written once; rows themselves are shuffled once, to be sorted within their buckets."""
+    narrow = shared_path(docs.sparkSession, "mixing-leaves")
+    leaves_of(docs).write.parquet(narrow)
+    known = docs.sparkSession.read.parquet(narrow)
+    quotas = leaf_budgets(known.groupBy(*KEYS).agg(F.sum("n_tokens").alias("supply")), weights, percent, max_epochs)
+    full = F.when(F.col("supply") > 0, F.expr("quota div supply")).otherwise(0)
+    quotas = quotas.withColumn("full", full).withColumn("rest", F.col("quota") - F.col("full") * F.col("supply"))
+    # A leaf's order is that of the epoch it takes in part; leaves that use up every epoch have none, and take all rows.
+    path = shared_path(docs.sparkSession, "mixing-quotas")
+    quotas.select(*KEYS, "full", "rest").write.parquet(path)
+    quotas = docs.sparkSession.read.parquet(path)
+
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("full"), F.col("name")))
+    ordered = lambda rows: rows.join(quotas, KEYS).withColumn("order", order).withColumn("bucket", F.substring("order", 1, 3))
+    sums = ordered(known).groupBy(*KEYS, "bucket").agg(F.sum("n_tokens").alias("size"))
+    running = Window.partitionBy(*KEYS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sums.select(*KEYS, "bucket", F.coalesce(F.sum("size").over(running), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*KEYS, "bucket").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    chosen = picked.withColumn("start", start).select("doc_id", *keys, "n_tokens", (F.col("full") + F.when(F.col("start") < F.col("rest"), 1).otherwise(0)).cast("long").alias("copies"))
-    # Leaves that use up every epoch have no epoch taken in part.
-    whole = rows.join(quotas.where(F.col("full") >= max_epochs), keys).select("doc_id", *keys, "n_tokens", F.col("full").cast("long").alias("copies"))
-    return chosen.unionByName(whole)
+    placed = ordered(leaves_of(docs, *more)).join(buckets, [*KEYS, "bucket"]).withColumn("start", start)
+    part = (F.col("full") < max_epochs) & (F.col("start") < F.col("rest"))
+    return placed.withColumn("copies", (F.col("full") + F.when(part, 1).otherwise(0)).cast("long"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, copies) of each document: copies is how many epochs take it, 0 for none."""
+    return take(docs, (), **options).select("doc_id", *KEYS, "n_tokens", "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are chosen, each as often as it is taken, with their own columns."""
-    picked = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__palisade_id")).agg(F.max("copies").alias("__palisade_copies"))
-    got = docs.join(picked, docs["doc_id"].eqNullSafe(picked["__palisade_id"]))
-    return got.withColumn("__palisade_copy", F.explode(F.sequence(F.lit(1), F.col("__palisade_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are chosen, each row as often as it is taken, with their own columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    picked = take(docs, (row,), **options).where("copies > 0")
+    return picked.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 #: DuckDB SQL for mix() with the registered query's parameters.
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id,
-         CASE WHEN n <= 7 THEN 'web' WHEN n <= 13 THEN 'books' ELSE 'reference' END AS domain, lang, source, n_tokens
-  FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         CASE WHEN n <= 7 THEN 'web' WHEN n <= 13 THEN 'books' ELSE 'reference' END AS domain, lang, source, n_tokens, name
+  FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                try_cast(regexp_extract(coalesce(source, ''), '^src([0-9]+)$', 1) AS INT) AS n,
                CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens
         FROM documents)),
@@ -127,7 +154,7 @@ src1 AS (SELECT *, cap * sum(weight) OVER (PARTITION BY domain, lang ORDER BY ca
 src AS (SELECT domain, lang, source, supply, CASE WHEN short THEN cap ELSE weight * (budget - coalesce(sum(cap) FILTER (WHERE short) OVER (PARTITION BY domain, lang), 0)) // sum(weight) FILTER (WHERE NOT short) OVER (PARTITION BY domain, lang) END AS quota FROM src1),
 q AS (SELECT *, CASE WHEN supply > 0 THEN quota // supply ELSE 0 END AS f FROM src),
 o AS (SELECT d.doc_id, d.domain, d.lang, d.source, d.n_tokens, q.f, q.quota - q.f * q.supply AS rest,
-             coalesce(sum(d.n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('17:' || CAST(q.f AS VARCHAR) || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+             coalesce(sum(d.n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('17:' || CAST(q.f AS VARCHAR) || ':' || d.name), d.doc_id, d.n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN q USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, CAST(f + CASE WHEN f < 2 AND before < rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o
 """

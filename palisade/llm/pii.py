@@ -1,12 +1,15 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM estimates their reliabilities, and a
 span classifier trained on the resulting probabilities decides which spans are added.
 
-Candidates come from patterns of each kind (looser than the base ones, and a kind `secret` for keys and passwords).
-Three families of labelers vote yes, no or abstain on each candidate: formats (the strict pattern, check digits,
-ranges), gazetteers (mail domains, key prefixes, cue words) and the context before the span. Only the counts of each
-vote pattern leave Spark's aggregation: at most 3 ** len(LABELERS) rows for each kind. EM for a naive Bayes model
-with one reliability per labeler gives each pattern a probability; the classifier is a logistic regression on
-the span's own features, fitted to the counts of (features, vote pattern), which are a bounded number too.
+Candidates come from loose patterns of each kind, wide enough to hold false ones beside true ones: addresses without a
+dot or with the at sign spelt out, four numbers of any size, long digit runs whether or not their check digit holds,
+telephone-like groups and dates, and values assigned to a name like password. Seven labelers vote yes, no or abstain
+on each: format, check (check digits, ranges, digit counts), gazetteer (top domains, issuer digits, key prefixes,
+placeholder words), the words before the span (cues, and cues of something else), its neighbours, and its makeup. Only
+the counts of each vote pattern leave Spark's aggregation: at most 3 ** 7 rows for each kind and feature value. EM for a
+naive Bayes model with one reliability per labeler gives each pattern a probability; reliabilities start from a prior,
+so that a kind whose candidates are all true isn't torn in two. The classifier is a logistic regression on the span's
+own features, fitted to the counts of (features, vote pattern), which are a bounded number too.
 
 Base spans always stay, whatever the classifier says. Defined results: a null or empty text has no spans; offsets
 are code points, ends exclusive; repeated rows are judged alike, row by row; an empty table gives an empty result
@@ -16,6 +19,7 @@ are code points, ends exclusive; repeated rows are judged alike, row by row; an
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -34,9 +38,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Patterns and gazetteers of further candidates.
-SECRET = re.compile(r"""(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}["']?([^\s"',;]{6,}+)|(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])""", re.IGNORECASE)
-LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
+# Patterns and gazetteers of further candidates (linear: what repeats is possessive or bounded).
+SECRET = re.compile(r"""(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}["']?([^\s"',;]{4,}+)|(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])""", re.IGNORECASE)
+LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?[\[(](?:at|AT)[\])] ?)[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?)[A-Za-z0-9-]{1,63}+){0,8}")
+# Digits first, then what may not stand before them: the search for a first digit is fast.
+LOOSE_IP = re.compile(r"[0-9](?<![0-9.][0-9])[0-9]{0,5}+(?:\.[0-9]{1,6}+){3}(?![0-9.])")
+LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+LOOSE_CARD = re.compile(r"[0-9](?<![0-9A-Za-z][0-9])(?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")
+LOOSE_PHONE = re.compile(r"[0-9(](?<![0-9A-Za-z+.-][0-9(])(?:(?<=\()[0-9]{3}\) ?|(?<!\()[0-9]{2,3}[ .-])(?:[0-9]{3}[ .-][0-9]{4}|[0-9]{2}[ .-][0-9]{2})(?![0-9A-Za-z])")
+DIGIT = re.compile("[0-9]")
+SECRET_MARKS = ("passw", "secret", "token", "key", "akia", "asia", "gh")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 CUES = {
     "email": ("mail", "email", "contact", "write"),
@@ -45,11 +56,14 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax"),
     "secret": ("password", "passwd", "token", "secret", "key"),
 }
-FALSE_CUES = ("version", "v", "isbn", "issn", "order", "example", "section", "page")
+FALSE_CUES = ("version", "v", "isbn", "issn", "order", "example", "section", "page", "release", "date", "on", "since", "syntax", "optional")
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk")
+PLACEHOLDERS = ("required", "string", "optional", "none", "null", "true", "false", "your", "changeme", "example", "xxx", "hidden", "text", "value", "here")
 CONTEXT_CHARS = 40
-LABELERS = ("format", "check", "gazetteer", "cue", "false_cue", "mixed", "alone")
-MIN_PROBABILITY, EM_ROUNDS, FIT_ROUNDS = 0.8, 50, 500
+LABELERS = ("format", "check", "gazetteer", "cue", "false_cue", "makeup", "alone")
+#: Before any vote is counted, a labeler that speaks is taken to be right in 8 of 10 cases, and this many cases were seen.
+PRIOR_RIGHT, PRIOR_CASES = 0.8, 20.0
+MIN_PROBABILITY, EM_ROUNDS, FIT_ROUNDS = 0.5, 50, 500
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -77,6 +91,8 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in order."""
     found = [(0, a, b) for a, b in emails(text)] if "@" in text else []
+    if not DIGIT.search(text):
+        return found
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             found.append((1, m.start(), m.end()))
@@ -94,11 +110,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and those of the looser patterns that overlap none of the spans before them."""
     found, taken = list(base), sorted((a, b) for _, a, b in base)
-    more = [(4, m.start(g), m.end(g)) for m in SECRET.finditer(text) for g in (1, 2) if m[g]] + [(3, m.start(), m.end()) for m in LOOSE_PHONE.finditer(text)]
+    more, low = [], text.lower()
+    if any(x in low for x in SECRET_MARKS):
+        more += [(4, m.start(g), m.end(g)) for m in SECRET.finditer(text) for g in (1, 2) if m[g]]
+    loose = [(0, LOOSE_EMAIL)] * ("@" in text or "at]" in low or "at)" in low) + [(1, LONG_IP)] * (text.count(":") >= 7)
+    if DIGIT.search(text):
+        loose += [(1, LOOSE_IP), (2, LOOSE_CARD), (3, LOOSE_PHONE)]
+    for kind, pattern in loose:
+        more += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     if more:
         starts = [a for a, _ in taken]
-        for kind, a, b in sorted(more, key=lambda x: x[1:]):
-            at = np.searchsorted(starts, a, side="right")
+        for kind, a, b in sorted(more, key=lambda x: (x[0] != 4, *x[1:])):  # an assigned value is a secret, whatever it looks like
+            at = bisect_right(starts, a)
             if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
                 found.append((kind, a, b))
                 taken.insert(at, (a, b))
@@ -106,33 +129,50 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return found
 
 
+def check(kind: int, span: str) -> bool | None:
+    """Whether what can be worked out of a span holds: domain, range, check digit, number of digits, letters with digits."""
+    digits = "".join(c for c in span if c in "0123456789")
+    if kind == 0:
+        return bool(re.search(r"(?:\.|[\[(](?:dot|DOT)[\])] ?)[A-Za-z]{2,}$", span))
+    if kind == 1:
+        return ":" in span or all(int(p) <= 255 for p in span.split("."))
+    if kind == 2:
+        return luhn(digits)
+    if kind == 3:
+        return len(digits) == 10 or span.startswith("+")
+    kinds = (any(c.islower() for c in span), any(c.isupper() for c in span), bool(digits), any(not c.isalnum() for c in span))
+    return len(span) >= 6 and ((kinds[2] and any(kinds[:2])) or sum(kinds) >= 3)
+
+
 def votes(text: str, kind: int, start: int, end: int, is_base: bool) -> str:
-    """One letter for each labeler: y, n or - (abstains)."""
+    """One letter for each labeler: y, n or - (abstains). What any candidate of the kind would show is no vote."""
     span, before, after = text[start:end], text[max(0, start - CONTEXT_CHARS) : start].lower(), text[end : end + 1]
-    cues = set(re.findall(r"[a-z]+", before))
-    yes = lambda test, no=False: "y" if test else "n" if no else "-"
-    domain = span.rpartition(".")[2].lower()
-    mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
-    gazetteer = {0: domain in TOP_DOMAINS, 4: span.startswith(KEY_PREFIXES)}.get(kind)
-    check = {1: True, 2: True}.get(kind) if is_base else None
+    cues, low, digits = re.findall(r"[a-z]+", before), span.lower(), sum(c.isdigit() for c in span)
+    vote = lambda yes, no=False: "y" if yes else "n" if no else "-"
+    domain = re.split(r"[^a-z0-9]+", low)[-1]
+    formats = (
+        vote(is_base or re.search(r"[\[(]at", low)), vote(is_base or ":" in span, True), vote(False, not 15 <= digits <= 16),
+        vote(is_base or span[0] in "+(", not re.fullmatch(r"[0-9]{3}.[0-9]{3}.[0-9]{4}", span)), vote(False, len(span) < 8),
+    )
+    gazetteers = (
+        vote(domain in TOP_DOMAINS, not domain.isalpha() or domain in ("localhost", "host")), "-", vote(False, span[0] not in "3456"),
+        vote(False, re.match(r"(?:19|20)[0-9][0-9][ .-]", span)), vote(span.startswith(KEY_PREFIXES), any(p in low for p in PLACEHOLDERS)),
+    )
+    makeup = ("-", "-", vote(False, len(set(span) - set(" -")) <= 4), "-", vote(digits and digits < len(span), span.isalpha()))
     return "".join((
-        yes(is_base or (kind == 4 and mixed), kind == 4 and span.isalpha()),
-        "-" if check is None else yes(check, True),
-        "-" if gazetteer is None else yes(gazetteer),
-        yes(cues & set(CUES[KINDS[kind]])),
-        yes(False, bool(cues & set(FALSE_CUES))),
-        yes(mixed, kind == 4 and not mixed) if kind == 4 else "-",
-        yes(not after or not after.isalnum(), True),
+        formats[kind], vote(check(kind, span), True), gazetteers[kind], vote(set(cues) & set(CUES[KINDS[kind]])),
+        vote(False, set(cues[-3:]) & set(FALSE_CUES)), makeup[kind], vote(False, after and (after.isalnum() or after in "_-")),
     ))
 
 
 def features(text: str, kind: int, start: int, end: int) -> str:
-    """The span's own features, few and coarse: kind, length class, shares of digits and letters, its neighbours."""
+    """The span's own features, few and coarse: kind, length class, shares of digits and letters, what stands before it,
+    case, whether its check holds, its first sign, and whether placeholder words are in it."""
     span = text[start:end]
     digits, letters = sum(c.isdigit() for c in span), sum(c.isalpha() for c in span)
     quarter = lambda x: min(3, 4 * x // max(1, len(span)))
     before = text[start - 1] if start else " "
-    return f"{kind}{min(7, len(span).bit_length())}{quarter(digits)}{quarter(letters)}{'s' if before.isspace() else 'q' if before in chr(34) + chr(39) + '=:(' else 'o'}{int(span != span.lower())}"
+    return f"{kind}{min(7, len(span).bit_length())}{quarter(digits)}{quarter(letters)}{'s' if before.isspace() else 'q' if before in chr(34) + chr(39) + '=:(' else 'o'}{int(span != span.lower())}{'ny'[bool(check(kind, span))]}{span[0] if span[0] in "+(3456" else "9" if span[0].isdigit() else "a"}{int(any(p in span.lower() for p in PLACEHOLDERS))}"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -155,18 +195,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def reliabilities(patterns: dict[str, float]) -> tuple[dict[str, float], np.ndarray]:
     """EM over vote patterns and their counts. Returns each pattern's probability and, by labeler, the chances of
-    (y, n, -) given a true and given a false span. Votes start as a majority; counts are smoothed by one."""
+    (y, n, -) given a true and given a false span. Votes start as a majority."""
     names = sorted(patterns)
     counts = np.array([patterns[p] for p in names], float)
     shown = np.array([["yn-".index(c) for c in p] for p in names])
     score = (shown == 0).sum(axis=1) - (shown == 1).sum(axis=1)
     prob = 1 / (1 + np.exp(-score.astype(float)))
+    # What each vote counts before any was seen: as often silent as here, else right in PRIOR_RIGHT of all cases.
+    silent = ((shown == 2) * counts[:, None]).sum(axis=0) / counts.sum()
+    speaks = PRIOR_CASES * (1 - silent)[:, None, None] * np.array([[PRIOR_RIGHT, 1 - PRIOR_RIGHT], [1 - PRIOR_RIGHT, PRIOR_RIGHT]])
+    prior_votes = np.concatenate([speaks, np.broadcast_to(PRIOR_CASES * silent[:, None, None], (len(silent), 2, 1))], axis=2) + 0.01
     chances = np.zeros((shown.shape[1], 2, 3))
     for _ in range(EM_ROUNDS):
         for i in range(shown.shape[1]):
             for v in range(3):
-                chances[i, 0, v] = 1 + (counts * prob)[shown[:, i] == v].sum()
-                chances[i, 1, v] = 1 + (counts * (1 - prob))[shown[:, i] == v].sum()
+                chances[i, 0, v] = prior_votes[i, 0, v] + (counts * prob)[shown[:, i] == v].sum()
+                chances[i, 1, v] = prior_votes[i, 1, v] + (counts * (1 - prob))[shown[:, i] == v].sum()
         chances /= chances.sum(axis=2, keepdims=True)
         prior = np.clip((counts * prob).sum() / counts.sum(), 0.05, 0.95)
         odds = np.log(prior / (1 - prior)) + sum(np.log(chances[i, 0, shown[:, i]] / chances[i, 1, shown[:, i]]) for i in range(shown.shape[1]))

@@ -81,6 +81,18 @@ def test_mixing_against_sql(spark):
     assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({mixing.ORACLE_SQL})").fetchall()) and {r[-1] for r in got} >= {0, 1}
 
 
+def test_mixing_takes_rows_one_by_one(spark):
+    """Rows that share a doc_id, and equal rows, are each taken as often as mix() says of them."""
+    rows = [(i % 7 if i % 3 else None, f"text {'word ' * (i % 11)}", "en", f"src{i % 3}", i) for i in range(300)] + [(1, "twice the same", "en", "src1", 5)] * 9
+    frame = spark.createDataFrame(rows, DOCS)
+    for percent in (30, 90, 140):
+        got = mixing.mixed(frame, percent=percent)
+        counts = mixing.mix(frame, percent=percent).groupBy("source", "n_tokens").agg(F.sum("copies").alias("n")).where("n > 0")
+        words = F.regexp_count("text", F.lit(mixing.WORDS)).cast("long")
+        assert {tuple(r) for r in got.groupBy("source", words.alias("n_tokens")).count().collect()} == {tuple(r) for r in counts.collect()}
+        assert got.groupBy(*DOCS.names).count().where("count > 18").count() == 0
+
+
 def slow_deal(budget, children):
     """Shares of a budget by weight; children: {name: (cap, weight)}."""
     share, open_ = {}, dict(children)
