@@ -47,7 +47,7 @@ LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}
 LOOSE_CARD = re.compile(r"[0-9](?<![0-9A-Za-z][0-9])(?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")
 LOOSE_PHONE = re.compile(r"[0-9(](?<![0-9A-Za-z+.-][0-9(])(?:(?<=\()[0-9]{3}\) ?|(?<!\()[0-9]{2,3}[ .-])(?:[0-9]{3}[ .-][0-9]{4}|[0-9]{2}[ .-][0-9]{2})(?![0-9A-Za-z])")
 DIGIT = re.compile("[0-9]")
-SECRET_MARKS = ("passw", "secret", "token", "key", "akia", "asia", "gh")
+SECRET_MARKS = ("passw", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 CUES = {
     "email": ("mail", "email", "contact", "write"),

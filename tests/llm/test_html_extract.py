@@ -1,11 +1,12 @@
 """Main-text extraction: hand-made pages of several kinds, and the tables' pages against their own templates."""
 
 import html
+import random
 import re
 
 import pytest
 
-from palisade.llm.html_extract import LABELLED_PAGES, default_weights, extract, extract_pages, fit, pieces
+from palisade.llm.html_extract import LABELLED_PAGES, best_region, default_weights, extract, extract_pages
 from tests.llm.conftest import SF
 
 CASES = {
@@ -44,17 +45,51 @@ def test_labelled_pages_give_back_their_labels():
 
 def test_scan_finds_the_best_region_of_all():
     """The linear scan against all regions."""
-    weights = fit(LABELLED_PAGES)
-    for page in LABELLED_PAGES:
-        found, bad = pieces(page)
-        scores = [weights.get(k, 1.0) * len(t.split()) if k.startswith("word") else weights.get(k, -0.3) for k, t, _ in found]
-        best = max(((sum(scores[i:j]), -i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)))
-        blocks = {}
-        for k, t, b in found[-best[1] : best[2]]:
-            if not bad[b] and (k.startswith("word") or k == "tag:br"):
-                blocks.setdefault(b, []).append(t)
-        lines = [" ".join(html.unescape("".join(x)).split()) for _, x in sorted(blocks.items())]
-        assert extract(page, weights) == "\n".join(x for x in lines if x)
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.choice((-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0)) for _ in range(rng.randint(0, 14))]
+        first, last = best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0.0)
+        assert sum(scores[first : last + 1]) == max(best, 0.0)
+
+
+STORY = "<h1>Ferry returns</h1><p>The ferry came back to the island on Friday after a long winter in the yard, and the pier was full.</p><p>Short one.</p>"
+TEXT = "Ferry returns\nThe ferry came back to the island on Friday after a long winter in the yard, and the pier was full.\nShort one."
+UNMARKED = {
+    "menu and teasers without a mark": f'<body><div><a href="/">Home</a> <a href="/n">News of the day and more</a></div><div>{STORY}</div><div><a href="/x">Ten islands to see before the summer ends</a><br><a href="/y">What the captain says of it all</a></div></body>',
+    "loose words around a main element": f"<body><p>Welcome to the site of the old town, dear readers</p><main>{STORY}</main><p>Thank you for reading this site to its very end</p></body>",
+    "a link list between two parts": f"<body><div>{STORY}</div><div><a href='/1'>one more link</a> <a href='/2'>and one more link again</a></div><p>The captain told us that she had missed the smell of the sea more than anything.</p></body>",
+}
+
+
+@pytest.mark.parametrize("name", UNMARKED)
+def test_weights_decide_where_nothing_is_marked(name):
+    """With every weight the same the scan takes the whole page; the learned ones find the text."""
+    page = UNMARKED[name]
+    got = extract(page, default_weights())
+    assert TEXT in got and not re.search("Home|Ten islands|Welcome|Thank you|one more link", got)
+    flat = extract(page, {"bias": 1.0})
+    assert flat != got and len(flat) > len(got)
+
+
+KEPT = {
+    "a price within the article": ("<article><p>Some words of text</p><div class='share-price'>The share stood at ten when the market closed today</div><p>More text</p></article>", "Some words of text\nThe share stood at ten when the market closed today\nMore text"),
+    "a subject that sounds like a part of the page": (f"<article><div class='foot-care'>{STORY}</div></article>", TEXT),
+    "a page in one form": (f"<body><form action='/x'><div class='menu'><a href='/'>Home</a></div><div>{STORY}</div></form></body>", TEXT),
+    "a wrapper named after its sidebar": (f"<body><div class='sidebar'><main>{STORY}</main></div></body>", TEXT),
+    "links of the article": ("<article><p>Words that lead to the links below</p><ul><li><a href='/a'>First source</a></li><li><a href='/b'>Second</a></li></ul></article>", "Words that lead to the links below\nFirst source\nSecond"),
+} | {f"an unclosed {name}": (f"<article><p>Before it</p><{name} width=3>{STORY}</article>", f"Before it\n{TEXT}") for name in ("svg", "noscript", "canvas", "iframe", "object", "template")}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_text_of_the_article_stays(name):
+    page, want = KEPT[name]
+    assert extract(page, default_weights()) == want
+
+
+@pytest.mark.parametrize("mark", ["class=ad", "class='ad-banner'", "id=cookie_notice", "class='site comments-area'", "class=newsletterSignup", "role=search", "hidden", "style='display: none'", "class='social-share bottom'"])
+def test_boilerplate_within_the_article_goes(mark):
+    assert extract(f"<article>{STORY}<div {mark}>Words of no use to any reader of this</div><p>And the end of it.</p></article>", default_weights()) == f"{TEXT}\nAnd the end of it."
 
 
 def test_long_and_hostile_pages_end():
