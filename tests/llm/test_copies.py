@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from palisade.llm import line_dedup, substring_dedup
@@ -61,12 +62,29 @@ def test_repeats_in_planted_texts(spark):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
-def test_repeats_in_groups_too_large_for_a_tree(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "GROUP_SEGMENTS", 3)
+@pytest.mark.parametrize("bound", [1, 3])
+def test_prefixes_are_lengthened_until_groups_fit(spark, monkeypatch, bound):
+    monkeypatch.setattr(substring_dedup, "GROUP_SEGMENTS", bound)
     rows = planted(4)
     assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == order(slow_removal(rows))
 
 
+def test_suffix_array_against_sorting():
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = [[rng.randint(0, rng.choice((1, 3, 50))) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 8))]
+        nodes, starts = [], []
+        for i, t in enumerate(texts):
+            starts += range(len(nodes), len(nodes) + len(t))
+            nodes += [*t, 1000 + i]
+        got, common = substring_dedup.suffix_array(np.array(nodes), np.array(starts), max(map(len, texts)))
+        suffix = lambda i: nodes[i : next(k for k in range(i, len(nodes)) if nodes[k] >= 1000) + 1]
+        assert [suffix(i) for i in got] == sorted(map(suffix, starts))
+        for a, b, n in zip(got, got[1:], common[1:]):
+            x, y = suffix(a), suffix(b)
+            assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+
+
 def test_repeats_in_tables(docs, sample):
     assert removed(docs) == order(slow_removal([(i, t) for i, t, *_ in sample]))
 
