@@ -1,20 +1,23 @@
 """Benchmark decontamination: every passage of every training document is a BM25 query against an inverted index of
 the test items, answered by block-max WAND; what it retrieves is verified by question and answer overlap.
 
-Index: for each term the posting list of items in ascending order, cut into blocks of BLOCK postings with the largest
-impact of each block. An impact is the term's BM25 weight in the item divided by the item's score for itself, so
-that a score is the share of an item that a passage holds, and one threshold fits short and long items.
-Query: the distinct terms of a passage. Before the document-at-a-time search, a passage is compared with an upper
-bound: postings of terms that can matter (the others' largest impacts are added to the bound, so nothing is lost)
-are summed for all passages of the document at once, and only passages with an item over the bound are searched.
+Index: for each term the posting list of items in ascending order, and the term's largest impact in each block of BLOCK
+neighbouring items. An impact is the term's BM25 weight in the item divided by the item's score for itself, so that a
+score is the share of an item that a passage holds, and one threshold fits short and long items.
+Query: the distinct terms of a passage. The block maxima of a passage's terms add up to a bound for each block; blocks
+below the threshold are dead for the passage (this is worked out for all passages of a document at once, and for
+terms that stand in many items the largest sum in the block is taken). The document-at-a-time search (WAND: pivots by
+largest impacts, then by the maxima of the pivot's block) moves through live blocks alone, so nothing is lost.
 Passages are twice as long as the longest item and start every half of that, so each item stands whole in one.
 Verification: the item's last sentence is its answer and the rest its question; of each, the share of the runs of
 SHINGLE words found in the passage, or of the words in the best alignment with a piece of it, must reach OVERLAP (an
 item of one sentence is all question, and a part of fewer words than SHINGLE is one run). One changed word breaks up to
 SHINGLE runs but costs the alignment one word; a gap or swapped pieces cost the runs few.
 
-The index is held by each task. Items come in shards of at most SHARD_ITEMS items (of at most SHARD_TERMS words), so
-each index has a proven bound; with several shards, each document is scanned against each shard.
+Document frequencies, the mean length and the longest item are worked out by Spark over the whole benchmark, so an
+item's score doesn't depend on its shard. Items lie in shards of about SHARD_ITEMS items (or SHARD_TERMS words) in the shared
+folder, so each shard has a size bound; up to PASS_SHARDS of them are broadcast for one pass over the documents, in which a
+task goes through its documents in groups of GROUP_BYTES and opens one index at a time. Larger benchmarks take further passes.
 
 Defined results: null or empty texts and items without words match nothing; repeated items or documents match as
 often as they stand; rows with a null doc_id are scanned, and are never removed by `drop_contaminated`; empty tables
@@ -27,16 +30,19 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.session import map_batches
+from palisade.session import map_batches, shared_path, slices
 
 K1, B = 1.2, 0.75
 BLOCK, SHINGLE, OVERLAP, MIN_SCORE = 8, 5, 0.8, 0.6
-SHARD_ITEMS, SHARD_TERMS = 20_000, 2_000_000
+SHARD_ITEMS, SHARD_TERMS, PASS_SHARDS, GROUP_BYTES = 20_000, 2_000_000, 8, 32 << 20
 #: A term in more than this share of the items can't tell them apart: its impact goes into the bound alone.
 COMMON_SHARE = 0.02
 
@@ -91,79 +97,94 @@ def edits_to_piece(part: list[bytes], passage: list[bytes]) -> int:
     return best
 
 
+class Stats(NamedTuple):
+    """Number of items, mean and greatest length in words, and in how many items each term stands."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def stats_of(items: list[tuple[int, str]]) -> Stats:
+    lists = [w for _, t in items if (w := words_of(t))]
+    return Stats(len(lists), sum(map(len, lists)) / max(1, len(lists)), max(map(len, lists), default=0), Counter(t for w in lists for t in set(w)))
+
+
 class Index:
-    """Inverted index of items: (item_id, text)."""
+    """Inverted index of items: (item_id, text). stats are those of all items, if these are but a shard."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None) -> None:
+        stats = stats or stats_of(items)
         self.items = [(i, t, words_of(t)) for i, t in items if words_of(t)]
         self.halves = [halves(t) for _, t, _ in self.items]
         n = len(self.items)
-        mean = sum(len(w) for _, _, w in self.items) / max(1, n)
-        df = Counter(t for _, _, w in self.items for t in set(w))
-        idf = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
+        idf = {t: float(np.log(1 + (stats.n - d + 0.5) / (d + 0.5))) for t, d in stats.df.items()}
         lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for at, (_, _, words) in enumerate(self.items):
             counts = Counter(words)
-            norm = K1 * (1 - B + B * len(words) / mean)
+            norm = K1 * (1 - B + B * len(words) / stats.mean)
             weights = {t: idf[t] * c * (K1 + 1) / (c + norm) for t, c in counts.items()}
             own = sum(weights.values())
             for t, w in weights.items():
                 lists[t].append((at, w / own))
-        self.terms = {t: i for i, t in enumerate(sorted(lists))}
         order = sorted(lists)
-        self.docs = [np.array([d for d, _ in lists[t]]) for t in order]
-        self.impacts = [np.array([w for _, w in lists[t]]) for t in order]
-        self.block_last = [p[BLOCK - 1 :: BLOCK].tolist() + ([int(p[-1])] if len(p) % BLOCK else []) for p in self.docs]
-        self.block_max = [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)).tolist() for w in self.impacts]
-        self.lists = [(p.tolist(), w.tolist()) for p, w in zip(self.docs, self.impacts)]
-        self.term_max = [float(w.max()) for w in self.impacts]
-        # Flat postings of the telling terms; for each item, what its common terms can add at most.
-        telling = [len(p) <= max(4, COMMON_SHARE * n) for p in self.docs]
-        self.sizes = np.array([len(p) if tell else 0 for p, tell in zip(self.docs, telling)], np.int64)
+        self.terms = {t: i for i, t in enumerate(order)}
+        self.lists = [([d for d, _ in lists[t]], [w for _, w in lists[t]]) for t in order]
+        self.term_max = [max(w) for _, w in self.lists]
+        # By term, the blocks that it stands in and its largest impact in each.
+        self.blocks: list[dict[int, float]] = []
+        for p, w in self.lists:
+            most: dict[int, float] = {}
+            for d, x in zip(p, w):
+                most[d // BLOCK] = max(x, most.get(d // BLOCK, 0.0))
+            self.blocks.append(most)
+        # Flat block maxima of the telling terms; for each block, what common terms can add to one of its items at most.
+        telling = [len(p) <= max(4, COMMON_SHARE * n) for p, _ in self.lists]
+        self.sizes = np.array([len(m) if tell else 0 for m, tell in zip(self.blocks, telling)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
-        flat = [(p, w) for p, w, tell in zip(self.docs, self.impacts, telling) if tell]
-        self.flat_docs = np.concatenate([p for p, _ in flat]) if flat else np.zeros(0, np.int64)
-        self.flat_impacts = np.concatenate([w for _, w in flat]) if flat else np.zeros(0)
-        self.common = np.zeros(n)
-        for p, w, tell in zip(self.docs, self.impacts, telling):
+        flat = [x for m, tell in zip(self.blocks, telling) if tell for x in sorted(m.items())]
+        self.flat_blocks, self.flat_max = np.array([k for k, _ in flat], np.int64), np.array([w for _, w in flat], float)
+        common = np.zeros(n)
+        for (p, w), tell in zip(self.lists, telling):
             if not tell:
-                self.common[p] += w
-        self.longest = max((len(w) for _, _, w in self.items), default=0)
-
-    def promising(self, ids: np.ndarray, width: int, step: int, threshold: float) -> list[int]:
-        """Numbers of the passages (words number * step to number * step + width) that may hold an item over the
-        threshold. ids: each word's term, -1 if none. Repeated words count each time, so sums are upper bounds."""
+                common[p] += w
+        self.n_blocks = -(-n // BLOCK)
+        self.common = np.array([common[k * BLOCK : (k + 1) * BLOCK].max() for k in range(self.n_blocks)])
+        self.longest = stats.longest
+
+    def live_blocks(self, ids: np.ndarray, step: int, threshold: float) -> dict[int, list[int]]:
+        """By passage (words number * step to (number + 2) * step), the blocks whose maxima add up to the threshold. ids: each
+        word's term, -1 if none. Repeated words count each time, so sums are upper bounds."""
         at = np.flatnonzero(ids >= 0)
-        if not len(at):
-            return []
         terms = ids[at]
         sizes = self.sizes[terms]
         total = int(sizes.sum())
-        if not total:
-            terms_docs, where, weights = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
-            ends = np.cumsum(sizes)
-            flat = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[terms], sizes)
-            terms_docs, where, weights = self.flat_docs[flat], np.repeat(at, sizes), self.flat_impacts[flat]
-        hopeful: set[int] = set()
-        # Sums by (half passage, item); a passage is two neighbouring halves.
-        half = where // step
-        keys, inverse = np.unique(half * len(self.items) + terms_docs, return_inverse=True)
-        sums = dict(zip(keys.tolist(), np.bincount(inverse, weights, len(keys)).tolist()))
-        n = len(self.items)
-        common = self.common
-        for key, s in sums.items():
-            p, d = divmod(key, n)
-            if s + sums.get(key + n, 0.0) + common[d] >= threshold:
-                hopeful.add(p)
-            if p and s + sums.get(key - n, 0.0) + common[d] >= threshold:
-                hopeful.add(p - 1)
-        if (common >= threshold).any():  # an item of common words alone: every passage is searched
-            hopeful |= set(range(max(1, -(-len(ids) // step))))
-        return sorted(hopeful)
-
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: all (item, score) of at least the threshold for a query of distinct terms."""
+        ends = np.cumsum(sizes)
+        flat = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[terms], sizes)
+        # Sums by (half passage, block); a passage is two neighbouring halves.
+        keys, inverse = np.unique(np.repeat(at // step, sizes) * self.n_blocks + self.flat_blocks[flat], return_inverse=True)
+        sums = np.bincount(inverse, self.flat_max[flat], len(keys))
+        following = np.searchsorted(keys, keys + self.n_blocks)
+        has = (following < len(keys)) & (keys[np.minimum(following, len(keys) - 1)] == keys + self.n_blocks) if len(keys) else np.zeros(0, bool)
+        both = sums + np.where(has, sums[np.minimum(following, max(len(keys) - 1, 0))], 0.0) if len(keys) else sums
+        preceded = np.zeros(len(keys), bool)
+        preceded[following[has]] = True
+        block, bound = keys % max(self.n_blocks, 1), self.common - 1e-9
+        live: set[tuple[int, int]] = set(zip(*divmod(keys[both + self.common[block] >= threshold - 1e-9], max(self.n_blocks, 1)))) if len(keys) else set()
+        if len(keys):  # the second half of a passage whose first half has no word of the block
+            alone = ~preceded & (keys >= self.n_blocks) & (sums + self.common[block] >= threshold - 1e-9)
+            live |= set(zip(*divmod(keys[alone] - self.n_blocks, self.n_blocks)))
+        always = np.flatnonzero(bound >= threshold - 2e-9).tolist()  # common words alone: live for every passage
+        live |= {(p, k) for k in always for p in range(-(-len(ids) // step))}
+        out: dict[int, list[int]] = defaultdict(list)
+        for p, k in sorted(live):
+            out[int(p)].append(int(k))
+        return out
+
+    def search(self, terms: list[int], threshold: float, live: list[int] | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: all (item, score) of at least the threshold for a query of distinct terms; live: the blocks to look in."""
+        live = list(range(self.n_blocks)) if live is None else live
         at = [[self.lists[t][0][0], 0, t] for t in terms]  # current item, place in the list, term
         out = []
         eps = 1e-9
@@ -180,26 +201,26 @@ class Index:
             item = at[pivot][0]
             while pivot + 1 < len(at) and at[pivot + 1][0] == item:
                 pivot += 1
-            # The pivot's blocks: shallow moves only.
-            blocks = [bisect_left(self.block_last[t], item) for _, _, t in at[: pivot + 1]]
-            best = sum(self.block_max[t][b] if b < len(self.block_max[t]) else 0.0 for (_, _, t), b in zip(at, blocks))
-            if best >= threshold - eps:
-                if at[0][0] == item:
-                    score = sum(self.lists[t][1][place] for _, place, t in at[: pivot + 1])
-                    if score >= threshold - eps:
-                        out.append((item, score))
-                    target = item + 1
-                else:
-                    target = item
-            else:
-                # No item up to the end of the nearest block, or the next list's item, can reach the threshold.
-                target = min(self.block_last[t][b] + 1 if b < len(self.block_last[t]) else 1 << 62 for (_, _, t), b in zip(at, blocks))
+            block, k = item // BLOCK, bisect_left(live, item // BLOCK)
+            if k == len(live):
+                break
+            if live[k] != block:
+                target = live[k] * BLOCK  # on to the next live block
+            elif sum(self.blocks[t].get(block, 0.0) for _, _, t in at[: pivot + 1]) < threshold - eps:
+                # No item up to the end of the block, or the next list's item, can reach the threshold.
+                target = (block + 1) * BLOCK
                 if pivot + 1 < len(at):
-                    target = min(target, at[pivot + 1][0])
-                target = max(target, item + 1)
+                    target = max(min(target, at[pivot + 1][0]), item + 1)
+            elif at[0][0] == item:
+                score = sum(self.lists[t][1][place] for _, place, t in at[: pivot + 1])
+                if score >= threshold - eps:
+                    out.append((item, score))
+                target = item + 1
+            else:
+                target = item
             kept = []
-            for i, (doc, place, t) in enumerate(at):
-                if i <= pivot and doc < target:
+            for doc, place, t in at:
+                if doc < target:
                     place = bisect_left(self.lists[t][0], target, place)
                     if place == len(self.lists[t][0]):
                         continue
@@ -213,13 +234,13 @@ class Index:
         words = words_of(text)
         if not self.items or not words:
             return []
-        width, step = 2 * self.longest, self.longest
+        step = self.longest
         get = self.terms.get
         ids = np.array([get(w, -1) for w in words], np.int64)
         found: dict[int, tuple[int, float, float, float]] = {}
-        for p in self.promising(ids, width, step, threshold):
-            lo, hi = p * step, p * step + width
-            for item, score in self.search(sorted({t for t in ids[lo:hi].tolist() if t >= 0}), threshold):
+        for p, live in self.live_blocks(ids, step, threshold).items():
+            lo, hi = p * step, (p + 2) * step
+            for item, score in self.search(sorted({t for t in ids[lo:hi].tolist() if t >= 0}), threshold, live):
                 question, answer = self.halves[item]
                 q, a = share(question, words[lo:hi]), share(answer, words[lo:hi])
                 if q >= overlap and a >= overlap and (item not in found or score > found[item][1]):
@@ -227,44 +248,83 @@ class Index:
         return [found[i] for i in sorted(found)]
 
 
-def item_shards(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The test items, in shards of bounded size, read one after another."""
-    shards, now, size = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        now.append((r[0], r[1]))
-        size += len(r[1].split())
-        if len(now) >= SHARD_ITEMS or size >= SHARD_TERMS:
-            shards.append(now)
-            now, size = [], 0
-    return shards + [now] if now else shards
+def index_shards(benchmark: DataFrame) -> tuple[Stats, DataFrame]:
+    """Stats of all items (df left out), and the shards: (shard, items, df), df for the shard's own terms."""
+    spark = benchmark.sparkSession
+
+    def run(ids: list, texts: list) -> dict:
+        lists = [words_of(t) for t in texts]
+        return {"item_id": ids, "text": texts, "n": list(map(len, lists)), "terms": [sorted(set(w)) for w in lists]}
+
+    items = map_batches(benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL"), run, "item_id long, text string, n long, terms array<binary>").where("n > 0")
+    path = shared_path(spark, "benchmark-items")
+    items.write.parquet(path)
+    items = spark.read.parquet(path)
+    n, total, longest = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    shards = max(1, -(-n // SHARD_ITEMS), -(-total // SHARD_TERMS))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    terms = dealt.select("shard", F.explode("terms").alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    known = terms.distinct().join(df, "term").groupBy("shard").agg(F.collect_list(F.struct("term", "df")).alias("df"))
+    held = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("items"))
+    path = shared_path(spark, "benchmark-shards")
+    held.join(known, "shard").write.parquet(path)
+    return Stats(n, total / max(1, n), longest, {}), spark.read.parquet(path)
 
 
-_INDEXES: dict[str, Index] = {}
+_INDEX: dict[str, Index] = {}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_SCORE, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question, answer): a row for each verified item of each document."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, items array<struct<item_id: long, score: double, question: double, answer: double>>"
-
-    def scan(shard: list[tuple[int, str]]) -> DataFrame:
-        sent, name = docs.sparkSession.sparkContext.broadcast(shard), uuid.uuid4().hex
-
-        def run(ids: list, texts: list) -> dict:
-            if name not in _INDEXES:  # one index for each worker process at a time
-                _INDEXES.clear()
-                _INDEXES[name] = Index(sent.value)
-            index = _INDEXES[name]
-            got = [[dict(zip(("item_id", "score", "question", "answer"), m)) for m in index.matches(t, threshold, overlap)] for t in texts]
-            hits = [i for i, g in enumerate(got) if g]
-            return {"doc_id": [ids[i] for i in hits], "items": [got[i] for i in hits]}
-
-        return map_batches(rows, run, schema)
-
-    shards = item_shards(benchmark)
-    found = scan(shards[0]) if shards else docs.sparkSession.createDataFrame([], schema)
-    for shard in shards[1:]:
-        found = found.unionByName(scan(shard))
+    match = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(match))])
+    stats, shards = index_shards(benchmark)
+
+    def scan(sent: list[tuple[str, object]]) -> DataFrame:
+        """One pass over the documents, for a few shards."""
+
+        def opened(name: str, shard: object) -> Index:
+            if name not in _INDEX:  # one index at a time in each worker process
+                _INDEX.clear()
+                items, df = shard.value
+                _INDEX[name] = Index(items, stats._replace(df=df))
+            return _INDEX[name]
+
+        def matched(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids, texts = ([x for b in group for x in b.column(i).to_pylist()] for i in (0, 1))
+            got: list[list[dict]] = [[] for _ in ids]
+            for name, shard in sent:
+                index = opened(name, shard)
+                for found, text in zip(got, texts):
+                    found += [dict(zip(("item_id", "score", "question", "answer"), m)) for m in index.matches(text, threshold, overlap)]
+            hits = [i for i, found in enumerate(got) if found]
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hits], pa.int64()), pa.array([got[i] for i in hits], arrow.field(1).type)], schema=arrow)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group: list[pa.RecordBatch] = []
+            for part in (x for batch in batches for x in slices(batch)):
+                group.append(part)
+                if len(sent) == 1 or sum(b.nbytes for b in group) >= GROUP_BYTES:
+                    yield matched(group)
+                    group = []
+            if group:
+                yield matched(group)
+
+        return rows.mapInArrow(run, schema)
+
+    found, sent = docs.sparkSession.createDataFrame([], schema), []
+    passes = []
+    for r in shards.toLocalIterator():  # one bounded shard at a time on its way to the executors
+        df = {bytes(t.term): t.df for t in r.df}
+        sent.append((uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(([(i.item_id, i.text) for i in r.items], df))))
+        if len(sent) == PASS_SHARDS:
+            passes.append(scan(sent))
+            sent = []
+    for one in [*passes, *([scan(sent)] if sent else [])]:
+        found = found.unionByName(one)
     return found.select("doc_id", F.explode("items").alias("m")).select("doc_id", "m.*")
 
 

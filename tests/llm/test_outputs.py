@@ -191,6 +191,24 @@ def test_decontamination_of_frames(spark, edge, empty, monkeypatch):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_shards_and_passes_change_no_score(spark, monkeypatch):
+    items, rows = quiz(9)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.Index(items)
+    want = {(i, m, s) for i, t in rows for m, s in plain_matches(index, t).items()}
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 6)
+    monkeypatch.setattr(decontaminate, "PASS_SHARDS", 3)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 2000)
+    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench).collect()} == want and want
+
+
+def test_every_passage_of_tables_against_exhaustive_scoring(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    index = decontaminate.Index([(r.item_id, r.text) for r in bench.collect()])
+    want = {(r.doc_id, i) for r in docs.collect() for i in plain_matches(index, r.text)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want and want
+
+
 def test_planted_items_are_found(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
