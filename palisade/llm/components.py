@@ -12,7 +12,8 @@ def _step(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs: (u, v), all neighbours v of u. Link the larger (or the other) neighbours of u with the least of u and its neighbours."""
     if not large:
         pairs = pairs.where("v < u")
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    # Kept as a table: joined with an aggregate of its own, a node's pairs would all stay in one task, however many.
+    least = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
     linked = pairs.join(least, pairs.u == least.k)
     if large:
         got = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,7 +2,7 @@
 
 The join works on distinct fingerprints. If two differ in at most `budget` bits, at least one of budget + 1 blocks
 of bits is equal in both, so each fingerprint goes once to each block's key and every key owns the part of the trie
-below it; with many fingerprints the bits left are cut into blocks again, until a key has few rows. Inside a part,
+below it; where a key has many rows, the bits left are cut into blocks again, until it has few. Inside a part,
 pairs of trie nodes descend together one bit at a time; each pair carries the number of differing bits so far and
 is dropped once that exceeds the budget. The budget rises from 1, and pairs of nodes that lie wholly in one
 component found before are dropped, so that a dense cluster costs little more than its size. Links leave a part as
@@ -28,8 +28,8 @@ from palisade.llm.components import connected_components
 from palisade.session import checkpointed, map_batches
 
 SEED, BITS = 42, 64
-#: Rows wanted for a key of the join, and rows of fingerprints that one task joins at a time.
-ROWS_PER_KEY, ROWS_PER_TASK = 64, 20_000
+#: Rows of a key above which it is split, how often, and rows of fingerprints that one task joins at a time.
+MOST_ROWS, LEVELS, ROWS_PER_TASK = 4096, 4, 20_000
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> list[int]:
@@ -68,23 +68,18 @@ def blocks(width: int, pieces: int) -> list[int]:
     return [width // pieces + (i < width % pieces) for i in range(pieces)]
 
 
-def spread(fps: DataFrame, budget: int, levels: int) -> DataFrame:
-    """(fp, rep) to (key, fp, rep): budget + 1 keys at each level; a key is the place and the bits of the chosen blocks."""
-    rows = fps.select("fp", "rep", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(BITS).alias("width"))
-    width = BITS
-    for _ in range(levels):
-        sizes, made, at = blocks(width, budget + 1), [], 0
-        for i, size in enumerate(sizes):
-            low = width - at - size  # bits below the block
-            bits = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << size) - 1))
-            above = F.shiftleft(F.shiftrightunsigned("rest", low + size), low) if at else F.lit(0).cast("long")
-            below = F.col("rest").bitwiseAND(F.lit((1 << low) - 1)) if low else F.lit(0).cast("long")
-            made.append(F.struct(F.xxhash64("key", F.lit(i), bits).alias("key"), above.bitwiseOR(below).alias("rest")))
-            at += size
-        # Blocks differ in width by one bit, so the narrower rest is kept in the wider one's width.
-        width -= min(sizes)
-        rows = rows.select("fp", "rep", F.explode(F.array(*made)).alias("x")).select("fp", "rep", "x.key", "x.rest")
-    return rows.select("key", "fp", "rep")
+def spread(rows: DataFrame, width: int, budget: int) -> DataFrame:
+    """(key, fp, rep, rest) to budget + 1 rows each: a key is the key before, the place and the bits of the chosen block, and
+    rest, of `width` bits, loses that block."""
+    sizes, made, at = blocks(width, budget + 1), [], 0
+    for i, size in enumerate(sizes):
+        low = width - at - size  # bits below the block
+        bits = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << size) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("rest", low + size), low) if at else F.lit(0).cast("long")
+        below = F.col("rest").bitwiseAND(F.lit((1 << low) - 1)) if low else F.lit(0).cast("long")
+        made.append(F.struct(F.xxhash64("key", F.lit(i), bits).alias("key"), above.bitwiseOR(below).alias("rest")))
+        at += size
+    return rows.select("fp", "rep", F.explode(F.array(*made)).alias("x")).select("x.key", "fp", "rep", "x.rest")
 
 
 def components_of(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -165,16 +160,11 @@ def trie_components(keys: np.ndarray, fps: np.ndarray, budget: int, most_pairs:
     return labels
 
 
-def links(fps: DataFrame, budget: int = 4) -> DataFrame:
-    """(fp, rep), a row for each distinct fingerprint, to links (a, b) between reps that keep every component whole."""
-    n, levels, keys = fps.count(), 1, 1 << (BITS // (budget + 1))
-    width = BITS - BITS // (budget + 1)
-    while n > keys * ROWS_PER_KEY and levels < 4:
-        levels, keys, width = levels + 1, keys << (width // (budget + 1)), width - width // (budget + 1)
-    tasks = max(1, -(-n * (budget + 1) ** levels // ROWS_PER_TASK))
+def trie_links(keyed: DataFrame, budget: int) -> DataFrame:
+    """Links (a, b) of the rows (key, fp, rep) of each key, of no more rows than one task holds."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows come sorted by key; whole keys are joined, ROWS_PER_TASK rows or one key at a time."""
+        """The rows come sorted by key; whole keys are joined, about ROWS_PER_TASK rows at a time."""
         held: list[pd.DataFrame] = []
 
         def flush(rows: pd.DataFrame) -> pa.RecordBatch:
@@ -187,19 +177,40 @@ def links(fps: DataFrame, budget: int = 4) -> DataFrame:
             far = least[labels] != rep
             return pa.RecordBatch.from_arrays([pa.array(least[labels][far]), pa.array(rep[far])], names=["a", "b"])
 
+        size = 0
         for batch in batches:
             held.append(batch.to_pandas())
-            if sum(map(len, held)) >= ROWS_PER_TASK:
+            size += len(held[-1])
+            if size >= ROWS_PER_TASK:
                 rows = pd.concat(held, ignore_index=True)
                 rest = rows["key"].to_numpy() == rows["key"].iloc[-1]
                 if not rest.all():
                     yield flush(rows[~rest])
-                held = [rows[rest]]
+                held, size = [rows[rest]], int(rest.sum())
         if held and (rows := pd.concat(held, ignore_index=True)).size:
             yield flush(rows)
 
-    keyed = spread(fps, budget, levels).repartition(tasks, "key").sortWithinPartitions("key")
-    return keyed.mapInArrow(join, "a long, b long")
+    tasks = max(1, -(-keyed.count() // ROWS_PER_TASK))
+    return keyed.select("key", "fp", "rep").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+
+
+def links(fps: DataFrame, budget: int = 4) -> DataFrame:
+    """(fp, rep), a row for each distinct fingerprint, to links (a, b) between reps that keep every component whole.
+
+    A key with more than MOST_ROWS rows is split by blocks of the bits it has left, up to LEVELS times. What is above the
+    bound then is a dense cluster, which further bits would not part; a task joins it as it is."""
+    rows, width, found = fps.select(F.lit(0).cast("long").alias("key"), "fp", "rep", F.col("fp").alias("rest")), BITS, None
+    for level in range(1, LEVELS + 1):
+        rows = checkpointed(spread(rows, width, budget))
+        width -= min(blocks(width, budget + 1))  # blocks differ by one bit, and the rest is kept in the wider one's width
+        large = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS).select("key"))
+        done = level == LEVELS or large.isEmpty()
+        now = trie_links(rows if done else rows.join(large, "key", "left_anti"), budget)
+        found = now if found is None else found.unionByName(now)
+        if done:
+            break
+        rows = rows.join(large, "key", "left_semi")
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, budget: int = 4) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -83,14 +84,19 @@ def test_every_level_of_blocks_brings_near_pairs_together(spark):
     fps = clustered(5, 250, 5)
     frame = spark.createDataFrame([(int(np.uint64(x).view(np.int64)), i) for i, x in enumerate(fps)], "fp long, rep long").cache()
     near = {(j, i) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4}
-    for levels in (1, 2, 3):
-        keyed = simhash.spread(frame, 4, levels)
+    keyed, width = frame.selectExpr("0L AS key", "fp", "rep", "fp AS rest"), 64
+    for _ in range(3):
+        keyed = simhash.spread(keyed, width, 4)
+        width -= min(simhash.blocks(width, 5))
         met = keyed.alias("a").join(keyed.alias("b"), "key").where("a.rep < b.rep").select("a.rep", "b.rep").distinct().collect()
         assert near <= {tuple(r) for r in met}
 
 
-def test_links_keep_components_whole(spark):
-    fps = clustered(6, 400, 6)
+@pytest.mark.parametrize("most", [4096, 8])
+def test_links_keep_components_whole(spark, monkeypatch, most):
+    """Also where every key has too many rows and is split again."""
+    monkeypatch.setattr(simhash, "MOST_ROWS", most)
+    fps = clustered(6, 400 if most > 8 else 120, 6)
     frame = spark.createDataFrame([(int(np.uint64(x).view(np.int64)), i) for i, x in enumerate(fps)], "fp long, rep long")
     found = {r.id: r.component for r in simhash.connected_components(simhash.links(frame, 4)).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == slow_components(fps, list(range(len(fps))), 4)
