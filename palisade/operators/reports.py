@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.text import escape_html, slug
 from palisade.operators import detect, findings, threats
 from palisade.operators.bundles import bundle_hashes
+from palisade.session import stored
 
 VERSION = "1.0"
 
 
-def scan(files: DataFrame, known: DataFrame | None = None, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan(
+    files: DataFrame, known: DataFrame | None = None, extra: DataFrame | dict[str, DataFrame] | None = None, *,
+    layers: tuple[str, ...] = ("static",), fail_on: str | None = None, with_calls: bool = True, scan_name: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, findings, new threats): known bundles are answered from the threat table, the others are scanned.
 
-    extra: findings of other layers (model, telemetry) for the same bundles."""
-    hashes = bundle_hashes(files)
-    if known is None:
-        made = detect.static_findings(files)
-    else:
-        made = detect.static_findings(files.join(threats.unknown_bundles(hashes, known).select("bundle_id"), "bundle_id", "left_semi"))
-    if extra is not None:
-        made = made.unionByName(extra)
+    extra: findings of other layers for the same bundles, by the layer's name ({"llm": ..., "sandbox": ...}). layers: those
+    of this library that run; without "static" only extra findings and the threat table count. fail_on: adds `fails`, whether
+    a bundle has a finding of at least this severity. Results carry an envelope: scan_id (the same for a bundle and
+    scan_name, by default a name of its own), scanned_at and layers_run. Findings and hashes are made once and stored."""
+    extra = {} if extra is None else extra if isinstance(extra, dict) else {"extra": extra}
+    name = scan_name or uuid.uuid4().hex
+    hashes = stored(bundle_hashes(files), "scan-hashes")
+    open_files = files if known is None else files.join(threats.unknown_bundles(hashes, known).select("bundle_id"), "bundle_id", "left_semi")
+    made = detect.static_findings(open_files, with_calls)
+    made = made if "static" in layers else made.limit(0)
+    for found in extra.values():
+        made = made.unionByName(found)
+    made = stored(made, "scan-findings")
     kept = findings.dedupe(made if known is None else made.unionByName(threats.known_findings(hashes, known)))
     results = findings.scores(kept, hashes).join(hashes, "bundle_id")
+    if fail_on is not None:
+        results = results.join(findings.gate(kept, hashes, fail_on), "bundle_id")
+    run = [*(["threat_db"] if known is not None else []), *[x for x in layers if x == "static"], *extra]
+    digest = F.md5(F.concat_ws(":", F.lit(name), F.col("bundle_id")))
+    scan_id = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    results = results.select("*", scan_id.alias("scan_id"), F.current_timestamp().alias("scanned_at"), F.array(*map(F.lit, run)).cast("array<string>").alias("layers_run"))
     return results, kept, threats.new_threats(made, hashes)
 
 
+#: Columns of a result's envelope, where it has them.
+ENVELOPE = ("scan_id", "scanned_at", "layers_run", "fails")
+
+
 def gathered(results: DataFrame, found: DataFrame, item: Column) -> DataFrame:
     """results with `items`: item of each finding of the bundle, in display order."""
     rows = findings.ranked(found).groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda s: s["x"]).alias("items"))
@@ -37,7 +58,7 @@ def gathered(results: DataFrame, found: DataFrame, item: Column) -> DataFrame:
 def json_reports(results: DataFrame, found: DataFrame) -> DataFrame:
     item = F.struct("severity", "category", F.col("path").alias("file"), "line", "description", "remediation", "engine", "confidence")
     rows = gathered(results, found, item)
-    return rows.select("bundle_id", F.to_json(F.struct("bundle_id", "hash", "risk_level", "risk_score", F.coalesce("items", F.array()).alias("findings")), {"pretty": "true"}).alias("report"))
+    return rows.select("bundle_id", F.to_json(F.struct(*[c for c in ENVELOPE if c in results.columns], "bundle_id", "hash", "risk_level", "risk_score", F.coalesce("items", F.array()).alias("findings")), {"pretty": "true"}).alias("report"))
 
 
 def sarif_reports(results: DataFrame, found: DataFrame) -> DataFrame:
@@ -52,11 +73,33 @@ def sarif_reports(results: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("bundle_id", F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("report"))
 
 
+def dated(results: DataFrame) -> Column:
+    """The date and the layers of a result, as far as it has them."""
+    parts = []
+    if "scanned_at" in results.columns:
+        parts += [F.lit(", "), F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")]
+    if "layers_run" in results.columns:
+        parts += [F.lit(", layers: "), escape_html(F.array_join("layers_run", ", "))]
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def console_reports(results: DataFrame, found: DataFrame) -> DataFrame:
+    """(bundle_id, report): a summary in plain text, the worst findings first."""
+    place = F.concat_ws(":", "path", "line")
+    item = F.concat(
+        F.rpad("severity", 9, " "), "category", F.lit("\n    in "), place, F.lit("\n    "), "description", F.lit("\n    -> "), "remediation",
+        F.format_string("\n    found by %s, %.0f%% sure", "engine", F.col("confidence") * 100),
+    )
+    rows = gathered(results, found, item)
+    head = F.format_string("%s: %s, %.1f of 10, %d findings", "bundle_id", "risk_level", "risk_score", "n_findings")
+    return rows.select("bundle_id", F.concat_ws("\n", head, F.coalesce(F.array_join("items", "\n"), F.lit("Nothing was found."))).alias("report"))
+
+
 def html_reports(results: DataFrame, found: DataFrame) -> DataFrame:
     color = F.when(F.col("severity") == "CRITICAL", "#c00").when(F.col("severity") == "HIGH", "#d60").when(F.col("severity") == "MEDIUM", "#a80").otherwise("#666")
     item = F.concat(F.lit('<li style="color:'), color, F.lit('"><b>'), "severity", F.lit("</b> "), escape_html(F.col("category")), F.lit(" <code>"), escape_html(F.concat_ws(":", "path", "line")), F.lit("</code><p>"), escape_html(F.col("description")), F.lit("</p><p>"), escape_html(F.col("remediation")), F.lit("</p></li>"))
     rows = gathered(results, found, item)
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), escape_html(F.col("bundle_id")), F.lit("</title></head><body><h1>"), "risk_level", F.format_string(" %.1f/10", "risk_score"), F.lit("</h1><p>"), F.col("n_findings").cast("string"), F.lit(" findings</p><ul>"), F.coalesce(F.array_join("items", ""), F.lit("")), F.lit("</ul></body></html>"))
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), escape_html(F.col("bundle_id")), F.lit("</title></head><body><h1>"), "risk_level", F.format_string(" %.1f/10", "risk_score"), F.lit("</h1><p>"), F.col("n_findings").cast("string"), F.lit(" findings"), dated(results), F.lit("</p><ul>"), F.coalesce(F.array_join("items", ""), F.lit("")), F.lit("</ul></body></html>"))
     return rows.select("bundle_id", page.alias("report"))
 
 

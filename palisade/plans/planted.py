@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.plans.rules import sql_string
+from palisade.session import spread
 
 SLOTS = 61
 
@@ -83,7 +84,7 @@ def payload_table(spark: SparkSession) -> DataFrame:
 def planted_files(spark: SparkSession, sf_dir: str, before: range = range(0)) -> DataFrame:
     """files (bundle_id, path, doc_id, text, content). Documents of the slots in `before` have their own texts, as they
     stood before planting, under the same bundle and path."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     rows = docs.withColumn("slot", (F.col("doc_id") % SLOTS).cast("int")).join(F.broadcast(payload_table(spark)), "slot", "left")
     text = (
         F.when(F.col("slot").isin(list(before)), F.col("text"))

@@ -258,6 +258,22 @@ def scan_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("bundle_id", "hash", *_long("n_findings"), F.round("risk_score", 6).alias("risk_score"), "risk_level")
 
 
+def report_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain summaries; their first lines and lengths in lines are compared with SQL."""
+    results, found, _ = reports.scan(planted_files(spark, sf_dir))
+    rows = reports.console_reports(results, found)
+    return rows.select("bundle_id", F.substring_index("report", "\n", 1).alias("head"), F.regexp_count("report", F.lit("found by ")).cast("long").alias("n_shown"))
+
+
+def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat requests of all bundles: their shape, and the prompt that they carry."""
+    files = planted_files(spark, sf_dir)
+    asked = model_layer.prompts(bundles.bundle_texts(files), detect.static_findings(files))
+    get = lambda path: F.get_json_object("request", path)
+    rows = model_layer.requests(asked, "some-model")
+    return rows.select("bundle_id", get("$.model").alias("model"), get("$.messages[0].role").alias("first_role"), get("$.messages[1].role").alias("second_role"), get("$.response_format.type").alias("answer"))
+
+
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of files, scanned as far as it has come."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType())])
@@ -276,7 +292,7 @@ def queries() -> dict[str, Query]:
     named = [
         source_router, url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
         py_calls, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
-        threat_stats, llm_prompt, llm_parse, telemetry_findings, scan_bundles, stream_scan,
+        threat_stats, llm_prompt, llm_parse, telemetry_findings, scan_bundles, report_console, model_requests, stream_scan,
     ]
     out = {q.__name__: q for q in named} | {f"sig_sd{i:02d}": _sig(i) for i in range(1, 11)}
     return out | {"report_json": _report(reports.json_reports), "report_sarif": _report(reports.sarif_reports), "report_html": _report(reports.html_reports)}
@@ -417,6 +433,15 @@ def oracle_sql() -> dict[str, str]:
         "threat_lookup": _with(p["hashes"], p["known"], body=known_found),
         "threat_short_circuit": _with(p["hashes"], p["known"], body="SELECT bundle_id, hash FROM hashes WHERE hash NOT IN (SELECT hash FROM known)"),
         "threat_upsert": _with(*static, p["hashes"], p["known"], f"fresh AS ({new})", body="SELECT hash, category, severity FROM known WHERE hash NOT IN (SELECT hash FROM fresh) UNION ALL SELECT * FROM fresh"),
+        "scan_bundles": _with(
+            *static, p["hashes"], p["known"],
+            f"answered AS (SELECT bundle_id, path, line, severity, category, engine, confidence, 0 AS layer_ord, 0 AS n FROM ({known_found}))",
+            "joined AS (SELECT bundle_id, path, line, severity, category, engine, confidence, layer_ord, n FROM found WHERE bundle_id NOT IN (SELECT bundle_id FROM answered) UNION ALL SELECT * FROM answered)",
+            p["kept"].replace("FROM found", "FROM joined"), p["scored"],
+            body=f"SELECT bundle_id, hash, CAST(n_findings AS BIGINT) AS n_findings, round(CAST(risk_score AS DOUBLE), 6) AS risk_score, {_LEVEL} FROM scored JOIN hashes USING (bundle_id)",
+        ),
+        "report_console": _with(*kept, p["scored"], body=f"SELECT bundle_id, printf('%s: %s, %.1f of 10, %d findings', bundle_id, risk_level, risk_score, n_findings) AS head, CAST(n_findings AS BIGINT) AS n_shown FROM (SELECT bundle_id, CAST(n_findings AS BIGINT) AS n_findings, CAST(risk_score AS DOUBLE) AS risk_score, {_LEVEL} FROM scored)"),
+        "model_requests": _with(body="SELECT DISTINCT bundle_id, 'some-model' AS model, 'system' AS first_role, 'user' AS second_role, 'json_object' AS answer FROM files"),
         "threat_stats": _with(p["hashes"], p["known"], body="SELECT count(*) AS n_threats FROM known"),
         "llm_parse": _llm_parse_sql(),
         "telemetry_findings": _telemetry_sql(),

@@ -100,6 +100,36 @@ def test_reports(spark):
     assert "a&lt;b&gt;.md:3" in h["b"] and "SAFE" in h["z"]
 
 
+def test_console_reports(spark):
+    results = spark.createDataFrame([("b", 2, 9.0, "DANGEROUS"), ("z", 0, 0.0, "SAFE")], "bundle_id string, n_findings long, risk_score double, risk_level string")
+    made = found(spark, [("a.md", 3, "HIGH", "SD-01 · A", "yara", 0.9, 0), ("c", None, "CRITICAL", "SD-02 · B", "ast", 0.9, 3)])
+    got = {r.bundle_id: r.report.split("\n") for r in reports.console_reports(results, made).collect()}
+    assert got["b"][0] == "b: DANGEROUS, 9.0 of 10, 2 findings" and got["b"][1] == "CRITICAL SD-02 · B" and got["b"][2].strip() == "in c"
+    assert got["b"][6:8] == ["HIGH     SD-01 · A", "    in a.md:3"] and got["z"][1:] == ["Nothing was found."]
+
+
+def test_scan_options_and_envelope(spark):
+    rows = spark.createDataFrame([("b", "a.md", "autostart"), ("c", "a.md", "nothing")], "bundle_id string, path string, text string").withColumn("content", F.col("text").cast("binary"))
+    said = model_layer.parse_responses(spark.createDataFrame([("c", '{"findings": [{"severity": "LOW", "category": "x", "description": "d"}]}')], "bundle_id string, response string"))
+    results, kept, _ = reports.scan(rows, extra={"llm": said}, fail_on="high", scan_name="one")
+    got = {r.bundle_id: r for r in results.collect()}
+    assert got["b"].fails and not got["c"].fails and got["b"].layers_run == ["static", "llm"] and got["b"].scanned_at is not None
+    assert len(got["b"].scan_id) == 36 and got["b"].scan_id != got["c"].scan_id
+    assert {(r.bundle_id, r.engine) for r in kept.collect()} == {("b", "yara"), ("c", "llm")}
+    again = {r.bundle_id: r for r in reports.scan(rows, layers=(), scan_name="one")[0].collect()}
+    assert again["b"].risk_level == "SAFE" and again["b"].layers_run == [] and again["b"].scan_id == got["b"].scan_id
+    j = {r.bundle_id: json.loads(r.report) for r in reports.json_reports(results, kept).collect()}
+    assert j["b"]["layers_run"] == ["static", "llm"] and j["b"]["scan_id"] == got["b"].scan_id and j["b"]["fails"]
+    assert "layers: static, llm" in reports.html_reports(results, kept).first().report
+
+
+def test_requests_of_the_model_layer(spark):
+    asked = spark.createDataFrame([("b", 'a "quoted" prompt')], "bundle_id string, prompt string")
+    body = json.loads(model_layer.requests(asked, "m").first().request)
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and body["messages"][1]["content"] == 'a "quoted" prompt'
+    assert body["model"] == "m" and body["temperature"] == 0.1 and body["response_format"] == {"type": "json_object"}
+
+
 def test_diff(spark):
     old = found(spark, [("a", 1, "HIGH", "c", "yara", 0.9, 0), ("b", 1, "HIGH", "c", "yara", 0.9, 0)])
     new = found(spark, [("b", 1, "HIGH", "c", "yara", 0.9, 0), ("c", 1, "HIGH", "c", "yara", 0.9, 0)])
