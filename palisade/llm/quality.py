@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.session import stored
+
 # Common words of each known language.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "that", "is", "with", "for", "it", "a", "be"],
@@ -115,29 +117,24 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, lambda a, b: (term(a, b) + term(b, a)) / 2), F.lit(0.0), lambda a, b: a + b)))
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """(language, chars_ref, words_ref): median shares over all documents of MIN_WORDS words or more."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(histograms(text, F.col("lang")).alias("h"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).alias("n")).where(F.col("n") >= MIN_WORDS)
+def references(measured: DataFrame, mark: str) -> DataFrame:
+    """(language, chars_ref, words_ref) from measures (column `mark`): median shares over all documents of MIN_WORDS words or more."""
+    rows = measured.where(F.col(f"{mark}.words.n_words") >= MIN_WORDS).select(F.col(f"{mark}.h").alias("h"))
     rows = rows.select(F.col("h.language").alias("language"), shares(class_counts(F.col("h.raw"))).alias("c"), shares(F.col("h.common")).alias("w"))
     width = 1 + max(map(len, COMMON_WORDS.values()))
     middle = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(1000))
-    sums = lambda: [middle(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [middle(F.col("w")[i]).alias(f"w{i}") for i in range(width)]
+    sums = [middle(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [middle(F.col("w")[i]).alias(f"w{i}") for i in range(width)]
     both = rows.select(F.explode(F.array_distinct(F.array("language", F.lit(POOLED)))).alias("language"), "c", "w")
-    scaled = lambda names: shares(F.array(*names))
-    medians = both.groupBy("language").agg(*sums())
-    chars, words = scaled([f"c{i}" for i in range(len(CLASSES))]), scaled([f"w{i}" for i in range(width)])
+    medians = both.groupBy("language").agg(*sums)
+    chars, words = (shares(F.array(*[f"{c}{i}" for i in range(n)])) for c, n in (("c", len(CLASSES)), ("w", width)))
     return medians.select("language", chars.alias("chars_ref"), F.when(F.col("language") != POOLED, words).alias("words_ref"))
 
 
-def judge(docs: DataFrame, into: str = "quality") -> DataFrame:
-    """docs with a struct column `into`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance,
-    word_distance, base_failed, kept. All columns of docs stay as they are."""
-    refs = references(docs).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("language", F.struct("chars_ref", "words_ref")))).alias("refs"))
-    text, mark = F.coalesce(F.col("text"), F.lit("")), f"__{into}"
-
+def measure(docs: DataFrame, mark: str) -> DataFrame:
+    """docs with a struct column `mark` of counts; a text is read for them once."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    measured = docs.withColumn(
+    return docs.withColumn(
         mark,
         F.struct(
             let(split_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_window_words(w).cast("long").alias("n_repeat_words"))).alias("words"),
@@ -146,6 +143,12 @@ def judge(docs: DataFrame, into: str = "quality") -> DataFrame:
             histograms(text, F.col("lang")).alias("h"),
         ),
     )
+
+
+def judge(measured: DataFrame, mark: str, into: str = "quality") -> DataFrame:
+    """Measured rows (column `mark`, in a table: it is read twice) with a struct column `into` in its place: n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed, kept."""
+    refs = references(measured, mark).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("language", F.struct("chars_ref", "words_ref")))).alias("refs"))
     side = refs.withColumnRenamed("refs", f"{mark}_refs")  # one row: at most one entry per known language
     got = measured.join(F.broadcast(side), how="left")
     m, h = (lambda name: F.col(f"{mark}.{name}")), (lambda name: F.col(f"{mark}.h.{name}"))
@@ -165,12 +168,15 @@ def judge(docs: DataFrame, into: str = "quality") -> DataFrame:
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """One row per document: the counts, both distances and the verdict."""
-    return judge(docs.select("doc_id", "text", "lang")).select("doc_id", "quality.*")
+    """One row per document: the counts, both distances and the verdict. Texts are measured once; the counts are stored."""
+    mark = "__measures"
+    counts = stored(measure(docs.select("doc_id", "text", "lang"), mark).drop("text"), "quality-measures")
+    return judge(counts, mark).select("doc_id", "quality.*")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    mark = "__palisade_quality"
-    # A row number keeps the filter above the projection: pushed into it, the measures would be made once for each use.
-    return judge(docs, mark).withColumn(f"{mark}_row", F.monotonically_increasing_id()).where(F.col(f"{mark}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that are kept, with their own columns. Documents are stored with their counts, so texts are measured once."""
+    mark, into = "__palisade_measures", "__palisade_quality"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang")
+    counts = stored(measure(rows, mark).select("row", mark), "quality-measures")
+    return judge(counts, mark, into).where(F.col(f"{into}.kept")).select("row.*")

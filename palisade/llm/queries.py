@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, html_extract, licenses, line_dedup, mixing, pii, quality, simhash, substring_dedup, token_store
+from palisade.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,42 @@ def test_quality_rejects_strange_texts_and_keeps_prose(spark, docs):
     assert not got.pop(100) and all(got.values())
 
 
+def test_word_rule_rejects_texts_of_another_language(spark):
+    """Letters alone look alike; the shares of common words do not."""
+    rng = random.Random(4)
+    text = lambda common: " ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice(("cat", "dog", "tree", "sea", "hill", "road")) for _ in range(200))
+    english, other = quality.COMMON_WORDS["en"], ["og", "det", "at", "har", "som", "var", "til", "av"]
+    rows = [(i, text(english), "en") for i in range(40)] + [(100, text(other), "en")]
+    got = {r.doc_id: r for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    bad = got.pop(100)
+    assert not bad.kept and not bad.base_failed and bad.char_distance <= quality.MAX_CHAR_DISTANCE and bad.word_distance > quality.MAX_WORD_DISTANCE
+    assert all(r.kept for r in got.values())
+
+
+def slow_distance(p, q):
+    total = 0.0
+    for x, y in zip(p, q):
+        total += sum(a * math.log2(2 * a / (a + b)) for a, b in ((x, y), (y, x)) if a) / 2
+    return math.sqrt(max(total, 0.0))
+
+
+def test_word_distances_and_verdicts_against_plain_python(spark, docs, sample):
+    """References of an odd number of documents are exact medians, so both sides can be compared."""
+    long = [(i, t, lang) for i, t, lang, _ in sample if lang == "en" and len(WORDS.findall(t or "")) >= quality.MIN_WORDS][:41]
+    frame = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    names = quality.COMMON_WORDS["en"]
+    hist = {}
+    for i, t, _ in long:
+        words = [w.lower() for w in WORDS.findall(t)]
+        counts = [words.count(n) for n in names]
+        hist[i] = [c / len(words) for c in [*counts, len(words) - sum(counts)]]
+    medians = [sorted(h[k] for h in hist.values())[len(long) // 2] for k in range(len(names) + 1)]
+    ref = [m / sum(medians) for m in medians]
+    for r in quality.quality_report(frame).collect():
+        assert abs(r.word_distance - slow_distance(hist[r.doc_id], ref)) < 1e-6
+        assert r.kept == (not r.base_failed and r.char_distance <= quality.MAX_CHAR_DISTANCE and r.word_distance <= quality.MAX_WORD_DISTANCE)
+
+
 def test_quality_filter_keeps_columns(edge, empty):
     left = quality.quality_filter(edge)
     assert left.columns == edge.columns
