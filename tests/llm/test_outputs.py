@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palisade.llm import decontaminate, mixing, quality, queries, simhash, token_store
+from palisade.llm import decontaminate, mixing, quality, queries, token_store
 from tests.llm.conftest import DOCS, ROWS, SF
+from tests.llm.test_similar import slow_groups
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -224,7 +225,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
     now = docs
     for (name, stage), check in zip(corpus_pipeline.STAGES, (
         lambda before, after: {r.doc_id for r in quality.quality_report(before).where("kept").collect()},
-        lambda before, after: {r.component_id for r in simhash.near_duplicates(before, 5).collect()},
+        lambda before, after: set(slow_groups([(r.doc_id, r.text) for r in before.collect()]).values()),
         lambda before, after: {r.doc_id for r in before.collect()} - {r.doc_id for r in decontaminate.contaminated(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()},
         lambda before, after: {r.doc_id for r in mixing.mix(before).where("copies > 0").collect()},
         lambda before, after: {r.doc_id for r in before.collect()},
