@@ -147,7 +147,8 @@ def hashed(lines: DataFrame, marks: Callable[[Column, Column, int], Column], edi
 def texts_of(rows: DataFrame, wanted: DataFrame, edits: int) -> DataFrame:
     """(key, place, line, n, letters, segments) of the wanted (key, place): each line is read where it stands first."""
     by_row = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
-    found = rows.join(stored(by_row, "line-places"), ["doc_id", "text_key"]).select(let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), w["place"].alias("place"), F.get(parts, w["place"]["line_no"]).alias("line")))).alias("found"))
+    # The wanted lines grow with the documents: both sides are dealt by row at every size, and none is broadcast.
+    found = rows.join(stored(by_row, "line-places").hint("merge"), ["doc_id", "text_key"]).select(let(F.split("text", "\n"), lambda parts: F.transform("wanted", lambda w: F.struct(w["key"].alias("key"), w["place"].alias("place"), F.get(parts, w["place"]["line_no"]).alias("line")))).alias("found"))
     # Equal texts of one doc_id are one document: the same line comes from each of its rows.
     lines = found.select(F.explode("found").alias("x")).select("x.*").dropDuplicates(["key"])
     measured = lines.select("*", F.length("line").alias("n"), parities(F.col("line")).alias("letters"))
