@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.session import checkpointed
+from palisade.session import stored
 
 
 def _step(pairs: DataFrame, large: bool) -> DataFrame:
@@ -13,7 +13,7 @@ def _step(pairs: DataFrame, large: bool) -> DataFrame:
     if not large:
         pairs = pairs.where("v < u")
     # Kept as a table: joined with an aggregate of its own, a node's pairs would all stay in one task, however many.
-    least = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "star-least")
     linked = pairs.join(least, pairs.u == least.k)
     if large:
         got = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -29,7 +29,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     result. Nothing but two numbers of each round comes to the driver."""
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, before = checkpointed(edges), None
+    edges, before = stored(edges, "links"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -37,5 +37,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _step(both, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = checkpointed(_step(large, False))
+        edges = stored(_step(large, False), "star-links")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
