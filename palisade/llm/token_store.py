@@ -8,7 +8,7 @@ executor's part is written again:
 Ids are little-endian unsigned, of 2 bytes where the vocabulary allows, else 4. `read_document` needs the index of
 one shard and one frame.
 
-The dictionary is trained on the ids of at most DICT_DOCS documents, cut to DICT_TOKENS ids each (it changes sizes,
+The dictionary is trained on the ids of about DICT_DOCS documents, sampled over all files, cut to DICT_TOKENS ids each (it changes sizes,
 never contents); too few ids for training give an empty dictionary.
 
 Defined results: a null or empty text is the end id alone; repeated rows are written each; rows with a null doc_id
@@ -171,7 +171,9 @@ def shards(ordered: DataFrame, dict_hash: str) -> DataFrame:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Write docs (doc_id, text) as a token store at path."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    sample = [r[0] for r in docs.select(F.substring("text", 1, 8 * DICT_TOKENS)).where("text IS NOT NULL").limit(DICT_DOCS).collect()]
+    # About DICT_DOCS documents from all files, not the first ones; a sequence of ids decodes alike with any dictionary.
+    share = DICT_DOCS / max(DICT_DOCS, docs.count())
+    sample = [r[0] for r in docs.where("text IS NOT NULL").select(F.substring("text", 1, 8 * DICT_TOKENS)).sample(share, seed=0).collect()]
     dictionary = train_dictionary(sample, tokenizer_path)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     # The frames are kept as a table of their own: ranges are then found without encoding again.
