@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, exact_topk, hard_negatives, html_extract, licenses, line_dedup, mixing, pii, quality, simhash, substring_dedup, token_store
+from palisade.llm import decontaminate, exact_topk, hard_negatives, html_extract, licenses, line_dedup, mixing, pii, quality, simhash, spelling, substring_dedup, token_store
 from palisade.session import spread
 
 
@@ -66,6 +66,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 

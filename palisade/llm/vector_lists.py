@@ -27,6 +27,7 @@ from palisade.session import slices, stored
 SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_CENTROIDS, ROUNDS, SEED = 8192, 1 << 22, 1024, 8, 17
 #: Numbers of a shard, queries that meet a shard in one task, and bytes of shard bounds that are broadcast at a time.
 SHARD_NUMBERS, QUERIES_PER_TASK, BOUND_BYTES = 1 << 22, 1 << 14, 32 << 20
+MOST_TASKS = 8192  # partitions that the pairs of shards and queries are dealt over; a task takes one pair at a time
 EXACT = 1 << 53  # sums of integer products below this are exact as doubles
 LONGS = (-(1 << 63), (1 << 63) - 1)
 LIST = "shard int, list int, ids array<long>, labels array<long>, kind string, vectors binary, bound binary"
@@ -224,6 +225,7 @@ def search(queries: DataFrame, index: Index, reach: Reach, visit: Visit, k: int)
         return out
 
     parts = max(1, -(-queries.count() // QUERIES_PER_TASK))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, min(index.shards * parts, MOST_TASKS))
 
     def meet(rows: DataFrame) -> DataFrame:
         """rows (queries with a shard) with the lists of their shards."""
@@ -234,6 +236,7 @@ def search(queries: DataFrame, index: Index, reach: Reach, visit: Visit, k: int)
             got = visit(left, right) if len(left) and len(right) else {"key": [], "slot": [], "vec_id": [], "score": []}
             return pa.table({"key": pa.array(got["key"], pa.int64()), "slot": pa.array(got["slot"], pa.int32()), "vec_id": pa.array(got["vec_id"], pa.int64()), "score": pa.array(got["score"], pa.int64())})
 
+        asked, held = (x.repartition(tasks, "shard", "part") for x in (asked, held))
         return asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(run, FOUND)
 
     start = queries.withColumn("floor", F.lit(None).cast("map<int,long>")).withColumn("home", F.array().cast("array<int>"))
