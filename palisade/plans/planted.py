@@ -100,6 +100,35 @@ def planted_files(spark: SparkSession, sf_dir: str, before: range = range(0)) ->
     ).withColumn("content", F.col("text").cast("binary"))
 
 
+#: (slot, folder by document number, name): markers that documents of a slot add to a folder above them.
+MARKERS = [(42, "''", "SKILL.md"), (44, "{pack}", "SKILL.md"), (45, "{pack} || '/' || {part}", ".cursorrules"), (46, "{pack}", ".clauderules")]
+_PACK, _PART = "'pack' || CAST(doc_id % 4 AS STRING)", "'part' || CAST(doc_id % 3 AS STRING)"
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted files two folders further down, with markers in some of the folders above them, nested in each other."""
+    files = planted_files(spark, sf_dir)
+    below = files.withColumn("path", F.concat(F.expr(_PACK), F.lit("/"), F.expr(_PART), F.lit("/"), "path"))
+    marks = None
+    for slot, folder, name in MARKERS:
+        at = files.where(F.col("doc_id") % SLOTS == slot).select("bundle_id", F.expr(folder.format(pack=_PACK, part=_PART)).alias("folder"), F.lit(name).alias("name")).distinct()
+        marks = at if marks is None else marks.unionByName(at)
+    path, text = F.concat_ws("/", F.nullif("folder", F.lit("")), "name"), F.concat(F.lit("marks "), "folder")
+    marks = marks.select("bundle_id", path.alias("path"), F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    return below.unionByName(marks.withColumn("content", F.col("text").cast("binary")))
+
+
+def tree_sql() -> str:
+    """files_sql() for tree_files()."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    marks = " UNION ".join(f"SELECT bundle_id, {folder.format(pack=_PACK, part=_PART)} AS folder, '{name}' AS name FROM flat WHERE doc_id % {SLOTS} = {slot}" for slot, folder, name in MARKERS)
+    return files_sql().replace("files AS MATERIALIZED", "flat AS MATERIALIZED") + f""",
+planted_marks AS ({marks}),
+files AS MATERIALIZED (SELECT *, translate(text, '{upper}', '{lower}') AS lo FROM (
+  SELECT bundle_id, {_PACK} || '/' || {_PART} || '/' || path AS path, doc_id, text FROM flat
+  UNION ALL SELECT bundle_id, concat_ws('/', nullif(folder, ''), name), NULL, 'marks ' || folder FROM planted_marks))"""
+
+
 def files_sql() -> str:
     """A list of CTEs that ends with files(bundle_id, path, doc_id, text, lo)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

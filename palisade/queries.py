@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from palisade.functions.text import fold_ascii
 from palisade.operators import bundles, detect, findings, model_layer, reports, telemetry, threats
-from palisade.plans.planted import files_sql, planted_files
+from palisade.operators import scan_all as scan_folders
+from palisade.operators.threat_store import ThreatStore
+from palisade.plans.planted import files_sql, planted_files, tree_files, tree_sql
 from palisade.plans.rules import RULES, condition, rules_table, sql_condition, sql_string
 from palisade.session import shared_path
 from palisade.sources import router
@@ -64,7 +66,7 @@ def bundle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bundles.bundle_texts(planted_files(spark, sf_dir)).select("bundle_id", F.sha2("body", 256).alias("body_sha256"), F.length("body").cast("long").alias("n_chars"))
+    return bundles.text_digests(planted_files(spark, sf_dir))
 
 
 # ---- detectors ----
@@ -205,7 +207,7 @@ def threat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = planted_files(spark, sf_dir)
-    rows = model_layer.prompts(bundles.bundle_texts(files), detect.static_findings(files))
+    rows = model_layer.prompts(bundles.bundle_heads(files, model_layer.PROMPT_BYTES), detect.static_findings(files))
     return rows.select("bundle_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.octet_length("prompt").cast("long").alias("n_bytes"))
 
 
@@ -258,6 +260,12 @@ def scan_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("bundle_id", "hash", *_long("n_findings"), F.round("risk_score", 6).alias("risk_score"), "risk_level")
 
 
+def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans of all folders with a marker, nested ones included."""
+    results, _, _ = scan_folders.scan_all(tree_files(spark, sf_dir))
+    return results.select("bundle_id", "folder", *_long("n_scans", "n_files", "n_findings"), "hash", F.round("risk_score", 6).alias("risk_score"), "risk_level")
+
+
 def report_console(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain summaries; their first lines and lengths in lines are compared with SQL."""
     results, found, _ = reports.scan(planted_files(spark, sf_dir))
@@ -268,7 +276,7 @@ def report_console(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat requests of all bundles: their shape, and the prompt that they carry."""
     files = planted_files(spark, sf_dir)
-    asked = model_layer.prompts(bundles.bundle_texts(files), detect.static_findings(files))
+    asked = model_layer.prompts(bundles.bundle_heads(files, model_layer.PROMPT_BYTES), detect.static_findings(files))
     get = lambda path: F.get_json_object("request", path)
     rows = model_layer.requests(asked, "some-model")
     return rows.select("bundle_id", get("$.model").alias("model"), get("$.messages[0].role").alias("first_role"), get("$.messages[1].role").alias("second_role"), get("$.response_format.type").alias("answer"))
@@ -281,18 +289,37 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select(F.col("source").alias("bundle_id"), F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws("\n", "text", F.when(F.col("doc_id") % 61 == 9, "a permission for the admin")).alias("text"), F.current_timestamp().alias("seen"))
     files = watch.fresh(files.withColumn("content", F.col("text").cast("binary")))
     out, marks = shared_path(spark, "stream-out"), shared_path(spark, "stream-marks")
-    query = watch.scan_stream(files, out, marks)
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+    watch.finished(watch.scan_stream(files, out, marks))
     return shown(spark.read.parquet(out).drop("batch"))
 
 
+def stream_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two drops of the same bundles, the second under other names, scanned as a stream: what the first shows answers the second."""
+    drop, out, marks, table = (shared_path(spark, f"stream-{x}") for x in ("drop", "results", "progress", "threats"))
+    files, store = planted_files(spark, sf_dir).select("bundle_id", "path", "text", "content"), ThreatStore(spark, table)
+    for prefix in ("", "again-"):
+        files.withColumn("bundle_id", F.concat(F.lit(prefix), "bundle_id")).write.mode("append").parquet(drop)
+        watch.finished(watch.scan_bundles(spark.readStream.schema(files.schema).parquet(drop), store, out, marks))
+    by_bundle = spark.read.parquet(f"{out}/findings").groupBy("batch", "bundle_id").agg(F.bool_or(F.col("engine") == "threat_db").alias("answered"))
+    rows = spark.read.parquet(f"{out}/results").join(by_bundle, ["batch", "bundle_id"], "left")
+    return rows.select(*_long("batch"), "bundle_id", *_long("n_findings"), F.round("risk_score", 6).alias("risk_score"), "risk_level", F.coalesce("answered", F.lit(False)).alias("answered"))
+
+
+def threat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored threat table after two upserts, the known bundles and then a scan's threats, read back version by version."""
+    files, hashes, known = _threats(spark, sf_dir)
+    store = ThreatStore(spark, shared_path(spark, "threats"))
+    store.upsert(known)
+    store.upsert(threats.new_threats(detect.static_findings(files), hashes))
+    rows = [store.read(v).select(F.lit(v).cast("long").alias("version"), "hash", "category", "severity") for v in (1, 2)]
+    return rows[0].unionByName(rows[1])
+
+
 def queries() -> dict[str, Query]:
     named = [
         source_router, url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
         py_calls, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
-        threat_stats, llm_prompt, llm_parse, telemetry_findings, scan_bundles, report_console, model_requests, stream_scan,
+        threat_stats, llm_prompt, llm_parse, telemetry_findings, scan_bundles, scan_all, report_console, model_requests, stream_scan, stream_threats, threat_versions,
     ]
     out = {q.__name__: q for q in named} | {f"sig_sd{i:02d}": _sig(i) for i in range(1, 11)}
     return out | {"report_json": _report(reports.json_reports), "report_sarif": _report(reports.sarif_reports), "report_html": _report(reports.html_reports)}
@@ -310,8 +337,28 @@ _MADE = "layer_ord, string_split(path, '/'), n"
 _CALLS = [(38, 0, 2, "subprocess.run"), (38, 1, 2, "eval"), (38, 2, 3, "os.system"), (39, 0, 2, "ast.literal_eval"), (39, 1, 3, "os.environ.get"), (40, 0, 2, "os.popen"), (40, 1, 3, "requests.get"), (46, 0, 1, "print")]
 
 
-def _with(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join([files_sql(), *ctes]) + "\n" + body
+def _with(*ctes: str, body: str, files: str | None = None) -> str:
+    return "WITH " + ",\n".join([files or files_sql(), *ctes]) + "\n" + body
+
+
+def _scan_all_sql(static: list[str], kept: str, scored: str) -> str:
+    """scans: each marked folder with the files below it; the parts of a single scan follow with (bundle, folder) as their key."""
+    key = "{'b': f.bundle_id, 'd': s.folder}"
+    below = f"JOIN scans s ON f.bundle_id = s.bundle_id AND (s.folder = '' OR starts_with(f.path, s.folder || '/'))"
+    rest = "CASE WHEN s.folder = '' THEN f.path ELSE substr(f.path, CAST(length(s.folder) + 2 AS BIGINT)) END"
+    return _with(
+        f"marked AS (SELECT bundle_id, regexp_replace(path, '/?[^/]*$', '') AS folder, count(*) AS n_scans FROM files WHERE {_BASE} IN ('SKILL.md', '.clauderules', '.cursorrules') GROUP BY ALL)",
+        "scans AS (SELECT bundle_id, folder FROM marked)",
+        *static,
+        f"joined AS (SELECT {key} AS bundle_id, {rest} AS path, line, severity, category, engine, confidence, layer_ord, n FROM found f {below})",
+        kept.replace("FROM found", "FROM joined"),
+        f"parts AS (SELECT {key} AS bundle_id, {rest} AS path, text FROM files f {below})",
+        "hashes AS (SELECT bundle_id, count(*) AS n_files, sha256(string_agg(text, '' ORDER BY string_split(path, '/'))) AS hash FROM parts GROUP BY bundle_id)",
+        scored.replace("FROM files", "FROM parts"),
+        body=f"""SELECT m.bundle_id, m.folder, CAST(n_scans AS BIGINT) AS n_scans, CAST(n_files AS BIGINT) AS n_files, CAST(n_findings AS BIGINT) AS n_findings, hash,
+            round(CAST(risk_score AS DOUBLE), 6) AS risk_score, {_LEVEL} FROM scored x JOIN hashes h ON x.bundle_id = h.bundle_id JOIN marked m ON {{'b': m.bundle_id, 'd': m.folder}} = x.bundle_id""",
+        files=tree_sql(),
+    )
 
 
 def _sql_parts() -> dict[str, str]:
@@ -442,6 +489,24 @@ def oracle_sql() -> dict[str, str]:
         ),
         "report_console": _with(*kept, p["scored"], body=f"SELECT bundle_id, printf('%s: %s, %.1f of 10, %d findings', bundle_id, risk_level, risk_score, n_findings) AS head, CAST(n_findings AS BIGINT) AS n_shown FROM (SELECT bundle_id, CAST(n_findings AS BIGINT) AS n_findings, CAST(risk_score AS DOUBLE) AS risk_score, {_LEVEL} FROM scored)"),
         "model_requests": _with(body="SELECT DISTINCT bundle_id, 'some-model' AS model, 'system' AS first_role, 'user' AS second_role, 'json_object' AS answer FROM files"),
+        "threat_versions": _with(
+            *static, p["hashes"], p["known"], f"fresh AS ({new})",
+            body="SELECT CAST(1 AS BIGINT) AS version, hash, category, severity FROM known UNION ALL SELECT 2, hash, category, severity FROM known WHERE hash NOT IN (SELECT hash FROM fresh) UNION ALL SELECT 2, hash, category, severity FROM fresh",
+        ),
+        "stream_threats": _with(
+            *kept, p["scored"], p["hashes"], f"fresh AS ({new})",
+            f"once AS (SELECT bundle_id, CAST(n_findings AS BIGINT) AS n_findings, round(CAST(risk_score AS DOUBLE), 6) AS risk_score, {_LEVEL} FROM scored)",
+            "twice AS (SELECT bundle_id, severity FROM hashes LEFT JOIN fresh USING (hash))",
+            body="""SELECT CAST(0 AS BIGINT) AS batch, *, false AS answered FROM once
+            UNION ALL SELECT 1, 'again-' || bundle_id, CASE WHEN severity IS NULL THEN n_findings ELSE 1 END, CASE severity WHEN 'CRITICAL' THEN 9.0 WHEN 'HIGH' THEN 7.0 ELSE risk_score END,
+              CASE severity WHEN 'CRITICAL' THEN 'DANGEROUS' WHEN 'HIGH' THEN 'CAUTION' ELSE risk_level END, severity IS NOT NULL FROM once JOIN twice USING (bundle_id)""",
+        ),
+        "stream_scan": _with(
+            *static, body=f"SELECT {_FOUND_COLUMNS} FROM found",
+            files=f"""files AS MATERIALIZED (SELECT *, translate(text, '{upper}', '{lower}') AS lo FROM (SELECT source AS bundle_id, lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.md' AS path, NULL AS doc_id,
+              CASE WHEN doc_id % 61 = 9 THEN text || chr(10) || 'a permission for the admin' ELSE text END AS text FROM documents))""",
+        ),
+        "scan_all": _scan_all_sql(static, p["kept"], p["scored"]),
         "threat_stats": _with(p["hashes"], p["known"], body="SELECT count(*) AS n_threats FROM known"),
         "llm_parse": _llm_parse_sql(),
         "telemetry_findings": _telemetry_sql(),
