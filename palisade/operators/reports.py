@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.text import escape_html, slug
 from palisade.operators import detect, findings, threats
 from palisade.operators.bundles import bundle_hashes
 from palisade.session import stored
+from palisade.sources import named_files
 
 VERSION = "1.0"
 
@@ -106,3 +107,17 @@ def html_reports(results: DataFrame, found: DataFrame) -> DataFrame:
 def write_reports(reports: DataFrame, path: str) -> None:
     """Reports as Parquet, one row a bundle, by Spark's writer: millions of small files help no one."""
     reports.write.mode("overwrite").parquet(path)
+
+
+#: File name ends by the kind of report.
+ENDS = {"json": json_reports, "sarif": sarif_reports, "html": html_reports, "txt": console_reports}
+
+
+def write_report_files(results: DataFrame, found: DataFrame, kind: str, path: str, mode: str = "append") -> None:
+    """A file for each bundle, named by the first 8 signs of its scan_id (by all of it, where bundles share them); results as scan() makes them.
+
+    Files become visible all at once (see named_files.py)."""
+    short = F.substring("scan_id", 1, 8)
+    shared = F.count("*").over(Window.partitionBy(short))
+    names = results.select("bundle_id", F.concat(F.lit("report-"), F.when(shared == 1, short).otherwise(F.col("scan_id")), F.lit(f".{kind}")).alias("name"))
+    named_files.write_files(ENDS[kind](results, found).join(names, "bundle_id").select("name", F.col("report").alias("content")), path, mode)

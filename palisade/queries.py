@@ -2,49 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade import intake_queries
 from palisade.functions.text import fold_ascii
-from palisade.operators import bundles, detect, findings, model_layer, reports, telemetry, threats
+from palisade.operators import bundles, detect, findings, model_layer, reports, threats
 from palisade.operators import scan_all as scan_folders
 from palisade.operators.threat_store import ThreatStore
 from palisade.plans.planted import files_sql, planted_files, tree_files, tree_sql
 from palisade.plans.rules import RULES, condition, rules_table, sql_condition, sql_string
 from palisade.session import shared_path
+from palisade.queries_common import FOUND_COLUMNS as _FOUND_COLUMNS
+from palisade.queries_common import Query, shown
+from palisade.queries_common import longs as _long
 from palisade.sources import router
 from palisade.streaming import watch
 
-Query = Callable[[SparkSession, str], DataFrame]
-FOUND = ("bundle_id", "path", "line", "severity", "category", "engine", "confidence")
-
-
-def _long(*names: str) -> list:
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
-def shown(rows: DataFrame) -> DataFrame:
-    """Findings without their texts, which are wording and not results."""
-    return rows.select(*[F.col(c).cast("long").alias(c) if c == "line" else F.round(c, 6).alias(c) if c == "confidence" else F.col(c) for c in FOUND])
-
-
 # ---- intake ----
 
-# Sources to route, with what lies at the path.
-SOURCES = [
-    ("lobehub.com/skills/reader", None), ("lobehub.com/skills/", None), ("skills.sh/owner/repo", None), ("skills.sh/owner", None), ("owner/repo", None), ("owner/repo", "directory"),
-    ("./owner/repo", None), ("own.er/repo", None), ("https://example.org/a/b.md", None), ("http://example.org", None), ("pack.zip", "file"), ("pack.tar.gz", "file"), ("pack.gz", "file"), ("pack.tgz", "file"),
-    ("notes/a.md", "file"), ("notes/.cursorrules", "file"), ("image.png", "file"), ("folder", "directory"), ("nothing.md", None),
-]
-
-
-def source_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return router.routed(spark.createDataFrame(SOURCES, "source string, local string"))
-
-
 def url_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", router.file_name_of(F.col("url")).alias("file_name"))
 
@@ -87,7 +64,10 @@ def _sig(number: int) -> Query:
 
 
 def rules_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules_table(spark).select(F.col("rule_ord").cast("long").alias("rule_ord"), "rule_id", "category", "severity")
+    """All rules, with the number of files that each matches."""
+    hits = detect.signature_hits(planted_files(spark, sf_dir)).groupBy("rule_ord").agg(F.count("*").alias("n_files"))
+    rows = F.broadcast(rules_table(spark)).join(hits, "rule_ord", "left")
+    return rows.select(*_long("rule_ord"), "rule_id", "category", "severity", F.coalesce("n_files", F.lit(0)).cast("long").alias("n_files"))
 
 
 def url_network_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,46 +191,47 @@ def llm_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bundle_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.octet_length("prompt").cast("long").alias("n_bytes"))
 
 
-# Canned responses.
-RESPONSES = [
-    ("b1", '{"findings": [{"severity": "HIGH", "category": "SD-01", "file": "a.md", "line": 3, "description": "d", "remediation": "r", "confidence": 0.75}, {"severity": "odd", "category": "SD-02", "description": "d"}]}'),
-    ("b2", '{"results": [{"severity": "LOW", "category": "c", "description": "d", "line": -3, "confidence": 7}, {"severity": "LOW", "category": 5, "description": "d"}, {"severity": "INFO", "category": "c", "description": "d", "line": 3.5, "confidence": "0.9"}]}'),
-    ("b3", '{"findings": "none", "results": [{"severity": "LOW", "category": "c", "description": "d"}]}'),
-    ("b4", "no json"),
-    ("b5", None),
-    ("b6", '{"findings": []}'),
-    ("b7", '{"findings": [{"category": "c", "description": "d"}, 5, null, {"severity": "CRITICAL", "category": "c", "description": "d", "file": 7, "line": 0}]}'),
-]
-
-
-def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(model_layer.parse_responses(spark.createDataFrame(RESPONSES, "bundle_id string, response string")))
-
-
-# Telemetry of some scripts.
-TELEMETRY = [
-    ("b1", "a.py", "ok", "", 0, False, []),
-    ("b1", "b.py", "leak AKIA_TRAP_CANARY_AWS_KEY_8832", "ghp_trap_canary_github_token_xyz987", 0, False, []),
-    ("b2", "c.sh", "", "ran /bin/sh", 1, False, [".bashrc", ".profile"]),
-    ("b3", "d.js", None, None, None, True, None),
-    ("b3", "e.js", "cmd.exe CANARY_SSH_PRIVATE_KEY_TRAP_44321", "", 0, False, [".zshrc"]),
-]
+# ---- reports, stream ----
 
 
-def telemetry_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(TELEMETRY, "bundle_id string, file string, stdout string, stderr string, exit_code int, timed_out boolean, modified array<string>")
-    return shown(telemetry.telemetry_findings(rows))
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that the JSON reports list, read back from their text; a bundle without any has one row."""
+    results, found, _ = reports.scan(planted_files(spark, sf_dir))
+    item = "array<struct<severity: string, category: string, file: string, line: long, engine: string, confidence: double>>"
+    r = F.from_json("report", f"bundle_id string, hash string, risk_level string, risk_score double, findings {item}")
+    rows = reports.json_reports(results, found).select(r.alias("r")).select("r.*", F.posexplode_outer("r.findings").alias("place", "f"))
+    rows = rows.select("bundle_id", "hash", "risk_level", F.round("risk_score", 6).alias("risk_score"), *_long("place"), "f.*")
+    return rows.withColumn("confidence", F.round("confidence", 6))
 
 
-# ---- reports, stream ----
+def report_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results that the SARIF reports list, each with its rule, read back from their text."""
+    results, found, _ = reports.scan(planted_files(spark, sf_dir))
+    place = "array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: long>>>>"
+    result = f"array<struct<ruleId: string, level: string, locations: {place}, properties: struct<confidence: double, engine: string>>>"
+    rule = "array<struct<id: string, name: string, defaultConfiguration: struct<level: string>>>"
+    r = F.from_json("report", f"version string, runs array<struct<tool: struct<driver: struct<rules: {rule}>>, results: {result}>>")
+    run = reports.sarif_reports(results, found).select("bundle_id", r.alias("r")).select("bundle_id", "r.version", F.get("r.runs", F.lit(0)).alias("run"))
+    both = F.arrays_zip(F.col("run.results").alias("result"), F.col("run.tool.driver.rules").alias("rule"))
+    rows = run.select("bundle_id", "version", F.posexplode(both).alias("place", "x"))
+    at = F.get("x.result.locations", F.lit(0))["physicalLocation"]
+    return rows.select(
+        "bundle_id", "version", *_long("place"), F.col("x.rule.id").alias("rule_id"), F.col("x.rule.name").alias("rule_name"), F.col("x.rule.defaultConfiguration.level").alias("rule_level"), F.col("x.result.ruleId").alias("result_rule"),
+        F.col("x.result.level").alias("level"), at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"), F.round("x.result.properties.confidence", 6).alias("confidence"), F.col("x.result.properties.engine").alias("engine"),
+    )
 
 
-def _report(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        results, found, _ = reports.scan(planted_files(spark, sf_dir))
-        return make(results, found)
-
-    return run
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the HTML reports show: title, level and score, findings by colour, and the files that they name, read back from their text."""
+    results, found, _ = reports.scan(planted_files(spark, sf_dir))
+    part = lambda pattern: F.regexp_extract("report", pattern, 1)
+    count = lambda text: F.regexp_count("report", F.lit(text)).cast("long")
+    rows = reports.html_reports(results, found)
+    return rows.select(
+        "bundle_id", part("<title>(.*?)</title>").alias("title"), part("<h1>(.*?)</h1>").alias("head"), part("</h1><p>([0-9]+) findings, ").cast("long").alias("n_findings"), part("layers: ([a-z_, ]*)</p>").alias("layers"),
+        count('<li style="color:#c00">').alias("n_critical"), count('<li style="color:#d60">').alias("n_high"), count('<li style="color:#a80">').alias("n_medium"),
+        F.array_join(F.regexp_extract_all("report", F.lit("<code>(.*?)</code>"), F.lit(1)), " ").alias("places"),
+    )
 
 
 def scan_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,12 +298,12 @@ def threat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        source_router, url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
+        url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
         py_calls, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
-        threat_stats, llm_prompt, llm_parse, telemetry_findings, scan_bundles, scan_all, report_console, model_requests, stream_scan, stream_threats, threat_versions,
+        threat_stats, llm_prompt, scan_bundles, scan_all, report_console, model_requests, report_json, report_sarif, report_html, stream_scan, stream_threats, threat_versions,
     ]
     out = {q.__name__: q for q in named} | {f"sig_sd{i:02d}": _sig(i) for i in range(1, 11)}
-    return out | {"report_json": _report(reports.json_reports), "report_sarif": _report(reports.sarif_reports), "report_html": _report(reports.html_reports)}
+    return out | intake_queries.queries()
 
 
 # ---- SQL ----
@@ -396,52 +377,9 @@ def _sql_parts() -> dict[str, str]:
     }
 
 
-_FOUND_COLUMNS = "bundle_id, path, CAST(line AS BIGINT) AS line, severity, category, engine, round(CAST(confidence AS DOUBLE), 6) AS confidence"
 _LEVEL = "CASE WHEN worst = 4 THEN 'DANGEROUS' WHEN worst = 3 THEN 'CAUTION' WHEN risk_score >= 7 THEN 'DANGEROUS' WHEN risk_score >= 4 THEN 'CAUTION' ELSE 'SAFE' END AS risk_level"
 
 
-def _router_sql() -> str:
-    rows = ", ".join(f"({sql_string(s)}, {sql_string(k) if k else 'NULL'})" for s, k in SOURCES)
-    texts = ", ".join(map(sql_string, detect.TEXT_EXTENSIONS))
-    return f"""WITH s(source, local) AS (VALUES {rows}),
-p AS (SELECT *, string_split(source, '/') AS parts, string_split(source, '/')[-1] AS base, regexp_extract(string_split(source, '/')[-1], '^.+\\.([^.]*)$', 1) AS ext,
-             string_split(regexp_replace(source, '^(lobehub[.]com/skills/)+', ''), '/')[1] AS hub, string_split(regexp_replace(source, '^(skills[.]sh/)+', ''), '/') AS own FROM s),
-k AS (SELECT *, CASE
-  WHEN starts_with(source, 'lobehub.com/skills/') THEN CASE WHEN hub <> '' THEN 'hub' ELSE 'invalid' END
-  WHEN starts_with(source, 'skills.sh/') THEN CASE WHEN len(own) >= 2 THEN 'registry' ELSE 'invalid' END
-  WHEN regexp_matches(source, '^[^./\\\\][^/.]*/[^/.]+$') AND local IS NULL THEN 'shorthand'
-  WHEN regexp_matches(source, '^https?://') THEN 'url'
-  WHEN local IS NULL THEN 'missing' WHEN local = 'directory' THEN 'directory' WHEN ext = 'zip' THEN 'zip' WHEN ext = 'tgz' OR (ext = 'gz' AND ends_with(base, '.tar.gz')) THEN 'tar'
-  WHEN ext IN ({texts}) OR base IN ('.clauderules', '.cursorrules') THEN 'file' ELSE 'unsupported' END AS kind FROM p)
-SELECT source, kind, CASE kind WHEN 'hub' THEN 'https://raw.githubusercontent.com/lobehub/lobe-chat-agents/main/src/' || hub || '/SKILL.md'
-  WHEN 'registry' THEN 'https://raw.githubusercontent.com/' || own[1] || '/' || own[2] || '/main/SKILL.md' WHEN 'shorthand' THEN 'https://raw.githubusercontent.com/' || source || '/main/SKILL.md' WHEN 'url' THEN source END AS address FROM k"""
-
-
-def _telemetry_sql() -> str:
-    text = lambda x: "NULL" if x is None else sql_string(x)
-    rows = ", ".join(f"({sql_string(b)}, {sql_string(f)}, {text(out)}, {text(err)}, {'NULL::VARCHAR[]' if m is None else '[' + ', '.join(map(sql_string, m)) + ']::VARCHAR[]'})" for b, f, out, err, _, _, m in TELEMETRY)
-    canary = " OR ".join(f"contains(o, {sql_string(c)})" for c in telemetry.CANARIES)
-    shell = " OR ".join(f"contains(o, {sql_string(c)})" for c in telemetry.SHELLS)
-    return f"""WITH t AS (SELECT *, coalesce(stdout, '') || chr(10) || coalesce(stderr, '') AS o FROM (VALUES {rows}) v(bundle_id, path, stdout, stderr, modified)),
-f AS (SELECT bundle_id, path, 'CRITICAL' AS severity, 'SD-03 · Data Exfiltration' AS category, 0.98 AS confidence FROM t WHERE {canary}
-  UNION ALL SELECT bundle_id, path, 'CRITICAL', 'SD-08 · Persistent Backdoors', 0.95 FROM (SELECT bundle_id, path, unnest(modified) FROM t)
-  UNION ALL SELECT bundle_id, path, 'HIGH', 'SD-02 · Command Injection', 0.92 FROM t WHERE {shell})
-SELECT bundle_id, path, CAST(NULL AS BIGINT) AS line, severity, category, 'sandbox' AS engine, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM f"""
-
-
-def _llm_parse_sql() -> str:
-    rows = ", ".join(f"({sql_string(b)}, {'NULL' if r is None else sql_string(r)})" for b, r in RESPONSES)
-    text = lambda c: f"json_type(i, '$.{c}') = 'VARCHAR'"
-    return f"""WITH r(bundle_id, response) AS (VALUES {rows}),
-w AS (SELECT bundle_id, coalesce(json_extract(response, '$.findings'), json_extract(response, '$.results')) AS x FROM r WHERE json_valid(response)),
-items AS (SELECT bundle_id, unnest(json_extract(x, '$[*]')) AS i FROM w WHERE json_type(x) = 'ARRAY')
-SELECT bundle_id, CASE WHEN {text('file')} THEN i->>'$.file' ELSE 'unknown' END AS path,
-  CASE WHEN json_type(i, '$.line') = 'UBIGINT' THEN CAST(i->>'$.line' AS BIGINT) END AS line,
-  CASE WHEN i->>'$.severity' IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO') THEN i->>'$.severity' ELSE 'MEDIUM' END AS severity, i->>'$.category' AS category, 'llm' AS engine,
-  round(CASE WHEN json_type(i, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN least(greatest(CAST(i->>'$.confidence' AS DOUBLE), 0.0), 1.0) ELSE 0.5 END, 6) AS confidence
-FROM items WHERE {text('severity')} AND {text('category')} AND {text('description')}"""
-
-
 def oracle_sql() -> dict[str, str]:
     p = _sql_parts()
     static = [p[k] for k in ("texts", "hits", "bytes", "chunks", "marks", "sites", "called", "found")]
@@ -453,7 +391,6 @@ def oracle_sql() -> dict[str, str]:
     known_found = "SELECT bundle_id, 'bundle' AS path, CAST(NULL AS BIGINT) AS line, CASE WHEN upper(severity) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO') THEN upper(severity) ELSE 'INFO' END AS severity, category, 'threat_db' AS engine, CAST(1.0 AS DOUBLE) AS confidence FROM hashes JOIN known USING (hash)"
     rules = ", ".join(f"({i}, {sql_string(r.rule_id)}, {sql_string(r.category)}, {sql_string(r.severity)})" for i, r in enumerate(RULES))
     out = {
-        "source_router": _router_sql(),
         "url_file_names": "SELECT page_id, coalesce(nullif(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1), ''), 'downloaded_skill.txt') AS file_name FROM pages",
         "text_filter": _with(body=f"SELECT bundle_id, path, {_IS_TEXT} AS is_text FROM files"),
         "script_discovery": _with(body=f"SELECT bundle_id, path, CASE {_EXT} WHEN 'py' THEN 'python' WHEN 'sh' THEN 'shell' ELSE 'node' END AS runtime FROM files WHERE {_EXT} IN ('py', 'js', 'mjs', 'cjs', 'sh') AND len(string_split(path, '/')) <= 4"),
@@ -461,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
         "bundle_hash": _with(p["hashes"], body="SELECT * FROM hashes"),
         "bundle_concat": _with(p["bodies"], body="SELECT bundle_id, sha256(body) AS body_sha256, CAST(length(body) AS BIGINT) AS n_chars FROM bodies"),
         "sig_all": _with(p["texts"], p["hits"], body=sig),
-        "rules_list": f"SELECT CAST(a AS BIGINT) AS rule_ord, b AS rule_id, c AS category, d AS severity FROM (VALUES {rules}) v(a, b, c, d)",
+        "rules_list": _with(p["texts"], p["hits"], body=f"SELECT CAST(a AS BIGINT) AS rule_ord, b AS rule_id, c AS category, d AS severity, (SELECT count(*) FROM hits WHERE rule_ord = a) AS n_files FROM (VALUES {rules}) v(a, b, c, d)"),
         "url_network_hits": f"SELECT page_id, url FROM (SELECT *, translate(url, '{upper}', '{lower}') AS lo FROM pages) WHERE {sql_condition(rule, 'lo', 'url')}",
         "entropy_chunks": _with(p["texts"], p["bytes"], p["chunks"], body="SELECT bundle_id, path, CAST(chunk AS BIGINT) AS chunk, round(entropy, 6) AS entropy FROM chunks"),
         "entropy_findings": _with(*static, body=f"SELECT {_FOUND_COLUMNS} FROM found WHERE engine = 'entropy'"),
@@ -508,7 +445,24 @@ def oracle_sql() -> dict[str, str]:
         ),
         "scan_all": _scan_all_sql(static, p["kept"], p["scored"]),
         "threat_stats": _with(p["hashes"], p["known"], body="SELECT count(*) AS n_threats FROM known"),
-        "llm_parse": _llm_parse_sql(),
-        "telemetry_findings": _telemetry_sql(),
     }
+    ranked = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY {_ORDER} DESC, confidence DESC, {_MADE}) - 1 AS place FROM kept)"
+    levels = f"levels AS (SELECT bundle_id, round(CAST(risk_score AS DOUBLE), 6) AS risk_score, CAST(n_findings AS BIGINT) AS n_findings, {_LEVEL} FROM scored)"
+    slug = "replace(replace(category, ' · ', '_'), ' ', '_')"
+    sarif_level = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' WHEN severity = 'MEDIUM' THEN 'warning' ELSE 'note' END"
+    out["report_json"] = _with(*kept, p["scored"], p["hashes"], ranked, levels, body="""SELECT l.bundle_id, hash, risk_level, risk_score, CAST(place AS BIGINT) AS place, severity, category, path AS file, CAST(line AS BIGINT) AS line, engine,
+        round(CAST(confidence AS DOUBLE), 6) AS confidence FROM levels l JOIN hashes USING (bundle_id) LEFT JOIN ranked r ON l.bundle_id = r.bundle_id""")
+    out["report_sarif"] = _with(*kept, ranked, body=f"""SELECT bundle_id, '2.1.0' AS version, CAST(place AS BIGINT) AS place, {slug} AS rule_id, category AS rule_name, {sarif_level} AS rule_level, {slug} AS result_rule, {sarif_level} AS level,
+        path AS uri, CAST(coalesce(line, 1) AS BIGINT) AS start_line, round(CAST(confidence AS DOUBLE), 6) AS confidence, engine FROM ranked""")
+    out["report_html"] = _with(*kept, p["scored"], ranked, levels, body="""SELECT l.bundle_id, l.bundle_id AS title, printf('%s %.1f/10', risk_level, risk_score) AS head, n_findings, 'static' AS layers,
+        count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(*) FILTER (severity = 'HIGH') AS n_high, count(*) FILTER (severity = 'MEDIUM') AS n_medium, coalesce(string_agg(concat_ws(':', path, line), ' ' ORDER BY place), '') AS places
+        FROM levels l LEFT JOIN ranked r ON l.bundle_id = r.bundle_id GROUP BY ALL""")
+    first = f"first AS (SELECT bundle_id, row_number() OVER (PARTITION BY bundle_id ORDER BY {_MADE}) AS place, '- ' || severity || ': ' || category || ' in ' || path AS said FROM found)"
+    body = f"""heads AS (SELECT bundle_id, left(body, {model_layer.PROMPT_BYTES}) AS body FROM bodies),
+        letters AS (SELECT bundle_id, unnest(string_split(body, '')) AS c, unnest(range(length(body))) AS i FROM heads),
+        cut AS (SELECT bundle_id, string_agg(c, '' ORDER BY i) AS body FROM (SELECT *, sum(strlen(c)) OVER (PARTITION BY bundle_id ORDER BY i) AS size FROM letters) WHERE size <= {model_layer.PROMPT_BYTES} GROUP BY bundle_id)"""
+    out["llm_prompt"] = _with(*static, p["bodies"], first, body, body=f"""SELECT bundle_id, sha256(prompt) AS prompt_sha256, CAST(strlen(prompt) AS BIGINT) AS n_bytes FROM (
+        SELECT bundle_id, {sql_string(model_layer.FINDINGS_HEAD)} || coalesce(listed, 'None') || {sql_string(model_layer.BUNDLE_HEAD)} || body AS prompt FROM cut
+        LEFT JOIN (SELECT bundle_id, string_agg(said, chr(10) ORDER BY place) AS listed FROM first WHERE place <= {model_layer.PROMPT_FINDINGS} GROUP BY bundle_id) USING (bundle_id))""")
+    out |= intake_queries.oracle_sql(p["hashes"], [*kept, p["scored"], levels])
     return out | {f"sig_sd{i:02d}": _with(p["texts"], p["hits"], body=f"{sig} WHERE starts_with(rule_id, 'SD{i:02d}_')") for i in range(1, 11)}

@@ -1,22 +1,23 @@
-"""Readers: folders, files, zip and tar archives, and addresses, as rows (bundle_id, path, text, content)."""
+"""Readers: folders, files, zip and tar archives as rows (bundle_id, path, text, content). Addresses: see fetch.py."""
 
 from __future__ import annotations
 
 import io
 import tarfile
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from palisade.functions.text import valid_text
-from palisade.session import map_batches
+from palisade.sources import folders
 
 MAX_ENTRIES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 10_000, 25 << 20, 100 << 20
-ENTRIES = "array<struct<path: string, content: binary>>"
 
 
 def with_text(files: DataFrame) -> DataFrame:
@@ -27,7 +28,16 @@ def read_folder(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """Files under root; the first `depth` folders below root name the bundle, the rest is the path in it.
 
     Spark's file index leaves out files and folders whose names start with a dot or an underscore, even if they are
-    given; what it leaves out is listed through Hadoop's file system and read by tasks (see `read_hidden`)."""
+    given. So tasks list and read the folder themselves (see folders.py) where Arrow knows the store; elsewhere what the index
+    leaves out is listed through Hadoop's file system by the driver and read by tasks (see `read_hidden`). A file
+    that can't be read fails the job."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    address = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri()
+    if address.getScheme() in folders.SCHEMES:
+        plain = address.getPath() if address.getScheme() == "file" else address.toString()
+        rows = folders.read_files(spark, plain, depth=depth)
+        content = F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("not read: "), "bundle_id", F.lit("/"), "path", F.lit(": "), "error")).cast("binary"))
+        return with_text(rows.withColumn("content", content))
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return placed(rows, spark, root, depth).unionByName(placed(read_hidden(spark, root), spark, root, depth))
 
@@ -94,36 +104,53 @@ def safe_name(name: str) -> str | None:
     return "/".join(parts) or None
 
 
-def unzip(content: bytes) -> list[dict]:
-    """Files of a zip archive, within the limits; an archive that breaks them raises."""
-    out, total = [], 0
+def read_most(stream: io.BufferedIOBase, most: int) -> int:
+    """How many bytes a stream holds, counted up to one more than `most`; none are kept."""
+    total = 0
+    while total <= most and (piece := stream.read(min(1 << 16, most + 1 - total))):
+        total += len(piece)
+    return total
+
+
+def unzip(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of the files of a zip archive, one by one. An archive that breaks the limits raises before any comes: sizes
+    are counted while unpacking, since a header can lie."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         entries = archive.infolist()
         if len(entries) > MAX_ENTRIES:
             raise ValueError(f"the archive has more than {MAX_ENTRIES} entries")
+        entries, total = [e for e in entries if not e.is_dir()], 0
         for entry in entries:
-            if entry.is_dir() or (name := safe_name(entry.filename)) is None:
-                continue
             with archive.open(entry) as f:
-                data = f.read(MAX_FILE_BYTES + 1)
-            total += len(data)
-            check_size(len(data), total)
-            out.append({"path": name, "content": data})
-    return out
+                total += (size := read_most(f, MAX_FILE_BYTES))
+            check_size(size, total)
+
+    def files() -> Iterator[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for entry in entries:
+                if (name := safe_name(entry.filename)) is not None:
+                    yield name, archive.read(entry)
 
+    return files()
 
-def untar(content: bytes) -> list[dict]:
+
+def untar(content: bytes) -> Iterator[tuple[str, bytes]]:
     """The same for tar.gz; links and other special entries are left out."""
-    out, total = [], 0
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
+    total = 0
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as archive:
         for i, entry in enumerate(archive):
             if i >= MAX_ENTRIES:
                 raise ValueError(f"the archive has more than {MAX_ENTRIES} entries")
             total += entry.size
             check_size(entry.size, total)
-            if entry.isfile() and (name := safe_name(entry.name)) is not None:
-                out.append({"path": name, "content": archive.extractfile(entry).read()})
-    return out
+
+    def files() -> Iterator[tuple[str, bytes]]:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as archive:
+            for entry in archive:
+                if entry.isfile() and (name := safe_name(entry.name)) is not None:
+                    yield name, archive.extractfile(entry).read()
+
+    return files()
 
 
 def check_size(one: int, total: int) -> None:
@@ -133,32 +160,38 @@ def check_size(one: int, total: int) -> None:
         raise ValueError(f"the archive has more than {MAX_TOTAL_BYTES} bytes")
 
 
+class Unpack:
+    """A table function: (path, content, reason) of an archive's files, or one row with the reason why it has none.
+
+    Spark takes the rows as they come; what a task holds is one archive, one of its files, and what waits to be sent."""
+
+    def eval(self, kind: str | None, content: bytes | None) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+        try:
+            found = {"zip": unzip, "tar": untar}[kind](bytes(content or b""))
+        except KeyError:
+            yield None, None, f"no archive that can be read: {kind}"
+            return
+        except (ValueError, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error, zipfile.BadZipFile, tarfile.TarError) as e:
+            yield None, None, str(e)[:200] or type(e).__name__
+            return
+        for path, data in found:
+            yield path, data, None
+
+
+def register_unpack(spark: SparkSession) -> None:
+    """Make the table function unpack(kind, content) known to SQL."""
+    spark.udtf.register("unpack", udtf(Unpack, returnType="path string, content binary, reason string"))
+
+
+def entries(archives: DataFrame) -> DataFrame:
+    """(bundle_id, path, content, reason) of archives (bundle_id, kind 'zip' or 'tar', content), by a lateral join."""
+    table = udtf(Unpack, returnType="path string, content binary, reason string")
+    asked = archives.select("bundle_id", F.col("kind").alias("k"), F.col("content").alias("c"))
+    return asked.lateralJoin(table(F.col("k").outer(), F.col("c").outer())).select("bundle_id", "path", "content", "reason")
+
+
 def unpack(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """archives (bundle_id, kind 'zip' or 'tar', content) to (files, rejected (bundle_id, reason))."""
-
-    def run(bundles: list, kinds: list, contents: list) -> dict:
-        out: dict = {"bundle_id": bundles, "entries": [], "reason": []}
-        for how, data in zip(kinds, contents):
-            try:
-                entries, reason = {"zip": unzip, "tar": untar}[how](bytes(data or b"")), None
-            except (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile, tarfile.TarError) as e:
-                entries, reason = [], str(e)[:200] or type(e).__name__
-            out["entries"].append(entries)
-            out["reason"].append(reason)
-        return out
-
-    rows = map_batches(archives.select("bundle_id", "kind", "content"), run, f"bundle_id string, entries {ENTRIES}, reason string")
-    files = rows.select("bundle_id", F.explode("entries").alias("e")).select("bundle_id", "e.path", "e.content")
-    return with_text(files), rows.where(F.col("reason").isNotNull()).select("bundle_id", "reason")
-
-
-def fetch(addresses: DataFrame, get: Callable[[str], bytes | None]) -> DataFrame:
-    """(bundle_id, address) to files, by a function of the user's that gives an address's bytes; over the limit, none."""
-    from palisade.sources.router import file_name_of
-
-    def run(bundles: list, urls: list, names: list) -> dict:
-        data = [get(u) for u in urls]
-        return {"bundle_id": bundles, "path": names, "content": [d if d is not None and len(d) <= MAX_FILE_BYTES else None for d in data]}
-
-    rows = addresses.select("bundle_id", "address", file_name_of(F.col("address")).alias("path"))
-    return with_text(map_batches(rows, run, "bundle_id string, path string, content binary").where(F.col("content").isNotNull()))
+    """archives (bundle_id, kind 'zip' or 'tar', content) to (files, rejected (bundle_id, reason)). An archive is either read
+    whole or rejected."""
+    rows = entries(archives)
+    return with_text(rows.where(F.col("reason").isNull())), rows.where(F.col("reason").isNotNull()).select("bundle_id", "reason")

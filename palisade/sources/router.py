@@ -12,6 +12,7 @@ from palisade.operators.detect import TEXT_EXTENSIONS, TEXT_NAMES
 HUB, REGISTRY = "lobehub.com/skills/", "skills.sh/"
 HUB_RAW = "https://raw.githubusercontent.com/lobehub/lobe-chat-agents/main/src/"
 RAW, MARKER = "https://raw.githubusercontent.com/", "/main/SKILL.md"
+REGISTRY_API = "https://skills.sh/api/skills/"
 DEFAULT_NAME = "downloaded_skill.txt"
 
 
@@ -52,9 +53,16 @@ def routed(sources: DataFrame) -> DataFrame:
     return sources.withColumn("kind", kind).withColumn("address", address).select("source", "kind", "address")
 
 
+def registry_api(source: Column) -> Column:
+    """Where a registry reference asks for its address."""
+    owner = F.split(F.regexp_replace(source, f"^({REGISTRY.replace('.', '[.]')})+", ""), "/")
+    return F.concat(F.lit(REGISTRY_API), F.get(owner, F.lit(0)), F.lit("/"), F.get(owner, F.lit(1)))
+
+
 def registry_address(response: Column, fallback: Column) -> Column:
-    """The address in a registry API's response, else the fallback."""
-    return F.coalesce(F.get_json_object(response, "$.source_url"), fallback)
+    """The address in a registry API's response, else the fallback; an address is a text."""
+    found = F.try_variant_get(F.try_parse_json(response), "$.source_url", "variant")
+    return F.coalesce(F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(F.try_parse_json(response), "$.source_url", "string")), fallback)
 
 
 def file_name_of(url: Column) -> Column:

@@ -60,9 +60,3 @@ def test_folder_with_hidden_files(spark, tmp_path):
     assert rows == {("b1", "a.md", "x"), ("b1", ".cursorrules", "y"), ("b2", "d/e.md", None)}
     one = readers.read_file(spark, str(tmp_path / "b1/a.md")).first()
     assert (one.path, one.text) == ("a.md", "x")
-
-
-def test_fetch(spark):
-    rows = spark.createDataFrame([("b", "https://a.b/c.md"), ("d", "https://a.b/none")], "bundle_id string, address string")
-    got = readers.fetch(rows, lambda url: b"text" if url.endswith(".md") else None).collect()
-    assert [(r.bundle_id, r.path, r.text) for r in got] == [("b", "c.md", "text")]

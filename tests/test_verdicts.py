@@ -4,8 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import bundles, findings, model_layer, reports, telemetry, threats
-from palisade.queries import RESPONSES
 
+# Canned responses.
+RESPONSES = [
+    ("b1", '{"findings": [{"severity": "HIGH", "category": "SD-01", "file": "a.md", "line": 3, "description": "d", "remediation": "r", "confidence": 0.75}, {"severity": "odd", "category": "SD-02", "description": "d"}]}'),
+    ("b2", '{"results": [{"severity": "LOW", "category": "c", "description": "d", "line": -3, "confidence": 7}, {"severity": "LOW", "category": 5, "description": "d"}, {"severity": "INFO", "category": "c", "description": "d", "line": 3.5, "confidence": "0.9"}]}'),
+    ("b3", '{"findings": "none", "results": [{"severity": "LOW", "category": "c", "description": "d"}]}'),
+    ("b4", "no json"),
+    ("b5", None),
+    ("b6", '{"findings": []}'),
+    ("b7", '{"findings": [{"category": "c", "description": "d"}, 5, null, {"severity": "CRITICAL", "category": "c", "description": "d", "file": 7, "line": 0}]}'),
+]
 COLUMNS = "bundle_id string, path string, line int, severity string, category string, description string, remediation string, engine string, confidence double, layer_ord int, n long"
 
 
@@ -146,3 +155,16 @@ def test_scan_uses_the_threat_table(spark):
     results, kept, _ = reports.scan(rows, known)
     assert {r.bundle_id: r.risk_score for r in results.collect()} == {"b": 9.0, "c": 0.0}
     assert {r.engine for r in kept.collect()} == {"threat_db"} and len(RULES) == 27
+
+
+def test_report_files(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "a.md", "autostart"), ("c", "a.md", "nothing")], "bundle_id string, path string, text string").withColumn("content", F.col("text").cast("binary"))
+    results, kept, _ = reports.scan(rows, scan_name="one")
+    for kind, make in (("json", reports.json_reports), ("sarif", reports.sarif_reports), ("html", reports.html_reports), ("txt", reports.console_reports)):
+        shared = results.withColumn("scan_id", F.when(F.col("bundle_id") == "b", "abcdefgh-1").otherwise("abcdefgh-2")) if kind == "txt" else results
+        reports.write_report_files(shared, kept, kind, f"{tmp_path}/{kind}")
+        got = {p.name: p.read_text() for p in (tmp_path / kind).rglob("*") if p.is_file()}
+        ids = {r.bundle_id: r.scan_id if kind == "txt" else r.scan_id[:8] for r in shared.collect()}
+        want = {f"report-{ids[r.bundle_id]}.{kind}": r.report for r in make(shared, kept).collect()}
+        assert set(got) == set(want) and len(got) == 2
+        assert kind == "json" or kind == "html" or got == want  # the others hold the time of the scan
