@@ -6,15 +6,12 @@ only and share the columns of FINDING; layer_ord and n give findings of a file t
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
+from palisade.operators.call_parser import python_calls
 from palisade.plans.rules import REMEDIATION, RULES, SIGNATURE_CONFIDENCE, condition
 from palisade.session import map_batches
 
@@ -115,30 +112,8 @@ def unicode_findings(files: DataFrame) -> DataFrame:
     return zero.unionByName(rtl)
 
 
-LOOSE_CALL = re.compile(r"(?<![\w.])((?:[A-Za-z_]\w*)(?:\.[A-Za-z_]\w*)*)\s*\(")
-
-
-def python_calls(source: str) -> Iterator[tuple[int, str]]:
-    """(line, callee text) of every call, outer calls before inner ones. Text that is no valid program is searched for
-    dotted names before an opening bracket instead, leaving out those that follow def or class."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        for line, text in enumerate(source.split("\n"), 1):
-            for m in LOOSE_CALL.finditer(text):
-                if not re.search(r"\b(?:def|class)\s+$", text[: m.start()]):
-                    yield line, m[1]
-        return
-    stack: list[ast.AST] = [tree]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, ast.Call):
-            yield node.lineno, ast.get_source_segment(source, node.func) or ""
-        stack.extend(reversed(list(ast.iter_child_nodes(node))))
-
-
 def call_sites(files: DataFrame) -> DataFrame:
-    """(bundle_id, path, seq, line, callee) of calls in Python files."""
+    """(bundle_id, path, seq, line, callee) of calls in Python files, valid or not (see call_parser.py)."""
     rows = files.where((T.extension(F.col("path")) == "py") & F.col("text").isNotNull()).select("bundle_id", "path", "text")
 
     def run(bundles: list, paths: list, texts: list) -> dict:

@@ -11,6 +11,7 @@ from palisade.functions.text import fold_ascii
 from palisade.operators import bundles, detect, findings, model_layer, reports, threats
 from palisade.operators import scan_all as scan_folders
 from palisade.operators.threat_store import ThreatStore
+from palisade.plans import programs
 from palisade.plans.planted import files_sql, planted_files, tree_files, tree_sql
 from palisade.plans.rules import RULES, condition, rules_table, sql_condition, sql_string
 from palisade.session import shared_path
@@ -100,6 +101,11 @@ def py_call_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(detect.call_findings(planted_files(spark, sf_dir)))
 
 
+def py_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a generated program for each document, with broken lines in it."""
+    return detect.call_sites(programs.programs(spark, sf_dir)).select("bundle_id", "path", *_long("seq", "line"), "callee")
+
+
 # ---- verdicts ----
 
 
@@ -299,7 +305,7 @@ def threat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
-        py_calls, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
+        py_calls, py_programs, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
         threat_stats, llm_prompt, scan_bundles, scan_all, report_console, model_requests, report_json, report_sarif, report_html, stream_scan, stream_threats, threat_versions,
     ]
     out = {q.__name__: q for q in named} | {f"sig_sd{i:02d}": _sig(i) for i in range(1, 11)}
@@ -405,6 +411,7 @@ def oracle_sql() -> dict[str, str]:
         "zero_width_lines": _with(p["texts"], p["marks"], body="SELECT bundle_id, path, CAST(line AS BIGINT) AS line, CAST(zero_width AS BIGINT) AS zero_width FROM marks WHERE zero_width > 0"),
         "rtl_lines": _with(p["texts"], p["marks"], body="SELECT bundle_id, path, CAST(line AS BIGINT) AS line FROM marks WHERE rtl"),
         "py_calls": _with(p["sites"], body="SELECT bundle_id, path, CAST(seq AS BIGINT) AS seq, CAST(line AS BIGINT) AS line, callee FROM sites"),
+        "py_programs": f"WITH {programs.calls_sql()} SELECT bundle_id, path, CAST(seq AS BIGINT) AS seq, CAST(line AS BIGINT) AS line, callee FROM sites",
         "py_call_findings": _with(p["sites"], p["called"], body=f"SELECT {_FOUND_COLUMNS} FROM called"),
         "static_findings": _with(*static, body=f"SELECT {_FOUND_COLUMNS} FROM found"),
         "dedupe_findings": _with(*kept, body=f"SELECT {_FOUND_COLUMNS} FROM kept"),
