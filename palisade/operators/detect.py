@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.operators.call_parser import python_calls
-from palisade.plans.rules import REMEDIATION, RULES, SIGNATURE_CONFIDENCE, condition
+from palisade.plans.guards import GuardIndex, constant
+from palisade.plans.rules import REMEDIATION, RULES, SIGNATURE_CONFIDENCE, Rule, condition
 from palisade.session import map_batches
 
 FINDING = ("bundle_id", "path", "line", "severity", "category", "description", "remediation", "engine", "confidence", "layer_ord", "n")
@@ -21,6 +22,8 @@ FINDING = ("bundle_id", "path", "line", "severity", "category", "description", "
 TEXT_EXTENSIONS = ("md", "txt", "py", "js", "ts", "json", "yaml", "yml", "toml", "cfg", "ini", "sh", "bash", "zsh", "clauderules", "cursorrules", "mdc")
 TEXT_NAMES = (".clauderules", ".cursorrules")
 CHUNK_BYTES, CHUNK_LEAST, MAX_ENTROPY = 1024, 64, 5.5
+#: Guards up to which every rule is tested on every text: on 25 MB of text that takes 1.0 s for the 101 guards of the built-in rules, the index 1.7 s.
+DIRECT_GUARDS = 150
 
 # Calls by the end of the callee, with severity, category and description; and callees by their start.
 CALLS = [
@@ -56,19 +59,24 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.where(is_text_file(F.col("path")))
 
 
-def signature_hits(files: DataFrame) -> DataFrame:
-    """(bundle_id, path, rule_ord): one row for each rule that matches a text file's bytes."""
+def signature_hits(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(bundle_id, path, rule_ord): one row for each rule that matches a text file's bytes.
+
+    A few rules are each tested on every text, which is the fastest for them; more are looked up by the guards that a text holds."""
     raw = text_files(files).select("bundle_id", "path", T.lossy_text(F.col("content")).alias("raw"))
     folded = raw.withColumn("lo", T.fold_ascii(F.col("raw")))
-    tests = F.array(*[F.when(condition(r, F.col("lo"), F.col("raw")), F.lit(i)) for i, r in enumerate(RULES)])
-    return folded.select("bundle_id", "path", F.explode(F.array_compact(tests)).alias("rule_ord"))
+    index = GuardIndex(rules)
+    if len(index.words) <= DIRECT_GUARDS:
+        tests = F.array(*[F.when(condition(r, F.col("lo"), F.col("raw")), F.lit(i)) for i, r in enumerate(rules)])
+        return folded.select("bundle_id", "path", F.explode(F.array_compact(tests)).alias("rule_ord"))
+    able = folded.select("bundle_id", "path", "raw", "lo", F.explode(index.candidates(F.col("lo"), F.col("raw"))).alias("rule_ord"))
+    return able.where(index.matches(F.col("rule_ord"), F.col("lo"), F.col("raw"))).select("bundle_id", "path", "rule_ord")
 
 
-def signature_findings(files: DataFrame) -> DataFrame:
-    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), F.col("rule_ord") + 1)
-    return signature_hits(files).select(
-        *finding(None, pick([r.severity for r in RULES]), pick([r.category for r in RULES]), pick([r.description for r in RULES]), REMEDIATION, "yara", SIGNATURE_CONFIDENCE, 0, F.col("rule_ord"))
-    )
+def signature_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    pick = lambda names: F.get(constant(names, "array<string>"), F.col("rule_ord"))
+    texts = pick([r.severity for r in rules]), pick([r.category for r in rules]), pick([r.description for r in rules])
+    return signature_hits(files, rules).select(*finding(None, *texts, REMEDIATION, "yara", SIGNATURE_CONFIDENCE, 0, F.col("rule_ord")))
 
 
 def entropies(content: bytes | None) -> list[float]:
@@ -133,9 +141,9 @@ def call_findings(files: DataFrame) -> DataFrame:
     return made.withColumn("confidence", F.col("found")).drop("found")
 
 
-def static_findings(files: DataFrame, with_calls: bool = True) -> DataFrame:
+def static_findings(files: DataFrame, with_calls: bool = True, rules: list[Rule] = RULES) -> DataFrame:
     """Findings of all static detectors, in the order signatures, entropy, marks, calls."""
-    parts = [signature_findings(files), entropy_findings(files), unicode_findings(files)] + [call_findings(files)] * with_calls
+    parts = [signature_findings(files, rules), entropy_findings(files), unicode_findings(files)] + [call_findings(files)] * with_calls
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palisade.functions.text import escape_html, slug
 from palisade.operators import detect, findings, threats
 from palisade.operators.bundles import bundle_hashes
+from palisade.plans import packs
 from palisade.session import stored
 from palisade.sources import named_files
 
@@ -19,18 +20,19 @@ VERSION = "1.0"
 def scan(
     files: DataFrame, known: DataFrame | None = None, extra: DataFrame | dict[str, DataFrame] | None = None, *,
     layers: tuple[str, ...] = ("static",), fail_on: str | None = None, with_calls: bool = True, scan_name: str | None = None,
+    rule_packs: tuple[str, ...] = (packs.CORE,),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, findings, new threats): known bundles are answered from the threat table, the others are scanned.
 
     extra: findings of other layers for the same bundles, by the layer's name ({"llm": ..., "sandbox": ...}). layers: those
     of this library that run; without "static" only extra findings and the threat table count. fail_on: adds `fails`, whether
-    a bundle has a finding of at least this severity. Results carry an envelope: scan_id (the same for a bundle and
+    a bundle has a finding of at least this severity. rule_packs: "core" and paths of rule files. Results carry an envelope: scan_id (the same for a bundle and
     scan_name, by default a name of its own), scanned_at and layers_run. Findings and hashes are made once and stored."""
     extra = {} if extra is None else extra if isinstance(extra, dict) else {"extra": extra}
     name = scan_name or uuid.uuid4().hex
     hashes = stored(bundle_hashes(files), "scan-hashes")
     open_files = files if known is None else files.join(threats.unknown_bundles(hashes, known).select("bundle_id"), "bundle_id", "left_semi")
-    made = detect.static_findings(open_files, with_calls)
+    made = detect.static_findings(open_files, with_calls, packs.load(files.sparkSession, *rule_packs))
     made = made if "static" in layers else made.limit(0)
     for found in extra.values():
         made = made.unionByName(found)

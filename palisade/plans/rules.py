@@ -23,6 +23,7 @@ class Rule:
     chains: tuple[tuple[str, ...], ...] = ()
     regexes: tuple[str, ...] = ()
     points: str = ""
+    exact: tuple[str, ...] = ()  # literals whose case counts
 
 
 def _chains(*texts: str) -> tuple[tuple[str, ...], ...]:
@@ -63,9 +64,17 @@ SIGNATURE_CONFIDENCE = 0.85
 REMEDIATION = "Review the matched text; remove it or justify it"
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
+def rules_table(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
     """(rule_ord, rule_id, category, severity, description): one row per rule, a fixed number."""
-    return spark.createDataFrame([(i, r.rule_id, r.category, r.severity, r.description) for i, r in enumerate(RULES)], "rule_ord int, rule_id string, category string, severity string, description string")
+    rows = [(i, r.rule_id, r.category, r.severity, r.description) for i, r in enumerate(RULES if rules is None else rules)]
+    return spark.createDataFrame(rows, "rule_ord int, rule_id string, category string, severity string, description string")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate(str.maketrans(UPPER, LOWER))
 
 
 def quoted(text: str) -> str:
@@ -79,7 +88,9 @@ def linear(parts: list[str]) -> str:
 
 def condition(rule: Rule, folded: Column, raw: Column) -> Column:
     """Whether a rule matches; folded is raw with A-Z in lower case. A chain is guarded by its longest part."""
-    tests = [folded.contains(x.lower()) for x in rule.literals]
+    # folded also has other letters in lower case, which changes nothing for patterns of ASCII; the others look at raw.
+    tests = [folded.contains(x.lower()) if x.isascii() else F.translate(raw, UPPER, LOWER).contains(ascii_lower(x)) for x in rule.literals]
+    tests += [raw.contains(x) for x in rule.exact]
     for chain in rule.chains:
         parts = [p.lower() for p in chain]
         guard = folded.contains(max(parts, key=len))
@@ -101,7 +112,8 @@ def sql_condition(rule: Rule, folded: str = "lo", raw: str = "text") -> str:
     """The same for DuckDB, with the plain patterns (its engine takes linear time)."""
     import re
 
-    tests = [f"contains({folded}, {sql_string(x.lower())})" for x in rule.literals]
+    tests = [f"contains({folded}, {sql_string(ascii_lower(x))})" for x in rule.literals]
+    tests += [f"contains({raw}, {sql_string(x)})" for x in rule.exact]
     tests += [f"regexp_matches({folded}, {sql_string('.*'.join(re.escape(p.lower()) for p in chain))})" for chain in rule.chains]
     tests += [f"regexp_matches({folded}, {sql_string(x)})" for x in rule.regexes]
     if rule.points:

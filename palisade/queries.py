@@ -11,9 +11,9 @@ from palisade.functions.text import fold_ascii
 from palisade.operators import bundles, detect, findings, model_layer, reports, threats
 from palisade.operators import scan_all as scan_folders
 from palisade.operators.threat_store import ThreatStore
-from palisade.plans import programs
+from palisade.plans import packs, programs
 from palisade.plans.planted import files_sql, planted_files, tree_files, tree_sql
-from palisade.plans.rules import RULES, condition, rules_table, sql_condition, sql_string
+from palisade.plans.rules import RULES, Rule, condition, rules_table, sql_condition, sql_string
 from palisade.session import shared_path
 from palisade.queries_common import FOUND_COLUMNS as _FOUND_COLUMNS
 from palisade.queries_common import Query, shown
@@ -55,6 +55,19 @@ def sig_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(F.broadcast(rules_table(spark)), "rule_ord").select("bundle_id", "path", "rule_id", "category", "severity")
 
 
+#: Rules of the large pack beside the built-in ones.
+MANY_RULES = 243
+
+
+def pack_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in rules and a large pack, written as a rule file, read and scanned for."""
+    path = shared_path(spark, "pack")
+    spark.createDataFrame([(packs.written([*RULES, *packs.many(MANY_RULES)]),)], "value string").coalesce(1).write.text(path, lineSep="\n")
+    rules = packs.load(spark, path)
+    hits = detect.signature_hits(planted_files(spark, sf_dir), rules)
+    return hits.join(F.broadcast(rules_table(spark, rules)), "rule_ord").select("bundle_id", "path", "rule_id", "category", "severity")
+
+
 def _sig(number: int) -> Query:
     prefix = f"SD{number:02d}_"
 
@@ -304,7 +317,7 @@ def threat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
+        url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, pack_hits, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
         py_calls, py_programs, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
         threat_stats, llm_prompt, scan_bundles, scan_all, report_console, model_requests, report_json, report_sarif, report_html, stream_scan, stream_threats, threat_versions,
     ]
@@ -348,9 +361,14 @@ def _scan_all_sql(static: list[str], kept: str, scored: str) -> str:
     )
 
 
+def _hits_sql(rules: list[Rule]) -> str:
+    one = "SELECT bundle_id, path, {i} AS rule_ord, {id} AS rule_id, {category} AS category, {severity} AS severity FROM texts WHERE {test}"
+    return "\nUNION ALL ".join(one.format(i=i, id=sql_string(r.rule_id), category=sql_string(r.category), severity=sql_string(r.severity), test=sql_condition(r)) for i, r in enumerate(rules))
+
+
 def _sql_parts() -> dict[str, str]:
     zero, rtl = sql_string("[​‌‍﻿]"), sql_string("‮")
-    hits = "\nUNION ALL ".join(f"SELECT bundle_id, path, {i} AS rule_ord, {sql_string(r.rule_id)} AS rule_id, {sql_string(r.category)} AS category, {sql_string(r.severity)} AS severity FROM texts WHERE {sql_condition(r)}" for i, r in enumerate(RULES))
+    hits = _hits_sql(RULES)
     calls = ", ".join(f"({a}, {b}, {c}, {sql_string(d)})" for a, b, c, d in _CALLS)
     table = ", ".join(f"({i}, {sql_string(p)}, {sql_string(s)}, {sql_string(c)}, {conf}, {str(start).lower()})" for i, ((p, s, c, _), conf, start) in enumerate([(r, 0.9, False) for r in detect.CALLS] + [(r, 0.8, True) for r in detect.ATTRIBUTES]))
     return {
@@ -404,6 +422,7 @@ def oracle_sql() -> dict[str, str]:
         "bundle_hash": _with(p["hashes"], body="SELECT * FROM hashes"),
         "bundle_concat": _with(p["bodies"], body="SELECT bundle_id, sha256(body) AS body_sha256, CAST(length(body) AS BIGINT) AS n_chars FROM bodies"),
         "sig_all": _with(p["texts"], p["hits"], body=sig),
+        "pack_hits": _with(p["texts"], f"hits AS ({_hits_sql([*RULES, *packs.many(MANY_RULES)])})", body=sig),
         "rules_list": _with(p["texts"], p["hits"], body=f"SELECT CAST(a AS BIGINT) AS rule_ord, b AS rule_id, c AS category, d AS severity, (SELECT count(*) FROM hits WHERE rule_ord = a) AS n_files FROM (VALUES {rules}) v(a, b, c, d)"),
         "url_network_hits": f"SELECT page_id, url FROM (SELECT *, translate(url, '{upper}', '{lower}') AS lo FROM pages) WHERE {sql_condition(rule, 'lo', 'url')}",
         "entropy_chunks": _with(p["texts"], p["bytes"], p["chunks"], body="SELECT bundle_id, path, CAST(chunk AS BIGINT) AS chunk, round(entropy, 6) AS entropy FROM chunks"),
