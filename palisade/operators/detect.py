@@ -43,11 +43,15 @@ CALLS = [
 ATTRIBUTES = [("os.environ", "MEDIUM", "SD-03 - Data Exfiltration", "Reads the environment")]
 
 
-def finding(line: Column | None, severity: Column | str, category: Column | str, description: Column | str, remediation: str, engine: str, confidence: float, layer_ord: int, n: Column | int) -> list[Column]:
+def finding(
+    line: Column | None, severity: Column | str, category: Column | str, description: Column | str, remediation: str, engine: str, confidence: float,
+    layer_ord: int, n: Column | int,
+) -> list[Column]:
     value = lambda x: x if isinstance(x, Column) else F.lit(x)
     return [
-        F.col("bundle_id"), F.col("path"), (F.lit(None) if line is None else line).cast("int").alias("line"), value(severity).alias("severity"), value(category).alias("category"),
-        value(description).alias("description"), F.lit(remediation).alias("remediation"), F.lit(engine).alias("engine"), F.lit(confidence).cast("double").alias("confidence"), F.lit(layer_ord).alias("layer_ord"), value(n).cast("long").alias("n"),
+        F.col("bundle_id"), F.col("path"), (F.lit(None) if line is None else line).cast("int").alias("line"),
+        value(severity).alias("severity"), value(category).alias("category"), value(description).alias("description"), F.lit(remediation).alias("remediation"),
+        F.lit(engine).alias("engine"), F.lit(confidence).cast("double").alias("confidence"), F.lit(layer_ord).alias("layer_ord"), value(n).cast("long").alias("n"),
     ]
 
 
@@ -115,9 +119,10 @@ def marked_lines(files: DataFrame) -> DataFrame:
 
 def unicode_findings(files: DataFrame) -> DataFrame:
     rows = marked_lines(files)
-    zero = rows.where("zero_width > 0").select(*finding(F.col("line"), "HIGH", "SD-01 · Prompt Injection (ASCII Smuggling)", F.format_string("%d zero-width characters", "zero_width"), "Remove characters that can't be seen", "unicode", 0.9, 2, F.col("line") * 2))
-    rtl = rows.where("rtl").select(*finding(F.col("line"), "MEDIUM", "SD-10 · Obfuscation and Evasion", "Right-to-left override", "Remove the override", "unicode", 0.6, 2, F.col("line") * 2 + 1))
-    return zero.unionByName(rtl)
+    line, said = F.col("line"), F.format_string("%d zero-width characters", "zero_width")
+    zero = finding(line, "HIGH", "SD-01 · Prompt Injection (ASCII Smuggling)", said, "Remove characters that can't be seen", "unicode", 0.9, 2, line * 2)
+    rtl = finding(line, "MEDIUM", "SD-10 · Obfuscation and Evasion", "Right-to-left override", "Remove the override", "unicode", 0.6, 2, line * 2 + 1)
+    return rows.where("zero_width > 0").select(*zero).unionByName(rows.where("rtl").select(*rtl))
 
 
 def call_sites(files: DataFrame) -> DataFrame:
@@ -133,11 +138,15 @@ def call_sites(files: DataFrame) -> DataFrame:
 
 
 def call_findings(files: DataFrame) -> DataFrame:
-    rows = call_sites(files)
-    table = F.array(*[F.struct(F.lit(i).alias("at"), *[F.lit(x).alias(c) for c, x in zip(("pattern", "severity", "category", "description"), row)], F.lit(conf).cast("double").alias("confidence"), F.lit(start).alias("is_start")) for i, (row, conf, start) in enumerate([(r, 0.9, False) for r in CALLS] + [(r, 0.8, True) for r in ATTRIBUTES])])
-    matched = F.filter(table, lambda t: F.when(t["is_start"], F.col("callee").startswith(t["pattern"])).otherwise(F.col("callee").endswith(t["pattern"])))
-    hits = rows.withColumn("hit", F.explode(matched))
-    made = hits.select(*finding(F.col("line"), F.col("hit.severity"), F.col("hit.category"), F.col("hit.description"), "Avoid the call, or check what goes into it", "ast", 0.0, 3, F.col("seq") * 100 + F.col("hit.at")), F.col("hit.confidence").alias("found"))
+    listed = [(*row, 0.9, False) for row in CALLS] + [(*row, 0.8, True) for row in ATTRIBUTES]
+    names = ("at", "pattern", "severity", "category", "description", "confidence", "is_start")
+    schema = "array<struct<at: int, pattern: string, severity: string, category: string, description: string, confidence: double, is_start: boolean>>"
+    table = constant([dict(zip(names, (i, *row))) for i, row in enumerate(listed)], schema)
+    callee = F.col("callee")
+    matched = F.filter(table, lambda t: F.when(t["is_start"], callee.startswith(t["pattern"])).otherwise(callee.endswith(t["pattern"])))
+    hits = call_sites(files).withColumn("hit", F.explode(matched))
+    said = F.col("hit.severity"), F.col("hit.category"), F.col("hit.description"), "Avoid the call, or check what goes into it"
+    made = hits.select(*finding(F.col("line"), *said, "ast", 0.0, 3, F.col("seq") * 100 + F.col("hit.at")), F.col("hit.confidence").alias("found"))
     return made.withColumn("confidence", F.col("found")).drop("found")
 
 

@@ -25,7 +25,8 @@ SYSTEM_MESSAGE = (
 def prompts(texts: DataFrame, findings: DataFrame) -> DataFrame:
     """(bundle_id, prompt): the first static findings, then the start of the bundle's text."""
     line = F.concat(F.lit("- "), "severity", F.lit(": "), "category", F.lit(" in "), "path")
-    listed = first_made(findings, PROMPT_FINDINGS).groupBy("bundle_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("t")))), lambda x: x["t"]), "\n").alias("listed"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("t")))), lambda x: x["t"])
+    listed = first_made(findings, PROMPT_FINDINGS).groupBy("bundle_id").agg(F.array_join(lines, "\n").alias("listed"))
     body = F.concat(F.lit(FINDINGS_HEAD), F.coalesce("listed", F.lit("None")), F.lit(BUNDLE_HEAD), cut_utf8(F.col("body"), PROMPT_BYTES))
     return texts.join(listed, "bundle_id", "left").select("bundle_id", body.alias("prompt"))
 
@@ -45,9 +46,12 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     text = lambda name: F.when(kind(get(name)) == "STRING", F.try_variant_get("item", f"$.{name}", "string"))
     number = F.when(kind(get("confidence")).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get("item", "$.confidence", "double"))
     line = F.when(kind(get("line")) == "BIGINT", F.try_variant_get("item", "$.line", "bigint"))
-    rows = items.select("bundle_id", "n", text("severity").alias("severity"), text("category").alias("category"), text("description").alias("description"), F.coalesce(text("file"), F.lit("unknown")).alias("path"), line.alias("line"), F.coalesce(text("remediation"), F.lit("Look at it yourself")).alias("remediation"), number.alias("c"))
+    path, remediation = F.coalesce(text("file"), F.lit("unknown")), F.coalesce(text("remediation"), F.lit("Look at it yourself"))
+    said = [text(c).alias(c) for c in ("severity", "category", "description")]
+    rows = items.select("bundle_id", "n", *said, path.alias("path"), line.alias("line"), remediation.alias("remediation"), number.alias("c"))
+    severity = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("MEDIUM")
     return rows.where("severity IS NOT NULL AND category IS NOT NULL AND description IS NOT NULL").select(
-        "bundle_id", "path", F.when(F.col("line") >= 0, F.col("line")).cast("int").alias("line"), F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("MEDIUM").alias("severity"), "category", "description", "remediation",
+        "bundle_id", "path", F.when(F.col("line") >= 0, F.col("line")).cast("int").alias("line"), severity.alias("severity"), "category", "description", "remediation",
         F.lit("llm").alias("engine"), clamp(F.coalesce("c", F.lit(0.5))).alias("confidence"), F.lit(4).alias("layer_ord"), F.col("n").cast("long").alias("n"),
     )
 

@@ -54,14 +54,17 @@ ENVELOPE = ("scan_id", "scanned_at", "layers_run", "fails")
 
 def gathered(results: DataFrame, found: DataFrame, item: Column) -> DataFrame:
     """results with `items`: item of each finding of the bundle, in display order."""
-    rows = findings.ranked(found).groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda s: s["x"]).alias("items"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("x")))), lambda s: s["x"])
+    rows = findings.ranked(found).groupBy("bundle_id").agg(items.alias("items"))
     return results.join(rows, "bundle_id", "left")
 
 
 def json_reports(results: DataFrame, found: DataFrame) -> DataFrame:
     item = F.struct("severity", "category", F.col("path").alias("file"), "line", "description", "remediation", "engine", "confidence")
     rows = gathered(results, found, item)
-    return rows.select("bundle_id", F.to_json(F.struct(*[c for c in ENVELOPE if c in results.columns], "bundle_id", "hash", "risk_level", "risk_score", F.coalesce("items", F.array()).alias("findings")), {"pretty": "true"}).alias("report"))
+    envelope = [c for c in ENVELOPE if c in results.columns]
+    body = F.struct(*envelope, "bundle_id", "hash", "risk_level", "risk_score", F.coalesce("items", F.array()).alias("findings"))
+    return rows.select("bundle_id", F.to_json(body, {"pretty": "true"}).alias("report"))
 
 
 def sarif_reports(results: DataFrame, found: DataFrame) -> DataFrame:
@@ -100,9 +103,16 @@ def console_reports(results: DataFrame, found: DataFrame) -> DataFrame:
 
 def html_reports(results: DataFrame, found: DataFrame) -> DataFrame:
     color = F.when(F.col("severity") == "CRITICAL", "#c00").when(F.col("severity") == "HIGH", "#d60").when(F.col("severity") == "MEDIUM", "#a80").otherwise("#666")
-    item = F.concat(F.lit('<li style="color:'), color, F.lit('"><b>'), "severity", F.lit("</b> "), escape_html(F.col("category")), F.lit(" <code>"), escape_html(F.concat_ws(":", "path", "line")), F.lit("</code><p>"), escape_html(F.col("description")), F.lit("</p><p>"), escape_html(F.col("remediation")), F.lit("</p></li>"))
+    safe = {c: escape_html(F.col(c)) for c in ("category", "description", "remediation")} | {"place": escape_html(F.concat_ws(":", "path", "line"))}
+    item = F.concat(
+        F.lit('<li style="color:'), color, F.lit('"><b>'), "severity", F.lit("</b> "), safe["category"], F.lit(" <code>"), safe["place"],
+        F.lit("</code><p>"), safe["description"], F.lit("</p><p>"), safe["remediation"], F.lit("</p></li>"),
+    )
     rows = gathered(results, found, item)
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><title>"), escape_html(F.col("bundle_id")), F.lit("</title></head><body><h1>"), "risk_level", F.format_string(" %.1f/10", "risk_score"), F.lit("</h1><p>"), F.col("n_findings").cast("string"), F.lit(" findings"), dated(results), F.lit("</p><ul>"), F.coalesce(F.array_join("items", ""), F.lit("")), F.lit("</ul></body></html>"))
+    page = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>"), escape_html(F.col("bundle_id")), F.lit("</title></head><body><h1>"), "risk_level", F.format_string(" %.1f/10", "risk_score"),
+        F.lit("</h1><p>"), F.col("n_findings").cast("string"), F.lit(" findings"), dated(results), F.lit("</p><ul>"), F.coalesce(F.array_join("items", ""), F.lit("")), F.lit("</ul></body></html>"),
+    )
     return rows.select("bundle_id", page.alias("report"))
 
 

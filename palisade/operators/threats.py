@@ -18,8 +18,10 @@ def known_findings(hashes: DataFrame, threats: DataFrame) -> DataFrame:
     """Findings of bundles whose hash is known, in full confidence."""
     severity = F.upper("severity")
     return hashes.join(threats, "hash").select(
-        "bundle_id", F.lit("bundle").alias("path"), F.lit(None).cast("int").alias("line"), F.when(severity.isin(*SEVERITIES), severity).otherwise("INFO").alias("severity"), "category",
-        F.concat(F.lit("Seen before: "), "description").alias("description"), F.lit("Don't install this bundle").alias("remediation"), F.lit("threat_db").alias("engine"), F.lit(1.0).alias("confidence"), F.lit(-1).alias("layer_ord"), F.lit(0).cast("long").alias("n"),
+        "bundle_id", F.lit("bundle").alias("path"), F.lit(None).cast("int").alias("line"),
+        F.when(severity.isin(*SEVERITIES), severity).otherwise("INFO").alias("severity"), "category",
+        F.concat(F.lit("Seen before: "), "description").alias("description"), F.lit("Don't install this bundle").alias("remediation"),
+        F.lit("threat_db").alias("engine"), F.lit(1.0).alias("confidence"), F.lit(-1).alias("layer_ord"), F.lit(0).cast("long").alias("n"),
     )
 
 

@@ -167,6 +167,12 @@ def diff_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.diff(detect.static_findings(earlier), made).select("bundle_id", "path", *_long("line"), "category", "severity", "change")
 
 
+def diff_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scans of all documents, the earlier one with the rules' payloads (slots 0 to 26), the later one with the others: both gone and new."""
+    earlier, later = (planted_files(spark, sf_dir, before=slots) for slots in (range(27, 61), range(27)))
+    return findings.diff(detect.static_findings(earlier), detect.static_findings(later)).select("bundle_id", "path", *_long("line"), "category", "severity", "change")
+
+
 # ---- threat table ----
 
 
@@ -318,7 +324,7 @@ def threat_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         url_file_names, text_filter, script_discovery, marker_discovery, bundle_hash, bundle_concat, sig_all, pack_hits, rules_list, url_network_hits, entropy_chunks, entropy_findings, zero_width_lines, rtl_lines,
-        py_calls, py_programs, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, threat_lookup, threat_short_circuit, threat_upsert,
+        py_calls, py_programs, py_call_findings, static_findings, dedupe_findings, risk_scores, fail_on_gate, findings_ranked, engine_counts, class_rollup, diff_findings, diff_both, threat_lookup, threat_short_circuit, threat_upsert,
         threat_stats, llm_prompt, scan_bundles, scan_all, report_console, model_requests, report_json, report_sarif, report_html, stream_scan, stream_threats, threat_versions,
     ]
     out = {q.__name__: q for q in named} | {f"sig_sd{i:02d}": _sig(i) for i in range(1, 11)}
@@ -440,6 +446,8 @@ def oracle_sql() -> dict[str, str]:
         "engine_counts": _with(*static, body="SELECT bundle_id, engine, count(*) AS n_findings FROM found GROUP BY ALL"),
         "class_rollup": _with(*static, body="SELECT substr(category, 1, 5) AS class, severity, count(*) AS n_findings FROM found GROUP BY ROLLUP (substr(category, 1, 5), severity)"),
         "diff_findings": _with(*static, body="SELECT DISTINCT found.bundle_id, found.path, CAST(line AS BIGINT) AS line, category, severity, 'new' AS change FROM found JOIN files USING (bundle_id, path) WHERE doc_id % 61 <= 26"),
+        "diff_both": _with(*static, body="""SELECT DISTINCT found.bundle_id, found.path, CAST(line AS BIGINT) AS line, category, severity, CASE WHEN doc_id % 61 <= 26 THEN 'gone' ELSE 'new' END AS change
+            FROM found JOIN files USING (bundle_id, path)"""),
         "threat_lookup": _with(p["hashes"], p["known"], body=known_found),
         "threat_short_circuit": _with(p["hashes"], p["known"], body="SELECT bundle_id, hash FROM hashes WHERE hash NOT IN (SELECT hash FROM known)"),
         "threat_upsert": _with(*static, p["hashes"], p["known"], f"fresh AS ({new})", body="SELECT hash, category, severity FROM known WHERE hash NOT IN (SELECT hash FROM fresh) UNION ALL SELECT * FROM fresh"),
