@@ -13,8 +13,10 @@ Equal lines are one line before anything is compared, so a line that a third of
 What is asked is whether an earlier near line exists, not for pairs. A segment that more than two lines own
 (copies with a word changed) is therefore never expanded into pairs: each of its lines is compared with the earliest
 one first, and lines that are near it are answered. The owners of the segment then stand in blocks of about BLOCK
-rows, a line meets a block, and only those of the block leave whose letters could be near: an edit changes the parity
-of at most two letter counts. So rows grow with lines, and with pairs that pass that test.
+rows, a line meets a block, and only those of the block leave that could be near by two tests, for any alphabet: an edit
+changes the parity of at most two letter counts, and in crowds of over BLOCK lines that of at most four counts of
+neighbouring letters, both counted in slots of a word of 64 bits. So rows grow with lines, and with pairs that pass the
+tests, which lines of one crowd hardly do unless they are near. (The bits themselves are compared pair by pair, spread over the blocks.)
 
 Defined results: each row of the input has its row in the report; a null, empty or blank text has no lines; lines
 without a word are not counted, never removed and never compared; rows with a null doc_id are left alone and compared
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.quality import let
-from palisade.session import shared_path
+from palisade.session import stored
 
 EDITS, MIN_CHARS = 2, 20
 #: Owners of a crowded segment in a block.
@@ -82,7 +84,26 @@ def parities(line: Column) -> Column:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return total
+    # Letters beyond ASCII are dealt to the slots by their hash; a slot's bit turns over with each of them.
+    other = F.regexp_extract_all(line, F.lit("[^\\x00-\\x7F]"), F.lit(0))
+    return F.when(n == F.length(line), total).otherwise(total.bitwiseXOR(turned(other, lambda c: F.xxhash64(c))))
+
+
+def turned(items: Column, hashed: Callable[[Column], Column]) -> Column:
+    """64 bits, each turned over as often as an item's hash falls on it."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed(x), F.lit(64)).cast("int"))
+    return F.aggregate(items, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(one(x)))
+
+
+def neighbours(line: Column) -> Column:
+    """64 bits of the parities of pairs of neighbouring letters (the last letter stands alone). An edit turns over four at most:
+    one that replaces a letter takes two pairs and brings two."""
+
+    def bits(letters: Column) -> Column:
+        pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.size(letters)), lambda a, b: F.xxhash64(a, b))
+        return turned(pairs, lambda h: h)
+
+    return let(F.split(line, ""), bits)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -130,13 +151,6 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= edits) & F.coalesce(let(pair, run), F.lit(False))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def hashed(lines: DataFrame, marks: Callable[[Column, Column, int], Column], edits: int, name: str) -> DataFrame:
     """(h, name): the hashes of each distinct line with its key. Equal lines meet by key, so only hashes are shuffled, not lines."""
     # The length is a column of its own: it is used many times, and counting characters reads the whole line.
@@ -176,7 +190,9 @@ def near_lines(rows: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int,
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select(F.col("b").alias("key"))).distinct()
     texts = texts_of(rows, stored(wanted.join(firsts.select("key", "place"), "key"), "line-wanted"), edits)
 
-    members = crowds.join(texts.select(F.col("key").alias("b"), "place", "n", "letters", "segments"), "b").select("h", "b", "owners", "place", "n", "letters", F.array_contains("segments", F.col("h")).alias("owns"))
+    pairs_of = F.when(F.col("owners") > BLOCK, neighbours(F.col("line"))).otherwise(F.lit(0).cast("long")).alias("pairs")
+    of_line = texts.select(F.col("key").alias("b"), "place", "n", "letters", "segments", "line")
+    members = crowds.join(of_line, "b").select("h", "b", "owners", "place", "n", "letters", pairs_of, F.array_contains("segments", F.col("h")).alias("owns"))
     members = stored(members, "line-crowds")
     earliest = stored(members.where("owns").groupBy("h").agg(F.min(F.struct("place", "b")).alias("first")), "line-earliest")
     heads = members.join(earliest, "h").select(F.col("first.b").alias("a"), "b").where("a <> b")
@@ -185,13 +201,14 @@ def near_lines(rows: DataFrame, lines: DataFrame, firsts: DataFrame, edits: int,
     # What is not answered meets its crowd block by block; a shorter line asks through the longer one that probes it.
     asked = members.join(answered.select(F.col("key").alias("b"), F.lit(True).alias("answered")), "b", "left").withColumn("open", F.col("answered").isNull())
     block = F.pmod(F.xxhash64("b"), F.ceil(F.col("owners") / BLOCK)).alias("block")
-    blocks = asked.where("owns").groupBy("h", block).agg(F.collect_list(F.struct("b", "place", "n", "letters", "open")).alias("block_owners"))
+    blocks = asked.where("owns").groupBy("h", block).agg(F.collect_list(F.struct("b", "place", "n", "letters", "pairs", "open")).alias("block_owners"))
 
     def asks(x: Column) -> Column:
         earlier = F.when(x["place"] < F.col("place"), F.col("open")).otherwise(x["open"] & (x["n"] < F.col("n")))
-        return earlier & (F.bit_count(x["letters"].bitwiseXOR(F.col("letters"))) <= 2 * edits) & (x["b"] != F.col("b"))
+        differ = lambda c: F.bit_count(x[c].bitwiseXOR(F.col(c)))
+        return earlier & (differ("letters") <= 2 * edits) & (differ("pairs") <= 4 * edits) & (x["b"] != F.col("b"))
 
-    meeting = asked.select("h", "b", "place", "n", "letters", "open").join(blocks.drop("block"), "h").where(F.exists("block_owners", asks))
+    meeting = asked.select("h", "b", "place", "n", "letters", "pairs", "open").join(blocks.drop("block"), "h").where(F.exists("block_owners", asks))
     late = meeting.select("b", F.explode(F.filter("block_owners", asks)).alias("x")).select(F.least("b", "x.b").alias("a"), F.greatest("b", "x.b").alias("b"))
     return answered.unionByName(verified(late, texts, edits)).distinct()
 

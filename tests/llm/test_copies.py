@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.llm import line_dedup, substring_dedup
 from tests.llm.conftest import ROWS
@@ -208,3 +209,49 @@ def test_dropped_lines_are_the_row_s_own(spark):
     rows = [(7, "an entirely different opening, found nowhere else"), (7, "a line that stands in both of the documents here"), (3, "a line that stands in both of the documents here"), (None, "a line that stands in both of the documents here")]
     got = {(r.doc_id, r.text) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(7, "an entirely different opening, found nowhere else"), (7, ""), (3, rows[2][1]), (None, rows[3][1])}
+
+
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "han": "".join(chr(0x4E00 + i) for i in range(2000)), "emoji": "".join(chr(0x1F300 + i) for i in range(200))}
+
+
+@pytest.mark.parametrize("alphabet", [*ALPHABETS, "anagrams"])
+def test_crowds_of_any_alphabet_stay_small(spark, monkeypatch, alphabet):
+    """Many lines of one segment, none near another: what is verified grows with the lines, not with their pairs."""
+    rng, n = random.Random(1), 600
+    if alphabet == "anagrams":
+        tail = lambda: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", 36))
+    else:
+        tail = lambda: "".join(rng.choice(ALPHABETS[alphabet]) for _ in range(36))
+    rows = [(i, "the segment that all of" + tail()) for i in range(n)]
+    counted, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts, edits: counted.append(pairs.distinct().count()) or verified(pairs, texts, edits))
+    got = report(spark, rows)
+    assert sum(g[3] for g in got) == 0
+    assert counted[-1] < n and sum(counted) < 3 * n
+
+
+@pytest.mark.parametrize("alphabet", ["cyrillic", "han", "emoji"])
+def test_near_lines_of_any_alphabet(spark, alphabet):
+    """Crowds of over BLOCK lines with near lines in them, edits across alphabets included."""
+    rng = random.Random(2)
+    letters = ALPHABETS[alphabet][:12] + "aé"
+    rows = []
+    for i in range(150):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(3, 5)))
+        rows.append((i, f"{letters}{letters} {word} {letters}{letters}"))
+    got = report(spark, rows)
+    assert got == slow_lines(rows) and sum(g[3] for g in got) > 10
+
+
+def test_neighbour_bits_turn_with_edits(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(500):
+        a = "".join(rng.choice("abcé\U0001f600") for _ in range(rng.randint(1, 30)))
+        k = rng.randrange(len(a))
+        b = rng.choice((a[:k] + a[k + 1 :], a[:k] + "z" + a[k:], a[:k] + "é" + a[k + 1 :]))
+        rows.append((a, b))
+    frame = spark.createDataFrame(rows, "a string, b string")
+    differ = lambda f: F.bit_count(f(F.col("a")).bitwiseXOR(f(F.col("b"))))
+    got = frame.where("a <> '' AND b <> ''").select(differ(line_dedup.parities).alias("letters"), differ(line_dedup.neighbours).alias("pairs")).agg(F.max("letters"), F.max("pairs")).first()
+    assert got[0] <= 2 and got[1] <= 4
