@@ -5,19 +5,21 @@ Index: for each term the posting list of items in ascending order, and the term'
 neighbouring items. An impact is the term's BM25 weight in the item divided by the item's score for itself, so that a
 score is the share of an item that a passage holds, and one threshold fits short and long items.
 Query: the distinct terms of a passage. The block maxima of a passage's terms add up to a bound for each block; blocks
-below the threshold are dead for the passage (this is worked out for all passages of a document at once, and for
-terms that stand in many items the largest sum in the block is taken). The document-at-a-time search (WAND: pivots by
+below the threshold are dead for the passage (this is worked out for many passages of a document at once, in a table of
+halves of passages by blocks, and for terms that stand in many items the largest sum in the block is taken). The document-at-a-time search (WAND: pivots by
 largest impacts, then by the maxima of the pivot's block) moves through live blocks alone, so nothing is lost.
-Passages are twice as long as the longest item and start every half of that, so each item stands whole in one.
+Items are indexed by classes of length, up to CLASS_WORDS words and four times as many for each further class. The passages of a
+class are twice as long as its longest item and start every half of that, so each item stands whole in one, and one very
+long item widens the passages of its like alone.
 Verification: the item's last sentence is its answer and the rest its question; of each, the share of the runs of
 SHINGLE words found in the passage, or of the words in the best alignment with a piece of it, must reach OVERLAP (an
 item of one sentence is all question, and a part of fewer words than SHINGLE is one run). One changed word breaks up to
 SHINGLE runs but costs the alignment one word; a gap or swapped pieces cost the runs few.
 
-Document frequencies, the mean length and the longest item are worked out by Spark over the whole benchmark, so an
+Document frequencies, the mean length and the longest item of each class are worked out by Spark over the whole benchmark, so an
 item's score doesn't depend on its shard. Items lie in shards of about SHARD_ITEMS items (or SHARD_TERMS words) in the shared
-folder, so each shard has a size bound; up to PASS_SHARDS of them are broadcast for one pass over the documents, in which a
-task goes through its documents in groups of GROUP_BYTES and opens one index at a time. Larger benchmarks take further passes.
+folder, so each shard has a size bound. A pass over the documents takes PASS_SHARDS of them: they are broadcast, each worker process builds
+their indexes once, and the broadcast is released when the pass has written what it found. Larger benchmarks take further passes.
 
 Defined results: null or empty texts and items without words match nothing; repeated items or documents match as
 often as they stand; rows with a null doc_id are scanned, and are never removed by `drop_contaminated`; empty tables
@@ -38,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.session import map_batches, shared_path, slices
+from palisade.session import map_batches, shared_path, slices, stored
 
 K1, B = 1.2, 0.75
 BLOCK, SHINGLE, OVERLAP, MIN_SCORE = 8, 5, 0.8, 0.6
-SHARD_ITEMS, SHARD_TERMS, PASS_SHARDS, GROUP_BYTES = 20_000, 2_000_000, 8, 32 << 20
+SHARD_ITEMS, SHARD_TERMS, PASS_SHARDS = 20_000, 2_000_000, 1
+#: Words of the items in the first class of lengths; numbers of the table of halves by blocks that are held at a time.
+CLASS_WORDS, TABLE = 256, 1 << 21
 #: A term in more than this share of the items can't tell them apart: its impact goes into the bound alone.
 COMMON_SHARE = 0.02
 
@@ -98,23 +102,41 @@ def edits_to_piece(part: list[bytes], passage: list[bytes]) -> int:
 
 
 class Stats(NamedTuple):
-    """Number of items, mean and greatest length in words, and in how many items each term stands."""
+    """Number of items, mean length in words, greatest length in each class, and in how many items each term stands."""
 
     n: int
     mean: float
-    longest: int
+    longest: dict[int, int]
     df: dict[bytes, int]
 
 
+def length_class(n: int) -> int:
+    k = 0
+    while n > CLASS_WORDS << 2 * k:
+        k += 1
+    return k
+
+
 def stats_of(items: list[tuple[int, str]]) -> Stats:
     lists = [w for _, t in items if (w := words_of(t))]
-    return Stats(len(lists), sum(map(len, lists)) / max(1, len(lists)), max(map(len, lists), default=0), Counter(t for w in lists for t in set(w)))
+    longest: dict[int, int] = {}
+    for w in lists:
+        longest[length_class(len(w))] = max(len(w), longest.get(length_class(len(w)), 0))
+    return Stats(len(lists), sum(map(len, lists)) / max(1, len(lists)), longest, Counter(t for w in lists for t in set(w)))
+
+
+def indexes(items: list[tuple[int, str]], stats: Stats) -> list[Index]:
+    """An index for each class of lengths that the items have."""
+    classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for item in items:
+        classes[length_class(len(words_of(item[1])))].append(item)
+    return [Index(own, stats, stats.longest.get(k, 0)) for k, own in sorted(classes.items())]
 
 
 class Index:
-    """Inverted index of items: (item_id, text). stats are those of all items, if these are but a shard."""
+    """Inverted index of items (item_id, text) of one class of lengths. stats and longest are those of all items, if these are but some."""
 
-    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None) -> None:
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None, longest: int | None = None) -> None:
         stats = stats or stats_of(items)
         self.items = [(i, t, words_of(t)) for i, t in items if words_of(t)]
         self.halves = [halves(t) for _, t, _ in self.items]
@@ -151,35 +173,27 @@ class Index:
                 common[p] += w
         self.n_blocks = -(-n // BLOCK)
         self.common = np.array([common[k * BLOCK : (k + 1) * BLOCK].max() for k in range(self.n_blocks)])
-        self.longest = stats.longest
+        self.longest = max(stats.longest.values(), default=0) if longest is None else longest
 
     def live_blocks(self, ids: np.ndarray, step: int, threshold: float) -> dict[int, list[int]]:
         """By passage (words number * step to (number + 2) * step), the blocks whose maxima add up to the threshold. ids: each
-        word's term, -1 if none. Repeated words count each time, so sums are upper bounds."""
-        at = np.flatnonzero(ids >= 0)
-        terms = ids[at]
-        sizes = self.sizes[terms]
-        total = int(sizes.sum())
-        ends = np.cumsum(sizes)
-        flat = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[terms], sizes)
-        # Sums by (half passage, block); a passage is two neighbouring halves.
-        keys, inverse = np.unique(np.repeat(at // step, sizes) * self.n_blocks + self.flat_blocks[flat], return_inverse=True)
-        sums = np.bincount(inverse, self.flat_max[flat], len(keys))
-        following = np.searchsorted(keys, keys + self.n_blocks)
-        has = (following < len(keys)) & (keys[np.minimum(following, len(keys) - 1)] == keys + self.n_blocks) if len(keys) else np.zeros(0, bool)
-        both = sums + np.where(has, sums[np.minimum(following, max(len(keys) - 1, 0))], 0.0) if len(keys) else sums
-        preceded = np.zeros(len(keys), bool)
-        preceded[following[has]] = True
-        block, bound = keys % max(self.n_blocks, 1), self.common - 1e-9
-        live: set[tuple[int, int]] = set(zip(*divmod(keys[both + self.common[block] >= threshold - 1e-9], max(self.n_blocks, 1)))) if len(keys) else set()
-        if len(keys):  # the second half of a passage whose first half has no word of the block
-            alone = ~preceded & (keys >= self.n_blocks) & (sums + self.common[block] >= threshold - 1e-9)
-            live |= set(zip(*divmod(keys[alone] - self.n_blocks, self.n_blocks)))
-        always = np.flatnonzero(bound >= threshold - 2e-9).tolist()  # common words alone: live for every passage
-        live |= {(p, k) for k in always for p in range(-(-len(ids) // step))}
-        out: dict[int, list[int]] = defaultdict(list)
-        for p, k in sorted(live):
-            out[int(p)].append(int(k))
+        word's term, -1 if none. A term counts once in each half of a passage, so sums are upper bounds."""
+        halves, out = -(-len(ids) // step), {}
+        most = max(1, TABLE // max(self.n_blocks, 1))
+        for first in range(0, halves, most):
+            last = min(first + most + 1, halves)  # with the second half of the last passage
+            own = ids[first * step : last * step]
+            at = np.flatnonzero(own >= 0)
+            half, terms = np.divmod(np.unique(at // step * len(self.sizes) + own[at]), max(len(self.sizes), 1))
+            sizes = self.sizes[terms]
+            ends = np.cumsum(sizes)
+            flat = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[terms], sizes)
+            cells = np.repeat(half, sizes) * self.n_blocks + self.flat_blocks[flat]
+            table = np.bincount(cells, self.flat_max[flat], (last - first) * self.n_blocks).reshape(last - first, self.n_blocks)
+            both = table[: min(most, halves - first)] + self.common
+            both[: len(table) - 1] += table[1 : len(both) + 1]  # a passage is two neighbouring halves
+            for p, k in zip(*(x.tolist() for x in np.nonzero(both >= threshold - 1e-9))):
+                out.setdefault(first + p, []).append(k)
         return out
 
     def search(self, terms: list[int], threshold: float, live: list[int] | None = None) -> list[tuple[int, float]]:
@@ -254,13 +268,14 @@ def index_shards(benchmark: DataFrame) -> tuple[Stats, DataFrame]:
 
     def run(ids: list, texts: list) -> dict:
         lists = [words_of(t) for t in texts]
-        return {"item_id": ids, "text": texts, "n": list(map(len, lists)), "terms": [sorted(set(w)) for w in lists]}
+        return {"item_id": ids, "text": texts, "n": list(map(len, lists)), "class": [length_class(len(w)) for w in lists], "terms": [sorted(set(w)) for w in lists]}
 
-    items = map_batches(benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL"), run, "item_id long, text string, n long, terms array<binary>").where("n > 0")
+    items = map_batches(benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL"), run, "item_id long, text string, n long, class int, terms array<binary>").where("n > 0")
     path = shared_path(spark, "benchmark-items")
     items.write.parquet(path)
     items = spark.read.parquet(path)
-    n, total, longest = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    n, total = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    longest = {r["class"]: r.longest for r in items.groupBy("class").agg(F.max("n").alias("longest")).collect()}  # a row for each class
     shards = max(1, -(-n // SHARD_ITEMS), -(-total // SHARD_TERMS))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     terms = dealt.select("shard", F.explode("terms").alias("term"))
@@ -272,12 +287,12 @@ def index_shards(benchmark: DataFrame) -> tuple[Stats, DataFrame]:
     return Stats(n, total / max(1, n), longest, {}), spark.read.parquet(path)
 
 
-_INDEX: dict[str, Index] = {}
+_INDEX: dict[str, list[Index]] = {}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_SCORE, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question, answer): a row for each verified item of each document."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    spark, rows = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, items array<struct<item_id: long, score: double, question: double, answer: double>>"
     match = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
     arrow = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(match))])
@@ -286,45 +301,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = MIN_S
     def scan(sent: list[tuple[str, object]]) -> DataFrame:
         """One pass over the documents, for a few shards."""
 
-        def opened(name: str, shard: object) -> Index:
-            if name not in _INDEX:  # one index at a time in each worker process
+        def opened() -> list[Index]:
+            """The indexes of this pass, made once in each worker process; those of another pass go."""
+            if set(_INDEX) != {name for name, _ in sent}:
                 _INDEX.clear()
-                items, df = shard.value
-                _INDEX[name] = Index(items, stats._replace(df=df))
-            return _INDEX[name]
-
-        def matched(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-            ids, texts = ([x for b in group for x in b.column(i).to_pylist()] for i in (0, 1))
-            got: list[list[dict]] = [[] for _ in ids]
-            for name, shard in sent:
-                index = opened(name, shard)
-                for found, text in zip(got, texts):
-                    found += [dict(zip(("item_id", "score", "question", "answer"), m)) for m in index.matches(text, threshold, overlap)]
-            hits = [i for i, found in enumerate(got) if found]
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hits], pa.int64()), pa.array([got[i] for i in hits], arrow.field(1).type)], schema=arrow)
+                for name, shard in sent:
+                    items, df = shard.value
+                    _INDEX[name] = indexes(items, stats._replace(df=df))
+            return [index for name, _ in sent for index in _INDEX[name]]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group: list[pa.RecordBatch] = []
             for part in (x for batch in batches for x in slices(batch)):
-                group.append(part)
-                if len(sent) == 1 or sum(b.nbytes for b in group) >= GROUP_BYTES:
-                    yield matched(group)
-                    group = []
-            if group:
-                yield matched(group)
+                ids, texts = (c.to_pylist() for c in part.columns)
+                got = [[m for index in opened() for m in index.matches(text, threshold, overlap)] for text in texts]
+                hits = [i for i, found in enumerate(got) if found]
+                items = [[dict(zip(("item_id", "score", "question", "answer"), m)) for m in got[i]] for i in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hits], pa.int64()), pa.array(items, arrow.field(1).type)], schema=arrow)
 
         return rows.mapInArrow(run, schema)
 
-    found, sent = docs.sparkSession.createDataFrame([], schema), []
-    passes = []
+    found, sent, left = spark.createDataFrame([], schema), [], shards.count()
+    only = left <= PASS_SHARDS
     for r in shards.toLocalIterator():  # one bounded shard at a time on its way to the executors
         df = {bytes(t.term): t.df for t in r.df}
-        sent.append((uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(([(i.item_id, i.text) for i in r.items], df))))
-        if len(sent) == PASS_SHARDS:
-            passes.append(scan(sent))
+        sent.append((uuid.uuid4().hex, spark.sparkContext.broadcast(([(i.item_id, i.text) for i in r.items], df))))
+        left -= 1
+        if len(sent) == PASS_SHARDS or not left:
+            if only:
+                found = scan(sent)  # one pass can wait until its rows are asked for
+            else:
+                found = found.unionByName(stored(scan(sent), "contaminated"))
+                for _, shard in sent:
+                    shard.destroy()
             sent = []
-    for one in [*passes, *([scan(sent)] if sent else [])]:
-        found = found.unionByName(one)
     return found.select("doc_id", F.explode("items").alias("m")).select("doc_id", "m.*")
 
 

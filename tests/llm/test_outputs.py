@@ -198,11 +198,30 @@ def test_shards_and_passes_change_no_score(spark, monkeypatch):
     index = decontaminate.Index(items)
     want = {(i, m, s) for i, t in rows for m, s in plain_matches(index, t).items()}
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 6)
-    monkeypatch.setattr(decontaminate, "PASS_SHARDS", 3)
-    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 2000)
+    for passes in (1, 3):
+        monkeypatch.setattr(decontaminate, "PASS_SHARDS", passes)
+        assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench).collect()} == want and want
+    monkeypatch.setattr(decontaminate, "TABLE", 50)
     assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench).collect()} == want and want
 
 
+def test_a_long_item_widens_no_other_passage(spark, monkeypatch):
+    """Items of several classes of lengths: each is found as an index of its class alone finds it."""
+    monkeypatch.setattr(decontaminate, "CLASS_WORDS", 12)
+    items, rows = quiz(11)
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randint(0, 300)}" for _ in range(900)) + "? And that is all."
+    items.append((77, long))
+    rows.append((500, f"before it {long} behind it"))
+    stats = decontaminate.stats_of(items)
+    parts = decontaminate.indexes(items, stats)
+    assert len(parts) > 2 and sorted(p.longest for p in parts) == sorted(stats.longest.values())
+    want = {(i, m, s) for i, t in rows for p in parts for m, s in plain_matches(p, t).items()}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    assert (500, 77) in {w[:2] for w in want}
+
+
 def test_every_passage_of_tables_against_exhaustive_scoring(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     index = decontaminate.Index([(r.item_id, r.text) for r in bench.collect()])
