@@ -6,7 +6,9 @@ weight, the log-odds in labelled pages of standing inside the main text, and a w
 tags score negative. A linear scan finds the contiguous region with the largest sum. Inside the region, a block whose
 own words add up to less than zero is a gap and is left out, and so is what stands in an element that is boilerplate by
 its name or role (menus, footers, sidebars, forms, scripts) or by a class or id that says nothing else ("ad-banner", but
-not "share-price", which is only a hint). Such blocks weigh nothing in the scan, so an advert doesn't split an article. A
+not "share-price", which is only a hint); inside an article or main element, words that can name a subject as well
+("discussion", "legal") are hints too, and a menu is a list. A heading such as "5 responses" begins a thread of comments that
+reaches to the end of its element. Such blocks weigh nothing in the scan, so an advert doesn't split an article. A
 form that holds over half of the words, and a marked element around a main element or heading, is the page itself.
 
 The labelled pages are LABELLED_PAGES (their main text stands between <!--main--> and <!--end-->); pass others to
@@ -36,6 +38,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head title textarea select audio video noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NESTING = frozenset("article aside body center details dialog div dl fieldset figure footer form header main menu nav ol section table td th tr ul button label a span p li h1 h2 h3 h4 h5 h6 blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button label fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILER_WORDS = frozenset(
@@ -46,6 +49,13 @@ CONTENT_ROOTS = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<(?P<loose>/?[a-zA-Z])[^>]*+(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|\Z)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 ANY_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Words of BOILER_WORDS that name subjects and places as well; inside an article or main element they are hints alone, and a menu is a list.
+WEAK_WORDS = frozenset("alert banner copyright discussion follow foot header legal masthead menu notice overlay popular rail recommended reply replies respond search share side skip submenu toolbar trending widget".split())
+#: What the heading of a thread of readers' comments says, with or without their number.
+THREAD_WORDS = (
+    "comments comment responses response replies reply commentaires commentaire réponses réponse kommentare kommentar antworten antwort comentarios comentario respuestas respuesta".split()
+)
+THREAD = re.compile(rf"(?:\d[\d.,]*|reader|readers'|user|your|all)?\s*(?:{'|'.join(THREAD_WORDS)})(?:\s+(?:to|on|sur|zu|a|en|für)\s.*)?\s*(?:\(\d+\))?:?|leave a (?:reply|comment)|\d+ thoughts on .*", re.IGNORECASE | re.DOTALL)
 #: Words in class and id that say nothing of what an element is.
 STRUCTURE_WORDS = frozenset("area block body bottom box bar btn button container content div global group inner item items left links link list main mobile module outer page panel primary right row secondary section site text top unit wrap wrapper zone".split())
 #: Elements that may turn out to hold the page itself, and skipped ones that reach to the end where they are not closed.
@@ -53,9 +63,10 @@ RAW = frozenset(("script", "style"))
 PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
-def boiler_mark(name: str, attrs: str) -> str:
-    """What an element's name, role, class and id say of boilerplate: `tag`, `name` (by class or id alone), `hint` or nothing."""
-    if name in BOILER_TAGS:
+def boiler_mark(name: str, attrs: str, rooted: bool = False) -> str:
+    """What an element's name, role, class and id say of boilerplate: `tag`, `name` (by class or id alone), `hint` or nothing.
+    rooted: it stands in an article or main element."""
+    if name in BOILER_TAGS and not (rooted and name == "menu"):
         return "tag"
     if not attrs or name in CONTENT_ROOTS or name in ("body", "html"):
         return ""
@@ -70,7 +81,8 @@ def boiler_mark(name: str, attrs: str) -> str:
             for one in value.split():
                 parts = [p.lower() for p in PARTS.findall(one)]
                 if any(p in BOILER_WORDS for p in parts) and parts[0] not in ("has", "with", "no"):
-                    if all(p in BOILER_WORDS or p in STRUCTURE_WORDS or p.isdigit() for p in parts):
+                    told = any(p in BOILER_WORDS and not (rooted and p in WEAK_WORDS) for p in parts)
+                    if told and all(p in BOILER_WORDS or p in STRUCTURE_WORDS or p.isdigit() for p in parts):
                         return "name"
                     found = "hint"
     return found
@@ -127,6 +139,8 @@ def pieces(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[bool
     texts: list[tuple[int, int, bool, bool]] = []  # place in out, words, in a link, in an element with a hint
     sizes: list[int] = []
     running: list[int] = []  # by block: words that stand in no link
+    threads: list[int] = []  # depths of the elements in which a thread of comments has begun; each reaches to its element's end
+    heading = 0  # where the open heading begins in out
 
     def fresh(kind: str) -> None:
         blocks.append((inside, bool(mains), n_articles if articles else 0, kind))
@@ -135,6 +149,9 @@ def pieces(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[bool
 
     def pop() -> str:
         nonlocal inside, mains, articles, links, hints
+        if threads and threads[-1] == len(stack):
+            threads.pop()
+            inside = inside[:-1]
         name, number, was_main, was_article, was_hint = stack.pop()
         if number >= 0:
             inside = inside[:-1]
@@ -163,7 +180,8 @@ def pieces(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[bool
                     if pop() == value:
                         break
             main, article = is_main(value, attrs), value == "article"
-            mark = "tag" if value == "header" and not mains and not articles else boiler_mark(value, attrs)
+            mark = "tag" if value == "header" and not mains and not articles else boiler_mark(value, attrs, bool(mains or articles))
+            heading = len(out) if value in HEADINGS else heading
             if main or value == "h1":
                 for number in inside:
                     marked[number][2] = True
@@ -180,6 +198,13 @@ def pieces(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[bool
         elif kind == "close" and value in NESTING and any(x[0] == value for x in stack):
             while pop() != value:
                 pass
+            if value in HEADINGS and THREAD.fullmatch(" ".join(html.unescape("".join(x[1] for x in out[heading:])).split())):
+                # The heading, and what follows it in the same element, is a thread of comments.
+                number = len(marked)
+                marked.append([True, 0, False])
+                inside = (*inside, number)
+                threads.append(len(stack))
+                blocks[-1] = ((*blocks[-1][0], number), *blocks[-1][1:])
         if value == "br":
             out.append((("tag:br",), " ", len(blocks) - 1))
         elif value in BLOCKS:
@@ -212,7 +237,7 @@ def pieces(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[bool
 
 
 def kind_of(name: str) -> str:
-    return "heading" if name in ("h1", "h2", "h3", "h4", "h5", "h6") else "item" if name in ("li", "td", "th", "dd", "dt") else "text"
+    return "heading" if name in HEADINGS else "item" if name in ("li", "td", "th", "dd", "dt") else "text"
 
 
 def count_words(text: str) -> int:
@@ -285,14 +310,58 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 #: Running words of a short block; the most that a word scores either way.
 SHORT, MOST = 8, 3.0
 LABELLED_PAGES = [
-    '<html><head><title>Otters</title></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul></nav><div class="ad">Buy two lamps and get one free today</div><article><!--main--><h1>Otters return to the river</h1><p>After forty years the otters are back, and the <a href="/r">river trust</a> counted nine of them in spring.</p><p>Short.</p><p>Anglers are less pleased: the fish, they say, are fewer than before.</p><!--end--></article><aside>Most read this week: ten walks near the water</aside><footer>&copy; 2020 River News. All rights reserved.</footer></body></html>',
-    '<body><div id="cookie-notice">We use cookies to make this site better. <button>Accept</button></div><div class="header"><a href="/">Bread Blog</a><p>All about baking at home</p></div><div class="content"><!--main--><h2>Rye bread</h2><p>Mix the flour with warm water and leave it for a night in a cool place.</p><ul><li>500 g of rye flour</li><li>400 ml of water</li></ul><p>Bake for an hour. Let it rest until the next day before you cut it.</p><!--end--></div><div class="comments"><p>Great recipe, thank you, mine came out well.</p><p>What if I only have wheat flour?</p></div><div class="sidebar"><h3>Archive</h3><ul><li><a href="/1">January</a></li><li><a href="/2">February</a></li></ul></div><form action="/s"><label>Your address</label><input name="q"></form></body>',
-    '<body><header><h1>City Gazette</h1><p>News since 1890</p></header><main><!--main--><h1>New bridge opens</h1><p>The bridge over the canal opened on Monday after three years of work and two of delay.</p><blockquote>It was worth the wait, said the mayor.</blockquote><p>Trams will cross it from June.</p><!--end--></main><section class="related"><h2>Related</h2><p><a href="/x">Old bridge to close</a></p><p><a href="/y">Tram lines grow again</a></p></section><footer><p>Contact the editors. Terms of use.</p></footer></body>',
-    '<body><table><tr><td><a href="/1">Start</a></td><td><a href="/2">Links</a></td></tr></table><!--main--><p>My telescope is an old one with a mirror of twenty centimetres. On clear nights it shows the rings of Saturn.</p><p>Last week I saw four moons of Jupiter in a row.<br>It was cold, but I stayed until two.</p><!--end--><p class="copyright">Do not copy my pictures</p></body>',
-    '<body><form action="/page.aspx"><div id="menu"><a href="/1">Funds</a> <a href="/2">Bonds</a></div><div class="page"><!--main--><h1>Quarter ends well</h1><p>The company sold more machines than in any quarter before, and raised its forecast for the year.</p><div class="share-price">The share closed at 41, two per cent up, after the report.</div><p>Read <a href="/r">the full report</a> for the figures of each plant.</p><!--end--></div><div class="footer-links"><a href="/3">Terms</a></div></form></body>',
-    '<body><div><a href="/">Home</a> | <a href="/n">News</a> | <a href="/s">Sport</a></div><main><!--main--><h1>Caring for your feet</h1><div class="foot-care"><p>Wash them with warm water every evening and dry them well between the toes.</p><ul><li>Cut the nails straight.</li><li><a href="/c">Use a cream</a></li></ul></div><!--end--></main><p>Loose words of the site here</p><div class="story-related-links"><a href="/x">Ten hikes to take this year</a><br><a href="/y">Shoes that last</a></div></body>',
-    '<body><p><a href="/">Index</a> <a href="/2">Archive</a></p><p>Site search</p><article><header><!--main--><h1>The clock maker</h1></header><p>He opened the shop in a narrow street when he was twenty, and he never closed it for a day.</p><h2>Tools</h2><p>Small.</p><p>Most of his tools he made himself, from brass, in the long winters.</p><!--end--></article><p>More stories</p><p><a href="/b">The baker</a></p><p><a href="/s">The smith of the old town</a></p></body>',
-    '<body><div class="top-links"><a href="/in">Log in</a></div><!--main--><h1>Up to the hut</h1><div id="story"><p>We walked from the valley to the hut in six hours, with a rest at the lake, and met nobody on the way.</p><p>The hut has room for twelve; the key hangs beside the door, and <a href="/w">water</a> comes from the spring behind it.</p><!--end--></div><p><a href="/1">Back</a></p><p><a href="/2">Next page</a></p></body>',
+    (
+        '<html><head><title>Otters</title></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li>'
+        '</ul></nav><div class="ad">Buy two lamps and get one free today</div><article><!--main--><h1>Otters return to the river</h1><p>'
+        'After forty years the otters are back, and the <a href="/r">river trust</a> counted nine of them in spring.</p><p>Short.</p><p>'
+        'Anglers are less pleased: the fish, they say, are fewer than before.</p><!--end--></article><aside>'
+        'Most read this week: ten walks near the water</aside><footer>&copy; 2020 River News. All rights reserved.</footer></body></html>'
+    ),
+    (
+        '<body><div id="cookie-notice">We use cookies to make this site better. <button>Accept</button></div><div class="header"><a href="/">Bread Blog</a><p>'
+        'All about baking at home</p></div><div class="content"><!--main--><h2>Rye bread</h2><p>'
+        'Mix the flour with warm water and leave it for a night in a cool place.</p><ul><li>500 g of rye flour</li><li>400 ml of water</li></ul><p>'
+        'Bake for an hour. Let it rest until the next day before you cut it.</p><!--end--></div><div class="comments"><p>'
+        'Great recipe, thank you, mine came out well.</p><p>What if I only have wheat flour?</p></div><div class="sidebar"><h3>Archive</h3><ul><li>'
+        '<a href="/1">January</a></li><li><a href="/2">February</a></li></ul></div><form action="/s"><label>Your address</label><input name="q"></form></body>'
+    ),
+    (
+        '<body><header><h1>City Gazette</h1><p>News since 1890</p></header><main><!--main--><h1>New bridge opens</h1><p>'
+        'The bridge over the canal opened on Monday after three years of work and two of delay.</p><blockquote>'
+        'It was worth the wait, said the mayor.</blockquote><p>Trams will cross it from June.</p><!--end--></main><section class="related"><h2>Related</h2><p>'
+        '<a href="/x">Old bridge to close</a></p><p><a href="/y">Tram lines grow again</a></p></section><footer><p>Contact the editors. Terms of use.</p>'
+        '</footer></body>'
+    ),
+    (
+        '<body><table><tr><td><a href="/1">Start</a></td><td><a href="/2">Links</a></td></tr></table><!--main--><p>'
+        'My telescope is an old one with a mirror of twenty centimetres. On clear nights it shows the rings of Saturn.</p><p>'
+        'Last week I saw four moons of Jupiter in a row.<br>It was cold, but I stayed until two.</p><!--end--><p class="copyright">Do not copy my pictures</p>'
+        '</body>'
+    ),
+    (
+        '<body><form action="/page.aspx"><div id="menu"><a href="/1">Funds</a> <a href="/2">Bonds</a></div><div class="page"><!--main--><h1>'
+        'Quarter ends well</h1><p>The company sold more machines than in any quarter before, and raised its forecast for the year.</p><div class="share-price">'
+        'The share closed at 41, two per cent up, after the report.</div><p>Read <a href="/r">the full report</a> for the figures of each plant.</p><!--end-->'
+        '</div><div class="footer-links"><a href="/3">Terms</a></div></form></body>'
+    ),
+    (
+        '<body><div><a href="/">Home</a> | <a href="/n">News</a> | <a href="/s">Sport</a></div><main><!--main--><h1>Caring for your feet</h1>'
+        '<div class="foot-care"><p>Wash them with warm water every evening and dry them well between the toes.</p><ul><li>Cut the nails straight.</li><li>'
+        '<a href="/c">Use a cream</a></li></ul></div><!--end--></main><p>Loose words of the site here</p><div class="story-related-links"><a href="/x">'
+        'Ten hikes to take this year</a><br><a href="/y">Shoes that last</a></div></body>'
+    ),
+    (
+        '<body><p><a href="/">Index</a> <a href="/2">Archive</a></p><p>Site search</p><article><header><!--main--><h1>The clock maker</h1></header><p>'
+        'He opened the shop in a narrow street when he was twenty, and he never closed it for a day.</p><h2>Tools</h2><p>Small.</p><p>'
+        'Most of his tools he made himself, from brass, in the long winters.</p><!--end--></article><p>More stories</p><p><a href="/b">The baker</a></p><p>'
+        '<a href="/s">The smith of the old town</a></p></body>'
+    ),
+    (
+        '<body><div class="top-links"><a href="/in">Log in</a></div><!--main--><h1>Up to the hut</h1><div id="story"><p>'
+        'We walked from the valley to the hut in six hours, with a rest at the lake, and met nobody on the way.</p><p>'
+        'The hut has room for twelve; the key hangs beside the door, and <a href="/w">water</a> comes from the spring behind it.</p><!--end--></div><p>'
+        '<a href="/1">Back</a></p><p><a href="/2">Next page</a></p></body>'
+    ),
 ]
 _WEIGHTS: dict[str, float] = {}
 
