@@ -79,4 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_exact_topk": exact_topk.ORACLE_SQL}
+    return {
+        "op6_mixing": mixing.ORACLE_SQL,
+        "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+        "op13_exact_topk": exact_topk.ORACLE_SQL,
+    }

@@ -32,6 +32,42 @@ LETTERS = "[A-Za-zÀ-ÿ]"
 MOST_ROWS, ROWS_PER_TASK, LETTERS_PER_TASK = 4096, 40_000, 1 << 21
 #: Pairs of interval queries and tree nodes that are held at a time.
 MOST_QUERIES = 1 << 20
+#: The same by a table of checksums and words with a hole at each place, for the registered query's parameters.
+ORACLE_SQL = r"""
+WITH RECURSIVE crc_bytes AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents) GROUP BY ALL
+), coded AS (
+  SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs
+), summed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS BIGINT)]))) AS crc
+  FROM coded, crc_bytes
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT times, CASE WHEN crc % 31 = 0 THEN left(run, CAST(crc % length(run) AS BIGINT)) || substr(run, CAST(crc % length(run) + 2 AS BIGINT)) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), holes AS (
+  SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS replaced, left(word, i) || substr(word, i + 2) AS dropped FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.replaced = b.replaced AND a.word <> b.word
+  UNION SELECT w.word, h.word, h.n FROM words w JOIN holes h ON h.dropped = w.word
+  UNION SELECT h.word, w.word, w.n FROM words w JOIN holes h ON h.dropped = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.n = b.most) END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), paths AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT p.word, f.word, f.form FROM paths p JOIN formed f ON f.word = p.next
+)
+SELECT f.word, f.form, p.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM formed f JOIN paths p ON p.word = f.word AND p.next IS NULL
+"""
 
 
 # ---- words ----
@@ -231,7 +267,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     cores = words.sparkSession.sparkContext.defaultParallelism
     tasks = max(tasks, 2 * cores)
     bucket = F.pmod(F.xxhash64("g"), F.lit(tasks))
-    said = rows.select("word", F.col("n").cast("long").alias("n"), F.col("class").cast("long").alias("class"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), bucket.alias("bucket"))
+    said = rows.select("word", *[F.col(c).cast("long").alias(c) for c in ("n", "class", "a", "b")], bucket.alias("bucket"))
     said = said.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: evidence(t), "word string, n_near long, best_n long, best string")
     best = said.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("minus"), "best")).alias("least"))
     return best.select("word", "n_near", (-F.col("least.minus")).alias("best_n"), F.col("least.best").alias("best"))

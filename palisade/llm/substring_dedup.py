@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.session import map_batches, shared_path
+from palisade.session import map_batches, stored
 
 WINDOW, GRAM = 50, 8
 #: Segments of a prefix that one tree may hold, and segments that a task handles at a time.
@@ -225,7 +225,9 @@ def tree_results(distinct: DataFrame, window: int) -> DataFrame:
     for most in (*RUNS, None):
         large = stored(distinct.groupBy("key").count().where(F.col("count") > GROUP_SEGMENTS).select("key"), "repeats-large")
         tasks = max(1, -(-distinct.count() // (4 * TASK_SEGMENTS)))
-        small = distinct.join(large, "key", "left_anti").select("key", "g1", "g2", "words", "low", "high")
+        # The last prefixes are as long as a window, so that no key is large there; if one were, a task would take it as it is.
+        rest = distinct if most is None else distinct.join(large, "key", "left_anti")
+        small = rest.select("key", "g1", "g2", "words", "low", "high")
         minima = minima_by_tree(small.repartition(tasks, "key").sortWithinPartitions("key"), window)
         if origin is None:
             results.append(minima.select("g1", "g2", F.lit(0).alias("skip"), "minima"))
@@ -247,13 +249,6 @@ def tree_results(distinct: DataFrame, window: int) -> DataFrame:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: used more than once, and safe from lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_key, n_words, n_removed, kept, kept_sha256) of each row; kept, the words left, is null where all stay."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
