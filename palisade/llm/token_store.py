@@ -204,12 +204,13 @@ def unpacker(blob: bytes, dict_hash: str, dictionary: bytes) -> zstandard.ZstdDe
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(part, shard, at, doc_id, n_tokens, ids_crc32, before, ids) for each document: `at` is its place in the shard,
-    `before` the number of ids before it in the shard, ids_crc32 that of its ids as unsigned 32-bit integers."""
+    `before` the number of ids before it in the shard, ids_crc32 that of its ids as unsigned 32-bit integers. ids are
+    most of the bytes, so they only leave a task if they are asked for."""
     dict_hash, dictionary, dtype = open_dictionary(spark, path)
     names = ("part", "shard", "at", "doc_id", "n_tokens", "ids_crc32", "before")
-    arrow = pa.schema([*[(n, pa.int64()) for n in names], ("ids", pa.binary())])
+    arrow = pa.schema([*[(n, pa.int64()) for n in names], *[("ids", pa.binary())] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b)):
@@ -217,14 +218,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 unpack, before, rows = unpacker(blob, dict_hash, dictionary), 0, []
                 for at, doc_id in enumerate(ids):
                     got = np.frombuffer(unpack.decompress(blob[offsets[at] : offsets[at + 1]]), dtype).astype("<u4")
-                    rows.append((part, shard, at, doc_id, len(got), zlib.crc32(got.tobytes()), before, got.tobytes()))
+                    rows.append((part, shard, at, doc_id, len(got), zlib.crc32(got), before, *([got.tobytes()] if with_ids else [])))
                     before += len(got)
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
                         rows = []
                 yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
 
-    return spark.read.parquet(f"{path}/shards").select("part", "shard", "doc_ids", "offsets", "blob").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", ids binary")
+    return spark.read.parquet(f"{path}/shards").select("part", "shard", "doc_ids", "offsets", "blob").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
@@ -248,5 +249,5 @@ def token_report(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataF
     parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("part_start", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     within = index.withColumn("shard_start", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
     starts = within.join(parts, "part").select("part", "shard", (F.coalesce("part_start", F.lit(0)) + F.coalesce("shard_start", F.lit(0))).alias("base"))
-    rows = read_tokens(spark, path).select("part", "shard", "doc_id", "n_tokens", "ids_crc32", "before")
+    rows = read_tokens(spark, path, with_ids=False).select("part", "shard", "doc_id", "n_tokens", "ids_crc32", "before")
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
