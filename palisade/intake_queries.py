@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.operators import detect, model_layer, reports, telemetry
+from palisade.operators import bundles, detect, model_layer, reports, telemetry
 from palisade.plans import intake
 from palisade.plans.planted import files_sql, planted_files
 from palisade.plans.rules import sql_string
-from palisade.queries_common import Query, shown
+from palisade.queries_common import Query, longs, shown
 from palisade.session import shared_path, stored
 from palisade.sources import fetch, folders, named_files, readers, router
 
@@ -58,6 +58,16 @@ def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(model_layer.parse_responses(intake.planted_responses(spark, sf_dir)))
 
 
+def scan_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with the model layer: prompts, a call for each (some fail), findings from the answers, and one verdict of both layers."""
+    files = planted_files(spark, sf_dir)
+    asked = model_layer.prompts(bundles.bundle_heads(files, model_layer.PROMPT_BYTES), detect.static_findings(files))
+    said = model_layer.parse_responses(model_layer.ask(asked, intake.planned_model()))
+    results, _, _ = reports.scan(files, extra={"llm": said}, fail_on="medium", scan_name="layers")
+    layers = F.array_join("layers_run", ",").alias("layers")
+    return results.select("bundle_id", "hash", *longs("n_findings"), F.round("risk_score", 6).alias("risk_score"), "risk_level", "fails", layers)
+
+
 def telemetry_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(telemetry.telemetry_findings(intake.planted_telemetry(spark, sf_dir)))
 
@@ -78,7 +88,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [source_router, fetch_sources, folder_files, archive_entries, archive_rejects, llm_parse, telemetry_findings, telemetry_carried, report_files]
+    named = [source_router, fetch_sources, folder_files, archive_entries, archive_rejects, llm_parse, scan_layers, telemetry_findings, telemetry_carried, report_files]
     return {q.__name__: q for q in named}
 
 

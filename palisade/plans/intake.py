@@ -6,8 +6,10 @@ special about a row follows from its number, so that Spark and SQL agree; rows g
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -159,6 +161,24 @@ r AS (SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)
   FROM turns JOIN answers ON (conv_id + turn) % {len(RESPONSES)} = slot)"""
 
 
+def planned_model() -> Callable[[str], str | None]:
+    """Answers that follow from the prompt's length in bytes: one finding, an error, or what is no JSON."""
+    severities = MODEL_SEVERITIES
+
+    def call(prompt: str) -> str | None:
+        n = len(prompt.encode())
+        if n % 7 == 0:
+            raise TimeoutError
+        if n % 7 == 1:
+            return "I can't tell."
+        return json.dumps({"findings": [{"severity": severities[n % len(severities)], "category": "Model", "description": "d", "confidence": 0.6}]})
+
+    return call
+
+
+#: By the prompt's length in bytes.
+MODEL_SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL", "INFO"]
+
 # ---- telemetry ----
 
 #: (what a script printed after the turn's text or null, its errors, the files that it changed or null) by the turn's number.

@@ -11,7 +11,7 @@ from palisade.functions.text import fold_ascii
 from palisade.operators import bundles, detect, findings, model_layer, reports, threats
 from palisade.operators import scan_all as scan_folders
 from palisade.operators.threat_store import ThreatStore
-from palisade.plans import packs, programs
+from palisade.plans import intake, packs, programs
 from palisade.plans.planted import files_sql, planted_files, tree_files, tree_sql
 from palisade.plans.rules import RULES, Rule, condition, rules_table, sql_condition, sql_string
 from palisade.session import shared_path
@@ -280,12 +280,12 @@ def report_console(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat requests of all bundles: their shape, and the prompt that they carry."""
+    """Chat requests of all bundles: their shape, and the digest of the prompt that they carry."""
     files = planted_files(spark, sf_dir)
     asked = model_layer.prompts(bundles.bundle_heads(files, model_layer.PROMPT_BYTES), detect.static_findings(files))
     get = lambda path: F.get_json_object("request", path)
     rows = model_layer.requests(asked, "some-model")
-    return rows.select("bundle_id", get("$.model").alias("model"), get("$.messages[0].role").alias("first_role"), get("$.messages[1].role").alias("second_role"), get("$.response_format.type").alias("answer"))
+    return rows.select("bundle_id", get("$.model").alias("model"), get("$.messages[0].role").alias("first_role"), get("$.messages[1].role").alias("second_role"), get("$.response_format.type").alias("answer"), get("$.temperature").alias("temperature"), F.sha2(get("$.messages[1].content"), 256).alias("prompt_sha256"))
 
 
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,7 +459,6 @@ def oracle_sql() -> dict[str, str]:
             body=f"SELECT bundle_id, hash, CAST(n_findings AS BIGINT) AS n_findings, round(CAST(risk_score AS DOUBLE), 6) AS risk_score, {_LEVEL} FROM scored JOIN hashes USING (bundle_id)",
         ),
         "report_console": _with(*kept, p["scored"], body=f"SELECT bundle_id, printf('%s: %s, %.1f of 10, %d findings', bundle_id, risk_level, risk_score, n_findings) AS head, CAST(n_findings AS BIGINT) AS n_shown FROM (SELECT bundle_id, CAST(n_findings AS BIGINT) AS n_findings, CAST(risk_score AS DOUBLE) AS risk_score, {_LEVEL} FROM scored)"),
-        "model_requests": _with(body="SELECT DISTINCT bundle_id, 'some-model' AS model, 'system' AS first_role, 'user' AS second_role, 'json_object' AS answer FROM files"),
         "threat_versions": _with(
             *static, p["hashes"], p["known"], f"fresh AS ({new})",
             body="SELECT CAST(1 AS BIGINT) AS version, hash, category, severity FROM known UNION ALL SELECT 2, hash, category, severity FROM known WHERE hash NOT IN (SELECT hash FROM fresh) UNION ALL SELECT 2, hash, category, severity FROM fresh",
@@ -495,8 +494,21 @@ def oracle_sql() -> dict[str, str]:
     body = f"""heads AS (SELECT bundle_id, left(body, {model_layer.PROMPT_BYTES}) AS body FROM bodies),
         letters AS (SELECT bundle_id, unnest(string_split(body, '')) AS c, unnest(range(length(body))) AS i FROM heads),
         cut AS (SELECT bundle_id, string_agg(c, '' ORDER BY i) AS body FROM (SELECT *, sum(strlen(c)) OVER (PARTITION BY bundle_id ORDER BY i) AS size FROM letters) WHERE size <= {model_layer.PROMPT_BYTES} GROUP BY bundle_id)"""
-    out["llm_prompt"] = _with(*static, p["bodies"], first, body, body=f"""SELECT bundle_id, sha256(prompt) AS prompt_sha256, CAST(strlen(prompt) AS BIGINT) AS n_bytes FROM (
-        SELECT bundle_id, {sql_string(model_layer.FINDINGS_HEAD)} || coalesce(listed, 'None') || {sql_string(model_layer.BUNDLE_HEAD)} || body AS prompt FROM cut
-        LEFT JOIN (SELECT bundle_id, string_agg(said, chr(10) ORDER BY place) AS listed FROM first WHERE place <= {model_layer.PROMPT_FINDINGS} GROUP BY bundle_id) USING (bundle_id))""")
+    prompt = f"""prompts AS (SELECT bundle_id, {sql_string(model_layer.FINDINGS_HEAD)} || coalesce(listed, 'None') || {sql_string(model_layer.BUNDLE_HEAD)} || body AS prompt FROM cut
+        LEFT JOIN (SELECT bundle_id, string_agg(said, chr(10) ORDER BY place) AS listed FROM first WHERE place <= {model_layer.PROMPT_FINDINGS} GROUP BY bundle_id) USING (bundle_id))"""
+    asked = [*static, p["bodies"], first, body, prompt]
+    out["llm_prompt"] = _with(*asked, body="SELECT bundle_id, sha256(prompt) AS prompt_sha256, CAST(strlen(prompt) AS BIGINT) AS n_bytes FROM prompts")
+    out["model_requests"] = _with(*asked, body=f"""SELECT bundle_id, 'some-model' AS model, 'system' AS first_role, 'user' AS second_role, 'json_object' AS answer, '{model_layer.TEMPERATURE}' AS temperature,
+        sha256(prompt) AS prompt_sha256 FROM prompts""")
+    severity = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(intake.MODEL_SEVERITIES))
+    out["scan_layers"] = _with(
+        *asked, p["hashes"],
+        f"""said AS (SELECT bundle_id, 'unknown' AS path, CAST(NULL AS BIGINT) AS line, CASE strlen(prompt) % {len(intake.MODEL_SEVERITIES)} {severity} END AS severity, 'Model' AS category, 'llm' AS engine,
+            CAST(0.6 AS DOUBLE) AS confidence, 4 AS layer_ord, 0 AS n FROM prompts WHERE strlen(prompt) % 7 > 1)""",
+        "joined AS (SELECT bundle_id, path, line, severity, category, engine, confidence, layer_ord, n FROM found UNION ALL SELECT * FROM said)",
+        p["kept"].replace("FROM found", "FROM joined"), p["scored"],
+        body=f"""SELECT bundle_id, hash, CAST(n_findings AS BIGINT) AS n_findings, round(CAST(risk_score AS DOUBLE), 6) AS risk_score, {_LEVEL}, coalesce(worst >= 2, false) AS fails, 'static,llm' AS layers
+            FROM scored JOIN hashes USING (bundle_id)""",
+    )
     out |= intake_queries.oracle_sql(p["hashes"], [*kept, p["scored"], levels])
     return out | {f"sig_sd{i:02d}": _with(p["texts"], p["hits"], body=f"{sig} WHERE starts_with(rule_id, 'SD{i:02d}_')") for i in range(1, 11)}
