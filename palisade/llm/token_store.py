@@ -37,7 +37,7 @@ MAGIC = b"PLTOK001"
 DICT_DOCS, DICT_TOKENS, DICT_BYTES = 1000, 1024, 64 << 10
 #: Bytes of a shard's frames and rows of a range of documents that one task orders.
 SHARD_BYTES, ROWS_PER_TASK = 1 << 20, 16_000
-LEVEL, CACHED_PARTS = 3, 300_000
+LEVEL, CACHED_PARTS = 3, 600_000
 
 
 # The split pattern that the fast path knows, the same for lower-case texts of code points below 256,
