@@ -6,15 +6,20 @@ only and share the columns of FINDING; layer_ord and n give findings of a file t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from palisade.functions import text as T
 from palisade.operators.call_parser import python_calls
 from palisade.plans.guards import GuardIndex, constant
 from palisade.plans.rules import REMEDIATION, RULES, SIGNATURE_CONFIDENCE, Rule, condition
-from palisade.session import map_batches
+from palisade.session import map_batches, slices
 
 FINDING = ("bundle_id", "path", "line", "severity", "category", "description", "remediation", "engine", "confidence", "layer_ord", "n")
 
@@ -42,16 +47,21 @@ CALLS = [
 ]
 ATTRIBUTES = [("os.environ", "MEDIUM", "SD-03 - Data Exfiltration", "Reads the environment")]
 
+#: (severity, category, description, remediation, engine, confidence, place in the order of detectors)
+ENTROPY_FINDING = ("MEDIUM", "SD-10 · Obfuscation and Evasion", "High entropy (%.2f bits)", "Decode the block and review it", "entropy", 0.7, 1)
+ZERO_WIDTH_FINDING = ("HIGH", "SD-01 · Prompt Injection (ASCII Smuggling)", "%d zero-width characters", "Remove characters that can't be seen", "unicode", 0.9, 2)
+RTL_FINDING = ("MEDIUM", "SD-10 · Obfuscation and Evasion", "Right-to-left override", "Remove the override", "unicode", 0.6, 2)
+
 
 def finding(
-    line: Column | None, severity: Column | str, category: Column | str, description: Column | str, remediation: str, engine: str, confidence: float,
+    line: Column | None, severity: Column | str, category: Column | str, description: Column | str, remediation: str, engine: str, confidence: Column | float,
     layer_ord: int, n: Column | int,
 ) -> list[Column]:
     value = lambda x: x if isinstance(x, Column) else F.lit(x)
     return [
         F.col("bundle_id"), F.col("path"), (F.lit(None) if line is None else line).cast("int").alias("line"),
         value(severity).alias("severity"), value(category).alias("category"), value(description).alias("description"), F.lit(remediation).alias("remediation"),
-        F.lit(engine).alias("engine"), F.lit(confidence).cast("double").alias("confidence"), F.lit(layer_ord).alias("layer_ord"), value(n).cast("long").alias("n"),
+        F.lit(engine).alias("engine"), value(confidence).cast("double").alias("confidence"), F.lit(layer_ord).alias("layer_ord"), value(n).cast("long").alias("n"),
     ]
 
 
@@ -63,18 +73,24 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.where(is_text_file(F.col("path")))
 
 
-def signature_hits(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """(bundle_id, path, rule_ord): one row for each rule that matches a text file's bytes.
+def rule_hits(lo: Column, raw: Column, rules: list[Rule]) -> Column:
+    """The numbers of the rules that match a text, in order; lo is raw with A-Z in lower case.
 
     A few rules are each tested on every text, which is the fastest for them; more are looked up by the guards that a text holds."""
-    raw = text_files(files).select("bundle_id", "path", T.lossy_text(F.col("content")).alias("raw"))
-    folded = raw.withColumn("lo", T.fold_ascii(F.col("raw")))
     index = GuardIndex(rules)
     if len(index.words) <= DIRECT_GUARDS:
-        tests = F.array(*[F.when(condition(r, F.col("lo"), F.col("raw")), F.lit(i)) for i, r in enumerate(rules)])
-        return folded.select("bundle_id", "path", F.explode(F.array_compact(tests)).alias("rule_ord"))
-    able = folded.select("bundle_id", "path", "raw", "lo", F.explode(index.candidates(F.col("lo"), F.col("raw"))).alias("rule_ord"))
-    return able.where(index.matches(F.col("rule_ord"), F.col("lo"), F.col("raw"))).select("bundle_id", "path", "rule_ord")
+        return F.array_compact(F.array(*[F.when(condition(r, lo, raw), F.lit(i)) for i, r in enumerate(rules)]))
+    return F.filter(index.candidates(lo, raw), lambda i: index.matches(i, lo, raw))
+
+
+def folded(files: DataFrame) -> DataFrame:
+    """Text files with raw, their bytes as text whatever they are, and lo, the same with A-Z in lower case."""
+    return text_files(files).withColumn("raw", T.lossy_text(F.col("content"))).withColumn("lo", T.fold_ascii(F.col("raw")))
+
+
+def signature_hits(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """(bundle_id, path, rule_ord): one row for each rule that matches a text file's bytes."""
+    return folded(files).select("bundle_id", "path", F.explode(rule_hits(F.col("lo"), F.col("raw"), rules)).alias("rule_ord"))
 
 
 def signature_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -106,22 +122,29 @@ def entropy_chunks(files: DataFrame) -> DataFrame:
 
 def entropy_findings(files: DataFrame) -> DataFrame:
     high = entropy_chunks(files).where(F.col("entropy") > MAX_ENTROPY).groupBy("bundle_id", "path").agg(F.min_by("entropy", "chunk").alias("entropy"))
-    return high.select(*finding(None, "MEDIUM", "SD-10 · Obfuscation and Evasion", F.format_string("High entropy (%.2f bits)", "entropy"), "Decode the block and review it", "entropy", 0.7, 1, 0))
+    return high.select(*finding(None, *ENTROPY_FINDING[:2], F.format_string(ENTROPY_FINDING[2], "entropy"), *ENTROPY_FINDING[3:], 0))
+
+
+def marks(text: Column) -> Column:
+    """The lines of a text that hold either mark, as structs (line, zero_width, rtl); only texts that hold one are cut into lines."""
+    counted = F.transform(
+        T.lines(text),
+        lambda line, i: F.struct((i + 1).alias("line"), T.count_of(line, T.ZERO_WIDTH).alias("zero_width"), line.contains(T.RTL_OVERRIDE).alias("rtl")),
+    )
+    held = F.filter(counted, lambda x: (x["zero_width"] > 0) | x["rtl"])
+    return F.when(text.rlike(f"[{T.ZERO_WIDTH}{T.RTL_OVERRIDE}]"), held)
 
 
 def marked_lines(files: DataFrame) -> DataFrame:
-    """(bundle_id, path, line, zero_width, rtl) of lines with either mark; only files that hold one are cut into lines."""
-    marked = text_files(files).where(F.col("text").rlike(f"[{T.ZERO_WIDTH}{T.RTL_OVERRIDE}]"))
-    rows = marked.select("bundle_id", "path", F.posexplode(T.lines(F.col("text"))).alias("at", "content"))
-    rows = rows.select("bundle_id", "path", (F.col("at") + 1).alias("line"), T.count_of(F.col("content"), T.ZERO_WIDTH).alias("zero_width"), F.col("content").contains(T.RTL_OVERRIDE).alias("rtl"))
-    return rows.where((F.col("zero_width") > 0) | F.col("rtl"))
+    """(bundle_id, path, line, zero_width, rtl) of lines with either mark."""
+    rows = text_files(files).select("bundle_id", "path", F.explode(marks(F.col("text"))).alias("m"))
+    return rows.select("bundle_id", "path", "m.*")
 
 
 def unicode_findings(files: DataFrame) -> DataFrame:
-    rows = marked_lines(files)
-    line, said = F.col("line"), F.format_string("%d zero-width characters", "zero_width")
-    zero = finding(line, "HIGH", "SD-01 · Prompt Injection (ASCII Smuggling)", said, "Remove characters that can't be seen", "unicode", 0.9, 2, line * 2)
-    rtl = finding(line, "MEDIUM", "SD-10 · Obfuscation and Evasion", "Right-to-left override", "Remove the override", "unicode", 0.6, 2, line * 2 + 1)
+    rows, line = marked_lines(files), F.col("line")
+    zero = finding(line, *ZERO_WIDTH_FINDING[:2], F.format_string(ZERO_WIDTH_FINDING[2], "zero_width"), *ZERO_WIDTH_FINDING[3:], line * 2)
+    rtl = finding(line, *RTL_FINDING, line * 2 + 1)
     return rows.where("zero_width > 0").select(*zero).unionByName(rows.where("rtl").select(*rtl))
 
 
@@ -137,23 +160,87 @@ def call_sites(files: DataFrame) -> DataFrame:
     return made.select("bundle_id", "path", F.explode("calls").alias("c")).select("bundle_id", "path", "c.*")
 
 
-def call_findings(files: DataFrame) -> DataFrame:
+def call_table() -> Column:
+    """CALLS and ATTRIBUTES as one constant array."""
     listed = [(*row, 0.9, False) for row in CALLS] + [(*row, 0.8, True) for row in ATTRIBUTES]
     names = ("at", "pattern", "severity", "category", "description", "confidence", "is_start")
     schema = "array<struct<at: int, pattern: string, severity: string, category: string, description: string, confidence: double, is_start: boolean>>"
-    table = constant([dict(zip(names, (i, *row))) for i, row in enumerate(listed)], schema)
-    callee = F.col("callee")
-    matched = F.filter(table, lambda t: F.when(t["is_start"], callee.startswith(t["pattern"])).otherwise(callee.endswith(t["pattern"])))
-    hits = call_sites(files).withColumn("hit", F.explode(matched))
-    said = F.col("hit.severity"), F.col("hit.category"), F.col("hit.description"), "Avoid the call, or check what goes into it"
+    return constant([dict(zip(names, (i, *row))) for i, row in enumerate(listed)], schema)
+
+
+def call_hits(callee: Column) -> Column:
+    """The entries of call_table() that a callee meets."""
+    return F.filter(call_table(), lambda t: F.when(t["is_start"], callee.startswith(t["pattern"])).otherwise(callee.endswith(t["pattern"])))
+
+
+CALL_REMEDIATION = "Avoid the call, or check what goes into it"
+
+
+def call_findings(files: DataFrame) -> DataFrame:
+    hits = call_sites(files).withColumn("hit", F.explode(call_hits(F.col("callee"))))
+    said = F.col("hit.severity"), F.col("hit.category"), F.col("hit.description"), CALL_REMEDIATION
     made = hits.select(*finding(F.col("line"), *said, "ast", 0.0, 3, F.col("seq") * 100 + F.col("hit.at")), F.col("hit.confidence").alias("found"))
     return made.withColumn("confidence", F.col("found")).drop("found")
 
 
+MEASURED = "bundle_id string, path string, hits array<int>, marks array<struct<line: int, zero_width: int, rtl: boolean>>, entropy double, calls array<struct<seq: int, line: int, callee: string>>"
+
+
+def measured(files: DataFrame, with_calls: bool, rules: list[Rule]) -> DataFrame:
+    """MEASURED: what every detector sees in a text file, from one look at it. entropy is that of the first chunk above MAX_ENTROPY."""
+    rows = folded(files)
+    is_program = (T.extension(F.col("path")) == "py") & F.lit(with_calls)
+    seen = rows.select(
+        "bundle_id", "path", rule_hits(F.col("lo"), F.col("raw"), rules).alias("hits"), marks(F.col("text")).alias("marks"),
+        F.when(F.col("text").isNotNull(), F.col("content")).alias("content"), is_program.alias("is_program"),
+    )
+    arrow = to_arrow_schema(_parse_datatype_string(MEASURED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            contents, programs = part.column("content").to_pylist(), part.column("is_program").to_pylist()
+            high = [next((e for e in entropies(c) if e > MAX_ENTROPY), None) for c in contents]
+            calls = [
+                [{"seq": i, "line": line, "callee": callee} for i, (line, callee) in enumerate(python_calls(c.decode()))] if p and c is not None else []
+                for c, p in zip(contents, programs)
+            ]
+            kept = [part.column(name).cast(arrow.field(name).type) for name in ("bundle_id", "path", "hits", "marks")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(high, pa.float64()), pa.array(calls, arrow.field("calls").type)], schema=arrow)
+
+    return seen.mapInArrow(run, MEASURED)
+
+
 def static_findings(files: DataFrame, with_calls: bool = True, rules: list[Rule] = RULES) -> DataFrame:
-    """Findings of all static detectors, in the order signatures, entropy, marks, calls."""
-    parts = [signature_findings(files, rules), entropy_findings(files), unicode_findings(files)] + [call_findings(files)] * with_calls
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Findings of all static detectors, in the order signatures, entropy, marks, calls. Each file is read once for all of them."""
+
+    def made(*args: object) -> Column:
+        return F.struct(*finding(*args)[2:])
+
+    listed = constant([{"severity": r.severity, "category": r.category, "description": r.description} for r in rules], "array<struct<severity: string, category: string, description: string>>")
+
+    def of_rule(i: Column) -> Column:
+        rule = F.get(listed, i)
+        return made(None, rule["severity"], rule["category"], rule["description"], REMEDIATION, "yara", SIGNATURE_CONFIDENCE, 0, i)
+
+    def of_line(m: Column) -> Column:
+        zero = made(m["line"], *ZERO_WIDTH_FINDING[:2], F.format_string(ZERO_WIDTH_FINDING[2], m["zero_width"]), *ZERO_WIDTH_FINDING[3:], m["line"] * 2)
+        rtl = made(m["line"], *RTL_FINDING, m["line"] * 2 + 1)
+        return F.array_compact(F.array(F.when(m["zero_width"] > 0, zero), F.when(m["rtl"], rtl)))
+
+    def of_call(c: Column) -> Column:
+        def one(t: Column) -> Column:
+            confidence = t["confidence"]
+            return made(c["line"], t["severity"], t["category"], t["description"], CALL_REMEDIATION, "ast", confidence, 3, c["seq"] * 100 + t["at"])
+
+        return F.transform(call_hits(c["callee"]), one)
+
+    entropy = made(None, *ENTROPY_FINDING[:2], F.format_string(ENTROPY_FINDING[2], "entropy"), *ENTROPY_FINDING[3:], 0)
+    none = lambda a: F.coalesce(a, F.array())
+    all_of = F.concat(
+        F.transform("hits", of_rule),
+        F.array_compact(F.array(F.when(F.col("entropy").isNotNull(), entropy))),
+        none(F.flatten(F.transform("marks", of_line))),
+        F.flatten(F.transform("calls", of_call)),
+    )
+    rows = measured(files, with_calls, rules).select("bundle_id", "path", F.explode(all_of).alias("f"))
+    return rows.select("bundle_id", "path", "f.*").select(*FINDING)
