@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 import zipfile
@@ -134,15 +135,29 @@ def unzip(content: bytes) -> Iterator[tuple[str, bytes]]:
     return files()
 
 
+class WholeHeader(tarfile.TarInfo):
+    """tarfile takes a header that is cut or broken for the end of the archive; here it is an error."""
+
+    @classmethod
+    def frombuf(cls, buf: bytes, encoding: str, errors: str) -> tarfile.TarInfo:
+        try:
+            return super().frombuf(buf, encoding, errors)
+        except (tarfile.TruncatedHeaderError, tarfile.InvalidHeaderError) as e:
+            raise tarfile.ReadError(f"the archive is cut or broken: {e}") from None
+
+
 def untar(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """The same for tar.gz; links and other special entries are left out."""
+    """The same for tar.gz; links and other special entries are left out. The first pass reads the gzip stream to its end, whose
+    checksum and length say that nothing is missing, wherever an archive is cut."""
     total = 0
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as archive:
-        for i, entry in enumerate(archive):
-            if i >= MAX_ENTRIES:
-                raise ValueError(f"the archive has more than {MAX_ENTRIES} entries")
-            total += entry.size
-            check_size(entry.size, total)
+    with gzip.open(io.BytesIO(content)) as stream:
+        with tarfile.open(fileobj=stream, mode="r|", tarinfo=WholeHeader) as archive:
+            for i, entry in enumerate(archive):
+                if i >= MAX_ENTRIES:
+                    raise ValueError(f"the archive has more than {MAX_ENTRIES} entries")
+                total += entry.size
+                check_size(entry.size, total)
+        check_size(0, read_most(stream, MAX_TOTAL_BYTES))
 
     def files() -> Iterator[tuple[str, bytes]]:
         with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as archive:

@@ -1,7 +1,11 @@
+import gzip
 import io
+import random
 import tarfile
 import zipfile
 
+import pytest
+
 from palisade.sources import readers, router
 from pyspark.sql import functions as F
 
@@ -60,3 +64,14 @@ def test_folder_with_hidden_files(spark, tmp_path):
     assert rows == {("b1", "a.md", "x"), ("b1", ".cursorrules", "y"), ("b2", "d/e.md", None)}
     one = readers.read_file(spark, str(tmp_path / "b1/a.md")).first()
     assert (one.path, one.text) == ("a.md", "x")
+
+
+def test_a_cut_archive_is_rejected_wherever_it_is_cut(spark):
+    noise = random.Random(3)
+    whole = tarred([(f"f{i}.md", bytes(noise.randrange(256) for _ in range(700))) for i in range(6)])
+    rows = [(str(n), "tar", bytearray(whole[:n])) for n in range(0, len(whole) + 1, 16)] + [("whole", "tar", bytearray(whole))]
+    files, rejected = readers.unpack(spark.createDataFrame(rows, "bundle_id string, kind string, content binary").repartition(4))
+    cut = {r[0] for r in rows if len(r[2]) < len(whole)}
+    assert {r.bundle_id for r in rejected.collect()} == cut and len(cut) > 200
+    assert {(r.bundle_id, r.path) for r in files.collect() if r.bundle_id == "whole"} == {("whole", f"f{i}.md") for i in range(6)}
+    assert not {r.bundle_id for r in files.collect()} & cut
