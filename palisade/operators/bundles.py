@@ -43,7 +43,8 @@ def bundle_heads(files: DataFrame, n_bytes: int) -> DataFrame:
     first = rows.withColumn("at", F.row_number().over(by_path)).where(F.col("at") <= n_bytes // 10 + 1)
     size = F.octet_length("head") + len(BETWEEN)
     before = F.sum(size).over(by_path.rowsBetween(Window.unboundedPreceding, -1))
-    needed = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n_bytes)
+    # A file that begins at the limit, or a byte after it, is needed for what stands between it and the one before.
+    needed = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n_bytes + len(BETWEEN))
     parts = F.array_sort(F.collect_list(F.struct("at", "head")))
     return needed.groupBy("bundle_id").agg(F.array_join(F.transform(parts, lambda x: x["head"]), BETWEEN).alias("body"))
 
