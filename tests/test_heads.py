@@ -29,3 +29,9 @@ def asked(spark):
 def test_prompts_hold_the_whole_beginning(spark):
     prompts, want = asked(spark)
     assert {r.bundle_id: r.prompt.partition(model_layer.BUNDLE_HEAD)[2] for r in prompts.collect()} == want
+
+
+def test_requests_carry_the_whole_beginning(spark):
+    prompts, want = asked(spark)
+    got = {r.bundle_id: json.loads(r.request)["messages"][1]["content"] for r in model_layer.requests(prompts, "m").collect()}
+    assert {b: p.partition(model_layer.BUNDLE_HEAD)[2] for b, p in got.items()} == want
