@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.plans.rules import LOWER, UPPER, Rule, ascii_lower, linear, quoted
+from palisade.plans.rules import LOWER, UPPER, Rule, ascii_lower, holds_any, linear, quoted
 
 def guard(parts: list[str]) -> str:
     return max(parts, key=len)
@@ -46,14 +46,15 @@ def regex_guard(regex: str) -> str:
     return guard(plain)
 
 
-def ascii_guard(text: str) -> str:
-    """The longest run of ASCII: case folding leaves other letters to the engine's tables."""
-    return guard(re.split(r"[^\x00-\x7f]+", text.lower() if text.isascii() else text)).lower()
+def text_guard(text: str) -> str:
+    """The longest run of ASCII and of the letters À to ÿ: their lower case is one letter wherever they stand, and that of other
+    letters is left to the engine's tables. A text that holds the pattern holds its guard in lower case."""
+    return guard(re.split(r"[^\x00-\x7f\u00c0-\u00ff]+", text)).lower()
 
 
 def guards_of(rule: Rule) -> list[str] | None:
     """The guards of a rule's patterns in lower case; None if a pattern has none, so that the rule is always tested."""
-    found = [ascii_guard(x) for x in (*rule.literals, *rule.exact)] + [guard([p.lower() for p in chain]) for chain in rule.chains] + [regex_guard(x) for x in rule.regexes]
+    found = [text_guard(x) for x in (*rule.literals, *rule.exact)] + [guard([p.lower() for p in chain]) for chain in rule.chains] + [regex_guard(x) for x in rule.regexes]
     return None if "" in found else found
 
 
@@ -128,7 +129,7 @@ class GuardIndex:
             names, owners = constant(self.words, "array<string>"), constant([self.owners[g] for g in self.words], "array<array<int>>")
             parts.append(F.flatten(F.transform(found, lambda g: F.get(owners, (F.array_position(names, g) - 1).cast("int")))))
         for points, numbers in self.points.items():
-            parts.append(F.when(raw.rlike(f"[{points}]"), F.array(*map(F.lit, numbers))).otherwise(F.array().cast("array<int>")))
+            parts.append(F.when(holds_any(raw, points), F.array(*map(F.lit, numbers))).otherwise(F.array().cast("array<int>")))
         return F.array_sort(F.array_distinct(F.concat(*parts)))
 
     def matches(self, number: Column, folded: Column, raw: Column) -> Column:

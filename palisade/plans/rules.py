@@ -86,6 +86,11 @@ def linear(parts: list[str]) -> str:
     return "(?md)^" + "".join(f"(?>.*?{p})" for p in parts)
 
 
+def holds_any(text: Column, points: str) -> Column:
+    """Whether a text holds one of a few code points: a search for each takes half the time of a character class."""
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in points])
+
+
 def condition(rule: Rule, folded: Column, raw: Column) -> Column:
     """Whether a rule matches; folded is raw with A-Z in lower case. A chain is guarded by its longest part."""
     # folded also has other letters in lower case, which changes nothing for patterns of ASCII; the others look at raw.
@@ -100,7 +105,7 @@ def condition(rule: Rule, folded: Column, raw: Column) -> Column:
         guards = [folded.contains(p) for p in parts if p.isalpha()]
         tests.append(reduce(lambda a, b: a & b, [*guards, folded.rlike(linear(parts) if len(parts) > 1 else f"(?d){regex}")]))
     if rule.points:
-        tests.append(raw.rlike(f"[{rule.points}]"))
+        tests.append(holds_any(raw, rule.points))
     return reduce(lambda a, b: a | b, tests)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import detect, reports
 from palisade.plans import guards, packs
 from palisade.plans.planted import planted_files
-from palisade.plans.rules import RULES, Rule, condition
+from palisade.plans.rules import RULES, Rule, condition, holds_any
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +107,26 @@ def test_the_index_gives_what_all_conditions_give(spark, monkeypatch):
         monkeypatch.setattr(detect, "DIRECT_GUARDS", 10**6)
         direct = {(r.path, r.rule_ord) for r in detect.signature_hits(files, chosen).collect()}
         assert got == direct and len(got) > 80 and want in (None, got)
+
+
+def test_letters_beyond_ascii_stay_in_guards(spark, monkeypatch):
+    rules = [Rule(f"R{i}", "c", "LOW", "d", literals) for i, literals in enumerate([("räan",), ("Óntion",), ("σanΣ",), ("ł-er",), ("ÄÖ", "kKer")])]
+    rules += [Rule("X", "c", "LOW", "d", (), (), (), "", ("ÀéThß",)), Rule("Y", "c", "LOW", "d", (), (), (), "", ("İng",))]
+    assert [guards.guards_of(r) for r in rules[:2]] == [["räan"], ["óntion"]]
+    words = ["räan", "RÄan", "RäAN", "óntion", "ÓnTION", "σANΣ", "ΣanΣ", "σanς", "Ł-ER", "ł-ER", "äö", "ÄÖ", "ker", "KKer", "kKer", "ÀéThß", "àéthß", "ÀÉTHSS", "İng", "i̇ng", "ing", "Ång"]
+    rows = [("b", f"{i}{end}.md", start + w + end, (start + w + end).encode()) for i, w in enumerate(words) for start, end in (("", ""), ("x", "ä"), ("Σ", "Σ"))]
+    files = spark.createDataFrame(rows, "bundle_id string, path string, text string, content binary")
+    got = []
+    for most in (0, 10**6):
+        monkeypatch.setattr(detect, "DIRECT_GUARDS", most)
+        got.append({(r.path, r.rule_ord) for r in detect.signature_hits(files, rules).collect()})
+    assert got[0] == got[1] and {i for _, i in got[0]} == set(range(len(rules)))
+
+
+def test_code_points_are_searched_without_a_pattern(spark):
+    points = next(r.points for r in RULES if r.rule_id == "SD10_Homoglyph_Substitution")
+    texts = [*points, "x", "", "а" * 3, "xСx", "б", None, "д" + points[0]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", holds_any(F.col("t"), points).alias("is_held"))
+    assert [r.is_held for r in got.collect()] == [None if t is None else any(c in t for c in points) for t in texts]
+    assert "RLIKE" not in got._jdf.queryExecution().optimizedPlan().toString().upper()
