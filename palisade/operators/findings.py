@@ -80,7 +80,8 @@ def class_rollup(findings: DataFrame) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Findings that only one of two scans has, marked `gone` or `new` (an extension)."""
+    """Findings that only one of two scans has, marked `gone` or `new` (an extension). Each scan is made once: a key with one mark is a difference."""
     keys = ["bundle_id", "path", "line", "category", "severity"]
-    a, b = old.select(*keys).distinct(), new.select(*keys).distinct()
-    return a.exceptAll(b).withColumn("change", F.lit("gone")).unionByName(b.exceptAll(a).withColumn("change", F.lit("new")))
+    both = old.select(*keys, F.lit("gone").alias("change")).unionByName(new.select(*keys, F.lit("new").alias("change")))
+    marked = both.groupBy(*keys).agg(F.min("change").alias("change"), F.max("change").alias("__last"))
+    return marked.where(F.col("change") == F.col("__last")).drop("__last")

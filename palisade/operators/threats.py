@@ -38,9 +38,11 @@ def new_threats(findings: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def merged(threats: DataFrame, new: DataFrame) -> DataFrame:
-    """The next version of the table: new rows take the place of old ones with the same hash."""
-    kept = threats.join(new.select("hash"), "hash", "left_anti").select("hash", "category", "severity", "description")
-    return kept.unionByName(new)
+    """The next version of the table: new rows take the place of old ones with the same hash. Both tables are made once, so `new` can be a scan."""
+    columns = ("hash", "category", "severity", "description")
+    both = threats.select(*columns, F.lit(0).alias("__new")).unionByName(new.select(*columns, F.lit(1).alias("__new")))
+    last = F.max("__new").over(Window.partitionBy("hash"))
+    return both.withColumn("__last", last).where("__new = __last OR hash IS NULL").select(*columns)
 
 
 def stats(threats: DataFrame) -> DataFrame:
