@@ -18,7 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 from palisade.functions import text as T
 from palisade.operators.call_parser import python_calls
 from palisade.plans.guards import GuardIndex, constant
-from palisade.plans.rules import REMEDIATION, RULES, SIGNATURE_CONFIDENCE, Rule, condition
+from palisade.plans.rules import REMEDIATION, RULES, SIGNATURE_CONFIDENCE, Rule, condition, holds_any
 from palisade.session import map_batches, slices
 
 FINDING = ("bundle_id", "path", "line", "severity", "category", "description", "remediation", "engine", "confidence", "layer_ord", "n")
@@ -132,7 +132,7 @@ def marks(text: Column) -> Column:
         lambda line, i: F.struct((i + 1).alias("line"), T.count_of(line, T.ZERO_WIDTH).alias("zero_width"), line.contains(T.RTL_OVERRIDE).alias("rtl")),
     )
     held = F.filter(counted, lambda x: (x["zero_width"] > 0) | x["rtl"])
-    return F.when(text.rlike(f"[{T.ZERO_WIDTH}{T.RTL_OVERRIDE}]"), held)
+    return F.when(holds_any(text, T.ZERO_WIDTH + T.RTL_OVERRIDE), held)
 
 
 def marked_lines(files: DataFrame) -> DataFrame:
