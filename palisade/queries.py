@@ -14,7 +14,7 @@ from palisade.operators.threat_store import ThreatStore
 from palisade.plans import intake, packs, programs
 from palisade.plans.planted import files_sql, planted_files, tree_files, tree_sql
 from palisade.plans.rules import RULES, Rule, condition, rules_table, sql_condition, sql_string
-from palisade.session import shared_path
+from palisade.session import shared_path, stored
 from palisade.queries_common import FOUND_COLUMNS as _FOUND_COLUMNS
 from palisade.queries_common import Query, shown
 from palisade.queries_common import longs as _long
@@ -179,7 +179,7 @@ def diff_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _threats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, hashes, a threat table that knows the bundles of three sources)."""
     files = planted_files(spark, sf_dir)
-    hashes = bundles.bundle_hashes(files)
+    hashes = stored(bundles.bundle_hashes(files), "threat-hashes")
     known = hashes.where(F.col("bundle_id").rlike("^src(1|2|3)-")).select(
         "hash", F.lit("SD-02 · Command Injection").alias("category"), F.when(F.col("bundle_id").startswith("src3-"), "odd").otherwise("critical").alias("severity"), F.lit("seen before").alias("description"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("added_at"),
