@@ -30,13 +30,13 @@ def scan(
     scan_name, by default a name of its own), scanned_at and layers_run. Findings and hashes are made once and stored."""
     extra = {} if extra is None else extra if isinstance(extra, dict) else {"extra": extra}
     name = scan_name or uuid.uuid4().hex
-    hashes = stored(bundle_hashes(files), "scan-hashes")
+    hashes = stored(bundle_hashes(files), "scan-hashes", small=True)
     open_files = files if known is None else files.join(threats.unknown_bundles(hashes, known).select("bundle_id"), "bundle_id", "left_semi")
     made = detect.static_findings(open_files, with_calls, packs.load(files.sparkSession, *rule_packs))
     made = made if "static" in layers else made.limit(0)
     for found in extra.values():
         made = made.unionByName(found)
-    made = stored(made, "scan-findings")
+    made = stored(made, "scan-findings", small=True)
     kept = findings.dedupe(made if known is None else made.unionByName(threats.known_findings(hashes, known)))
     results = findings.scores(kept, hashes).join(hashes, "bundle_id")
     if fail_on is not None:

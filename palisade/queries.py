@@ -179,7 +179,7 @@ def diff_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _threats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, hashes, a threat table that knows the bundles of three sources)."""
     files = planted_files(spark, sf_dir)
-    hashes = stored(bundles.bundle_hashes(files), "threat-hashes")
+    hashes = stored(bundles.bundle_hashes(files), "threat-hashes", small=True)
     known = hashes.where(F.col("bundle_id").rlike("^src(1|2|3)-")).select(
         "hash", F.lit("SD-02 · Command Injection").alias("category"), F.when(F.col("bundle_id").startswith("src3-"), "odd").otherwise("critical").alias("severity"), F.lit("seen before").alias("description"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("added_at"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+#: What Python is handed at a time where small_batches() holds; Spark's own limits are 64 MB and 10,000 rows.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder of our own where none is set (local tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,10 +42,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: made once though used more often, and safe from lost executors."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions within it hand Python about BATCH_BYTES at a time. A worker holds a batch while the next one comes, so that whole
+    files in batches of Spark's own size take up to 128 MB in each of an executor's workers."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: made once though used more often, and safe from lost executors.
+
+    small: it is made under small_batches(), for steps that hand whole files to Python."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession) if small else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

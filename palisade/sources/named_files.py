@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from palisade.session import small_batches
 from palisade.sources.folders import opened
 from palisade.sources.readers import safe_name
 
@@ -103,7 +104,8 @@ def register(spark: SparkSession) -> None:
 def write_files(rows: DataFrame, root: str, mode: str = "append") -> None:
     """Write rows (name, content) below root, as described above."""
     register(rows.sparkSession)
-    rows.select("name", F.col("content").cast("binary").alias("content")).write.format("named_files").mode(mode).save(root)
+    with small_batches(rows.sparkSession):
+        rows.select("name", F.col("content").cast("binary").alias("content")).write.format("named_files").mode(mode).save(root)
 
 
 def write_folder(files: DataFrame, root: str, tasks: int = 32, mode: str = "append") -> None:
