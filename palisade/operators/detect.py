@@ -99,7 +99,7 @@ def signature_findings(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame
     return signature_hits(files, rules).select(*finding(None, *texts, REMEDIATION, "yara", SIGNATURE_CONFIDENCE, 0, F.col("rule_ord")))
 
 
-def entropies(content: bytes | None) -> list[float]:
+def entropies(content: bytes | pa.Buffer | None) -> list[float]:
     """Shannon entropy in bits of each chunk of CHUNK_BYTES bytes that has CHUNK_LEAST bytes or more."""
     out = []
     data = np.frombuffer(content or b"", np.uint8)
@@ -198,10 +198,10 @@ def measured(files: DataFrame, with_calls: bool, rules: list[Rule]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
-            contents, programs = part.column("content").to_pylist(), part.column("is_program").to_pylist()
+            contents, programs = [c.as_buffer() if c.is_valid else None for c in part.column("content")], part.column("is_program").to_pylist()  # no copies
             high = [next((e for e in entropies(c) if e > MAX_ENTROPY), None) for c in contents]
             calls = [
-                [{"seq": i, "line": line, "callee": callee} for i, (line, callee) in enumerate(python_calls(c.decode()))] if p and c is not None else []
+                [{"seq": i, "line": line, "callee": callee} for i, (line, callee) in enumerate(python_calls(c.to_pybytes().decode()))] if p and c is not None else []
                 for c, p in zip(contents, programs)
             ]
             kept = [part.column(name).cast(arrow.field(name).type) for name in ("bundle_id", "path", "hits", "marks")]

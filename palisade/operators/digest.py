@@ -27,8 +27,9 @@ def pieces(files: DataFrame, keys: list[str], content: Column, chars: Column | N
     return rows.select(*keys, "parts", "piece", cut.alias("data"), F.when(F.col("piece") == 0, F.col("chars")).otherwise(0).alias("chars"))
 
 
-def digests(cut: DataFrame, keys: list[str], between: bytes = b"") -> DataFrame:
-    """keys, sha256, n_files and chars of pieces; `between` stands between two files and counts as ASCII characters."""
+def digests(cut: DataFrame, keys: list[str], between: bytes = b"", tasks: int | None = None) -> DataFrame:
+    """keys, sha256, n_files and chars of pieces; `between` stands between two files and counts as ASCII characters. tasks: how many
+    sort the pieces, by default as many as a shuffle has in this session."""
     names = ["sha256", "n_files", "chars"]
     schema = T.StructType([*[cut.schema[k] for k in keys], T.StructField("sha256", T.StringType()), T.StructField("n_files", T.LongType()), T.StructField("chars", T.LongType())])
 
@@ -57,4 +58,5 @@ def digests(cut: DataFrame, keys: list[str], between: bytes = b"") -> DataFrame:
         if key is not None:
             yield made()
 
-    return cut.repartition(*keys).sortWithinPartitions(*keys, "parts", "piece").mapInArrow(run, schema)
+    dealt = cut.repartition(*keys) if tasks is None else cut.repartition(tasks, *keys)
+    return dealt.sortWithinPartitions(*keys, "parts", "piece").mapInArrow(run, schema)

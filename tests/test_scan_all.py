@@ -103,3 +103,36 @@ def test_heads(spark, n_bytes):
     for r in bundles.bundle_heads(frame(spark, rows), n_bytes).collect():
         cut = body[r.bundle_id].encode()[:n_bytes]
         assert r.body.encode()[:n_bytes] == cut and len(r.body.encode()) < 3 * n_bytes + 100
+
+
+def test_joins_of_contents_sort_nothing(spark, capsys):
+    files = frame(spark, FILES)
+    scans = scan_all.enclosing(files)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scans = scan_all.stored(scans, "folders")
+        for joined in (scan_all.within(files, scans), scan_all.in_scans(files.select("bundle_id", "path", "content"), scans)):
+            joined.explain()
+            plan = capsys.readouterr().out
+            assert "ShuffledHashJoin" in plan and "Sort" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_files_within_scans_keep_their_texts(spark):
+    rows = [("b", "SKILL.md", "as in its bytes", b"as in its bytes"), ("b", "x.md", None, b"\xff\xfe"), ("b", "y.md", "another", b"bytes"), ("b", "z.md", "no bytes", None), ("b", "n.md", None, None), ("c", "x.md", "no marker", b"no marker")]
+    files = spark.createDataFrame(rows, SCHEMA)
+    got = scan_all.within(files, scan_all.enclosing(files)).collect()
+    assert sorted((r.bundle_id, r.path, r.text, None if r.content is None else bytes(r.content)) for r in got) == sorted(rows[:-1], key=lambda r: r[1])
+
+
+def test_digest_tasks_grow_with_the_bytes_of_all_scans(spark, monkeypatch):
+    seen, real = [], digest.digests
+    monkeypatch.setattr(digest, "digests", lambda *args, **more: seen.append(more["tasks"]) or real(*args, **more))
+    monkeypatch.setattr(scan_all, "TASK_BYTES", 100)
+    for n in (1, 4):
+        results, _, _ = scan_all.scan_all(frame(spark, [(b, p, t * 100 * n) for b, p, t in FILES]))
+        assert results.count() == 4
+    in_scans = sum(len(t) for b, d in (("b", ""), ("b", "a"), ("b", "a/b/c"), ("d", "p")) for _, t in subtree(FILES, b, d))
+    assert seen == [in_scans, 4 * in_scans]
