@@ -201,7 +201,8 @@ def minima_by_tree(distinct: DataFrame, window: int) -> DataFrame:
             low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
             got = tree_minima(rows["words"].to_pylist(), low, window)
             useful = [i for i, m in enumerate(got) if high[i] > low[i] or (m < low[i]).any()]
-            return pa.RecordBatch.from_arrays([rows["g1"].take(useful).combine_chunks(), rows["g2"].take(useful).combine_chunks(), pa.array([got[i] for i in useful], type=pa.list_(pa.int64()))], schema=schema)
+            at = pa.array(useful, pa.int64())  # typed: a list without places, where nothing repeats, would be of type null
+            return pa.RecordBatch.from_arrays([rows["g1"].take(at).combine_chunks(), rows["g2"].take(at).combine_chunks(), pa.array([got[i] for i in useful], type=pa.list_(pa.int64()))], schema=schema)
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))

@@ -70,6 +70,15 @@ def test_prefixes_are_lengthened_until_groups_fit(spark, monkeypatch, bound):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == order(slow_removal(rows))
 
 
+@pytest.mark.parametrize("bound", [1, 4096])
+def test_anchors_are_shared_but_no_window(spark, monkeypatch, bound):
+    """Passages of 49 words in two documents each: their prefixes are shared, and no tree has a window that repeats."""
+    monkeypatch.setattr(substring_dedup, "GROUP_SEGMENTS", bound)
+    passages = [" ".join(f"p{k}w{i}" for i in range(49)) for k in range(3)]
+    rows = [(i, " ".join(f"{side}{i}w{k}" for k in range(60)) + f" {passages[i // 2]} " + " ".join(f"{side}{i}v{k}" for k in range(60))) for i, side in enumerate("abcdef")]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == [(i, 169, 0, hashlib.sha256(text.encode()).hexdigest()) for i, text in rows]
+
+
 def test_suffix_array_against_sorting():
     rng = random.Random(2)
     for _ in range(60):
