@@ -151,15 +151,15 @@ def suffix_array(nodes: np.ndarray, starts: np.ndarray, longest: int) -> tuple[n
     """Suffixes that begin at starts, in order, and the common prefix in words of each with the one before it (0 for the
     first). nodes holds a number for each word, and one of its own after each text; longest bounds the texts.
 
-    Prefix doubling: ranks at depth 2d are those of pairs of ranks at depth d."""
+    Prefix doubling: ranks at depth 2d are those of pairs of ranks at depth d. The deepest ranks take in whole texts: by
+    fewer words, equal windows could lie apart."""
     ranks, depth = [nodes], 1
-    while 2 * depth <= longest:
+    while depth < longest:
         now = ranks[-1]
         ahead = np.concatenate([now[depth:], np.full(depth, -1)]) + 1
         ranks.append(np.unique(now * (int(ahead.max()) + 1) + ahead, return_inverse=True)[1])
         depth *= 2
     order = starts[np.argsort(ranks[-1][starts], kind="stable")]
-    # Neighbours that agree in the deepest ranks are compared further on; equal texts have equal words up to their ends.
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(len(a), np.int64)
     for level in range(len(ranks) - 1, -1, -1):

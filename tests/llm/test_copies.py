@@ -95,6 +95,22 @@ def test_suffix_array_against_sorting():
             assert n == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
 
 
+@pytest.mark.parametrize("words", [50, 52, 60, 92])
+def test_equal_windows_meet_behind_equal_beginnings(words):
+    """Texts that agree in 32 to 49 words and part after them, as in prefixes that were lengthened for a crowd."""
+    rng = random.Random(words)
+    for same in (31, 32, 33, 48, 49):
+        head = [f"h{i}" for i in range(same)]
+        tails = [[rng.choice("xyz") for _ in range(words - same)] for _ in range(3)]
+        parts = [head + rng.choice(tails) for _ in range(12)]
+        least, first = np.arange(12), {}
+        for i, p in enumerate(parts):
+            for k in range(words - 49):
+                first.setdefault(tuple(p[k : k + 50]), i)
+        got = substring_dedup.tree_minima([" ".join(p) for p in parts], least)
+        assert [g.tolist() for g in got] == [[first[tuple(p[k : k + 50])] for k in range(words - 49)] for p in parts]
+
+
 def test_repeats_in_tables(docs, sample):
     assert removed(docs) == order(slow_removal([(i, t) for i, t, *_ in sample]))
 
