op3_licenses: only runs that a template has become rows

Symptom: with words counted by the split, op3_licenses still spends 334 CPU seconds a GB, four fifths of it in the stage of the votes.
Evidence: that stage takes 137 s of tasks over 0.51 GB: every three-word run of every text is put together, exploded, hashed and probed, though 101,179 matches are all that leaves it.
Fix: the array of places is filtered before the explode (first word, then the whole run, against literal sets from the templates), and the broadcast join goes by the run itself instead of by its hash.
Effect, together with 3 more commits on this code: at 0.6 GB of input CPU 1054 -> 478 s, shuffle 0.02 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 1.21 -> 0.62 GB, longest task 46 -> 38 s, most memory of a task 104 -> 104 MB; at 6 GB of input CPU 8980 -> 2032 s, shuffle 0.21 -> 0.21 GB, spill 0.00 -> 0.00 GB, read 12.09 -> 6.15 GB, longest task 105 -> 51 s, most memory of a task 107 -> 107 MB; with hot keys, at 0.6 GB of input CPU 488 -> 283 s, shuffle 0.02 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.36 -> 0.19 GB, longest task 20 -> 14 s, most memory of a task 104 -> 104 MB.

@@ -1,10 +1,10 @@
 """License scan by diagonal voting.
 
-Every text is cut into words, and every run of GRAM words is joined to the places where it stands in the license
-templates. A match of a text place with a template place votes for their difference, the diagonal. Votes are added
+Every text is cut into words, and every run of GRAM words that a license template has is joined to the places where it
+stands in the templates; other runs are dropped before they are rows. A match of a text place with a template place votes for their difference, the diagonal. Votes are added
 up by document, template and diagonal; neighbouring diagonals whose votes lie close together are merged into one
 span, since a word put in or left out shifts the rest by one; a span is verified by the share of the template's
-words that its matched runs cover. The join compares the words of a run, not only its hash, so votes are exact.
+words that its matched runs cover. Runs are compared by their words, so votes are exact.
 
 The template table is fixed in the code (its size is checked before it is broadcast; beyond the bound it is joined
 by shuffle). Documents without a match are never shuffled.
@@ -67,10 +67,15 @@ def templates() -> list[tuple[int, str, str, int, bool]]:
     return [(i, label, text, len(text.split()), base) for i, (label, text, base) in enumerate(rows)]
 
 
+def template_runs() -> list[tuple[str, int, str, int, bool, int]]:
+    """(gram, template, label, size, is_base, at)."""
+    return [(" ".join(text.split()[at : at + GRAM]), i, label, size, base, at) for i, label, text, size, base in templates() for at in range(size - GRAM + 1)]
+
+
 def template_grams(docs: DataFrame) -> DataFrame:
-    """(hash, gram, template, label, size, is_base, at)."""
-    rows = [(" ".join(text.split()[at : at + GRAM]), i, label, size, base, at) for i, label, text, size, base in templates() for at in range(size - GRAM + 1)]
-    grams = docs.sparkSession.createDataFrame(rows, "gram string, template int, label string, size int, is_base boolean, at int").withColumn("hash", F.xxhash64("gram"))
+    """(gram, template, label, size, is_base, at)."""
+    rows = template_runs()
+    grams = docs.sparkSession.createDataFrame(rows, "gram string, template int, label string, size int, is_base boolean, at int")
     return F.broadcast(grams) if len(rows) <= MAX_BROADCAST_ROWS else grams
 
 
@@ -82,12 +87,20 @@ def words() -> Column:
     return F.array_remove(F.split(folded(F.col("text")), WORD_GAP), "")
 
 
+def known_runs() -> Column:
+    """(place, gram) of the text's runs that stand in a template. A run is put together only if its first word begins one."""
+    known = sorted({gram for gram, *_ in template_runs()})
+    firsts = sorted({gram.split()[0] for gram in known})
+    run = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(GRAM)])
+    places = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.get(w, i).isin(firsts) & run(w, i).isin(known))
+    runs = lambda w: F.transform(places(w), lambda i: F.struct(i.alias("place"), run(w, i).alias("gram")))
+    return F.transform(F.array(words()), lambda w: F.when(F.size(w) >= GRAM, runs(w)))[0]
+
+
 def votes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, template, label, size, is_base, at, place): each match of a run of words with a template's place, once."""
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(GRAM)]))
-    grams = F.transform(F.array(words()), lambda w: F.when(F.size(w) >= GRAM, runs(w)))[0]
-    rows = docs.select("doc_id", text_key(), F.posexplode(grams).alias("place", "words")).withColumn("hash", F.xxhash64("words"))
-    return rows.join(template_grams(docs), "hash").where("words = gram").drop("hash", "words", "gram").distinct()
+    rows = docs.select("doc_id", text_key(), F.explode(known_runs()).alias("run")).select("doc_id", "text_key", "run.place", "run.gram")
+    return rows.join(template_grams(docs), "gram").drop("gram").distinct()
 
 
 def spans(found: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from palisade.llm import licenses
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -20,3 +22,17 @@ def test_words_are_counted_by_the_split(spark):
     got = report(spark, list(enumerate(TEXTS)))
     assert "regexp_extract_all" not in plan(got)
     assert {r.doc_id: r.n_words for r in got.collect()} == {i: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))) for i, t in enumerate(TEXTS)}
+
+
+def test_only_runs_of_templates_become_rows(spark):
+    texts = [*TEXTS, "the license the software under the MIT license of the software", "all rights reserved all rights all rights reserved", "under the mit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = {gram for gram, *_ in licenses.template_runs()}
+    want = []
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
+        want += [(i, at, gram) for at in range(len(w) - 2) if (gram := " ".join(w[at : at + 3])) in known]
+    assert sorted(map(tuple, docs.select("doc_id", F.inline(licenses.known_runs())).collect())) == want
+    assert len(want) == 9
+    # The array is filtered below the explode; nothing is left for the join to drop.
+    assert re.search(r"Generate explode\(.*filter\(", plan(licenses.votes(docs)))
