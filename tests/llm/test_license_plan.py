@@ -32,7 +32,14 @@ def test_only_runs_of_templates_become_rows(spark):
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(FOLD))
         want += [(i, at, gram) for at in range(len(w) - 2) if (gram := " ".join(w[at : at + 3])) in known]
-    assert sorted(map(tuple, docs.select("doc_id", F.inline(licenses.known_runs())).collect())) == want
+    assert sorted(map(tuple, licenses.cut_texts(docs).select("doc_id", F.inline("runs")).collect())) == want
     assert len(want) == 9
-    # The array is filtered below the explode; nothing is left for the join to drop.
-    assert re.search(r"Generate explode\(.*filter\(", plan(licenses.votes(docs)))
+
+
+def test_texts_are_cut_once_and_the_runs_are_read_by_both_sides(spark):
+    rows = [(None, None), (None, None), (None, "CC-BY-NC"), (1, "under the MIT license"), (1, "under the MIT license"), (1, "all rights reserved"), (2, "")]
+    got = report(spark, rows)
+    assert "split(" not in plan(got)
+    assert all("license-texts" in f for f in got.inputFiles())
+    found = sorted(((r.doc_id or 0, r.n_words, r.n_base, r.labels) for r in got.collect()))
+    assert found == [(0, 0, 0, ""), (0, 0, 0, ""), (0, 3, 1, "cc-by-nc"), (1, 3, 0, "all-rights"), (1, 4, 1, "mit"), (1, 4, 1, "mit"), (2, 0, 0, "")]
