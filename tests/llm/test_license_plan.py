@@ -43,3 +43,10 @@ def test_texts_are_cut_once_and_the_runs_are_read_by_both_sides(spark):
     assert all("license-texts" in f for f in got.inputFiles())
     found = sorted(((r.doc_id or 0, r.n_words, r.n_base, r.labels) for r in got.collect()))
     assert found == [(0, 0, 0, ""), (0, 0, 0, ""), (0, 3, 1, "cc-by-nc"), (1, 3, 0, "all-rights"), (1, 4, 1, "mit"), (1, 4, 1, "mit"), (2, 0, 0, "")]
+
+
+def test_runs_are_put_together_only_if_each_word_has_its_place(spark):
+    words = spark.createDataFrame([(["of", "the", "conditions"],), (["of", "the", "software"],), (["of", "the"],), ([],)], "words array<string>")
+    got = words.select(licenses.known_runs(F.col("words")).alias("runs"))
+    assert plan(got).upper().count(" INSET ") == licenses.GRAM + 1
+    assert [[r.gram for r in x.runs or []] for x in got.collect()] == [[], ["of the software"], [], []]
